@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestack.llm import bpe, exact_dedup, near_dedup, packing, token_counts
+from lorestack.llm import bpe, exact_dedup, near_dedup, packing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_packing": packing.op8_packing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
