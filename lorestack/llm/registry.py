@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestack.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets, token_counts, toxicity
+from lorestack.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_neighbours": neighbours.OP1_SQL,
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
