@@ -8,8 +8,10 @@ of 0.8 a chunk agrees this far with probability 0.737, so a pair shares no key w
 Every link is confirmed on the full shingle sets.
 
 Documents with one shingle set are one class. Inside a key, all pairs are never made: first each class is compared with
-one centre of its keys, then only pairs whose components still differ are left. So a group of near copies costs in
-proportion to its size, and no link that could join two components is skipped.
+one centre of its keys, then only pairs whose components still differ are left, and of these only pairs whose bit sketches
+allow the similarity. A sketch holds the parity of the shingles in each of ``SKETCH`` cells; the bits in which two sketches
+differ are at most as many as the shingles in which the sets differ, so no link is lost by that either. A group of near
+copies costs in proportion to its size, and no link that could join two components is skipped.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from lorestack.llm.pieces import Cache, blocks
 
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
 SLOTS = CHUNKS * CHUNK
+SKETCH = 2048
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -61,6 +64,12 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least >> np.uint64(24)).astype("<u2").tobytes()
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes in each cell, as 64-bit numbers."""
+    odd = np.bincount(((hashes >> np.uint64(17)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def keys_of(signatures: np.ndarray) -> np.ndarray:
     """The keys of signatures (rows of slots): every chunk without each set of ``ERRORS`` slots."""
     out = []
@@ -103,13 +112,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 8 << 20):
-            ids, sets = [], []
+            ids, sets, sketches = [], [], []
             for i, key, text in zip(block.column("id").to_pylist(), block.column("set_key").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 found = shingles(text or b"", k)
                 if xxhash.xxh3_128_digest(found.tobytes()) == key:
                     ids.append(i)
                     sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "hashes"])
+                    sketches.append(sketch(found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "hashes", "size", "sketch"])
 
     return run
 
@@ -138,7 +148,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(pairs.select("a", "b").distinct().join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, pairs_per_class: int = 12, star_rounds: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A set holds the distinct runs of ``shingle_words`` words of the whole text in lower-case A-Z; a text of fewer words is
@@ -146,9 +156,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable, the row's own included; kept marks rows whose identifier that is. Null, empty and blank texts have 0
     shingles and no link. Equal sets are linked whatever their number; rows with a null identifier come back unlinked with
     a null component. Repeated rows are equal sets. Other columns are not read. An empty table gives an empty result.
-
-    ``pairs_per_class`` only decides when star rounds (at most ``star_rounds``) give way to comparing all pairs of
-    different components that share a key; it leaves nothing out.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(text.mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, set_key binary, sign binary"))
@@ -160,29 +167,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(every.join(shared, "key").select("key", "id", "centre"))  # keys of two classes or more
     involved = members.select("id").distinct().join(classes.select("id", "set_key"), "id")
     wanted = text.join(involved, text.doc_id == involved.id).select("id", "set_key", "text")
-    sets = materialise(wanted.mapInArrow(_sets(shingle_words), "id long, hashes binary"))
+    sets = materialise(wanted.mapInArrow(_sets(shingle_words), "id long, hashes binary, size long, sketch array<long>"))
 
     links = _links(members.filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent)
-    for turn in range(star_rounds + 1):
-        component = materialise(connected_components(links))
-        placed = members.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("envoy"))
-        by_key = by_part.groupBy("key").agg(
-            F.max(F.struct("n", "component", "envoy")).alias("main"), F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within")
-        )
-        mixed = materialise(by_key.filter("least <> most").select("key", "main", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")))
-        left, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.lit(0)).first()[0], sets.count()
-        if not left:
-            break
-        apart = placed.join(mixed.select("key", "main"), "key")
-        if turn == star_rounds or left <= pairs_per_class * n:
-            other = placed.join(mixed.select("key"), "key").select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = placed.join(mixed.select("key"), "key").select("key", F.col("id").alias("a"), "component").join(other, "key").filter("a < b and component <> other").select("a", "b")
-            links = links.unionByName(_links(pairs, sets, percent))
-            component = connected_components(links)
-            break
-        envoys = apart.filter("component <> main.component").groupBy("id").agg(F.min_by("main.envoy", F.xxhash64("main.envoy", F.lit(turn))).alias("envoy"))
-        links = links.unionByName(_links(envoys.select(F.col("envoy").alias("a"), F.col("id").alias("b")), sets, percent))
+    component = materialise(connected_components(links))
+    placed = members.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
+    apart = materialise(placed.join(mixed, "key").join(sets.select("id", "size", "sketch"), "id"))
+    # In each key, those outside its largest component meet the others of another component.
+    one = apart.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    other = apart.select("key", "main", F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    both = F.col("size_a") + F.col("size_b")  # linked sets differ in at most (100 - p) / (100 + p) of their sizes' sum
+    near = (F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (differ * (100 + percent) <= both * (100 - percent))
+    pairs = one.join(other, (one.key == other.key) & near).select("a", "b")
+    links = links.unionByName(_links(pairs, sets, percent))
+    component = connected_components(links)
 
     # Only classes of several rows, or that are linked, differ from what a row says of itself.
     moved = classes.join(component, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "n").filter("n > 1 or component <> id").select("set_key", "component")
