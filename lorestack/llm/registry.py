@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestack.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
+from lorestack.llm import bpe, exact_dedup, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_license_scans": licenses.op5_license_scans,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
