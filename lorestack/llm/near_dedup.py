@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lorestack.llm.common import materialise
 from lorestack.llm.components import connected_components
-from lorestack.llm.pieces import Cache, blocks
+from lorestack.llm.pieces import Cache, blocks, only
 
 CHUNKS, CHUNK, ERRORS = 10, 5, 1
 SLOTS = CHUNKS * CHUNK
@@ -36,7 +36,7 @@ _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _ORDER = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_WORDS = Cache(xxhash.xxh3_64_intdigest, 500_000)
+_WORDS = Cache(xxhash.xxh3_64_intdigest, 250_000)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -86,6 +86,7 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_WORDS)
         for block in blocks(batches, "text", 8 << 20):
             n, keys, signs = [], [], []
             for text in block.column("text").cast(pa.binary()).to_pylist():
@@ -111,6 +112,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_WORDS)
         for block in blocks(batches, "text", 8 << 20):
             ids, sets, sketches = [], [], []
             for i, key, text in zip(block.column("id").to_pylist(), block.column("set_key").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):

@@ -32,23 +32,40 @@ def is_odd(text: str) -> bool:
 
 def cut_odd(text: str) -> list[str]:
     """Pieces of a text with runs of white space; joined they give the text."""
-    return _BEFORE_SPACE.split(text)
+    return [p for p in _BEFORE_SPACE.split(text) if p]
+
+
+_CACHES: list = []
 
 
 class Cache(dict):
-    """Piece to value, filled by ``make`` and emptied when ``limit`` entries are reached."""
+    """Key to value, filled by ``make``. Two generations of ``limit`` entries: when the young one is full it becomes the
+    old one, and what is used again moves back, so frequent keys stay."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
+        _CACHES.append(self)
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
+def only(*used: Cache) -> None:
+    """Empty this worker's other caches: a worker that goes from one operator to the next keeps the caches of one."""
+    for cache in _CACHES:
+        if not any(cache is u for u in used):
+            cache.clear()
+            cache.old = {}
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Record batches cut into slices of about ``most_bytes`` of text, at least one row each."""
     for batch in batches:

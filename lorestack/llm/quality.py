@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestack.llm.labelled import fold, training_rows
-from lorestack.llm.pieces import Cache, blocks
+from lorestack.llm.pieces import Cache, blocks, only
 
 WORDS, SHAPES, BINS = 1 << 14, 256, 8
 #: Structure statistics, each cut into ``BINS`` bins between the two bounds.
@@ -42,7 +42,7 @@ def _places(word: bytes) -> tuple[int, int]:
     return zlib.crc32(word.lower()) % WORDS, zlib.crc32(bytes(shape[:12])) % SHAPES
 
 
-_CACHE = Cache(_places, 300_000)
+_CACHE = Cache(_places, 150_000)
 
 
 def _share(text: bytes, chars: bytes) -> float:
@@ -125,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_CACHE)
         for batch in batches:
             found = [inputs(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["label", "at", "value"])
@@ -142,6 +143,7 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SIZE * (k + 1) numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_CACHE)
         machine = shared.value
         for block in blocks(batches, "text", 1 << 20):
             found = [inputs(t or b"") for t in block.column("text").cast(pa.binary()).to_pylist()]
@@ -167,6 +169,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_c
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_CACHE)
         machine = shared.value
         for block in blocks(batches, text_col, 1 << 20):
             found = [inputs(t or b"") for t in block.column(text_col).cast(pa.binary()).to_pylist()]
