@@ -18,10 +18,10 @@ from lorestack.llm.common import materialise
 
 CREDENTIAL = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)"
 _RUN = r"A-Za-z0-9+/_\-"
-#: A run of 16 or more with a digit, or any value of 6 or more given to a credential's name.
+#: A run of 16 or more with a digit, or any value of 6 or more given to a credential's name. Cheap looks back come before the long one.
 CANDIDATE = (
     rf"(?<![{_RUN}])(?=[A-Za-z+/_\-]{{0,64}}[0-9])[{_RUN}]{{16,}}+={{0,2}}"
-    rf"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[\"']?\s?[=:]\s?[\"']?)[^\s\"'=:,;]{{6,}}+"
+    rf"|(?<=[=:\"'\s])(?<=[=:][\"'\s]{{0,2}})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[\"']?\s?[=:]\s?[\"']?)[^\s\"'=:,;]{{6,}}+"
 )
 #: Fixed formats of issuers' keys.
 ISSUED = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-[A-Za-z0-9-]{10,}|^sk_live_[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"
