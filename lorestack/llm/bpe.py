@@ -9,9 +9,11 @@ vocabulary and concatenates their bytes in the order of position.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -20,32 +22,34 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.pieces import blocks, cut, cut_odd, is_odd
+from lorestack.llm.pieces import Cache, blocks, cut, cut_odd, is_odd, only
 
 #: A match of more bytes needs too many rounds of contraction; it is merged with a heap, to the same result.
 LONG_WORD = 400
 _WORKER: dict = {}
 
 _ENCODE = """
-WITH RECURSIVE state(step, word, pos, token, next_token) AS (
-  SELECT 0, word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) FROM words
+WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (
+  SELECT word, pos, token, lead(pos) OVER v, lead(token) OVER v, false FROM words WINDOW v AS (PARTITION BY word ORDER BY pos)
   UNION ALL
   SELECT * FROM (
     WITH ranked AS (
-      SELECT s.*, m.merged FROM state s LEFT JOIN merges m ON m.first = s.token AND m.second = s.next_token
-    ), chosen AS (  -- the lowest rank, then the leftmost position
-      SELECT word, min((merged::BIGINT << 32) | pos) AS pick FROM ranked WHERE merged IS NOT NULL GROUP BY word
-    ), contracted AS (
-      SELECT step, word, pos, CASE WHEN pos = (pick & 4294967295) THEN (pick >> 32)::INTEGER ELSE token END AS token,
-        lag(pos) OVER (PARTITION BY word ORDER BY pos) IS NOT DISTINCT FROM (pick & 4294967295) AS swallowed
-      FROM ranked JOIN chosen USING (word)
+      SELECT s.word, s.pos, s.token, s.after, s.next_token, m.merged FROM state s LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next_token WHERE NOT s.done
+    ), chosen AS (
+      -- the lowest rank, then the leftmost position
+      SELECT word, min((merged::BIGINT << 32) | pos) AS pick FROM ranked GROUP BY word
+    ), picked AS (
+      SELECT r.*, pick & 4294967295 AS here, (pick >> 32)::INTEGER AS made FROM ranked r JOIN chosen USING (word)
+    ), gone AS (
+      SELECT p.word, p.after AS gone, s.after AS gone_after, s.next_token AS gone_token FROM picked p JOIN picked s ON s.word = p.word AND s.pos = p.after WHERE p.pos = p.here
     )
-    SELECT step + 1, word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) FROM contracted WHERE NOT swallowed
+    SELECT p.word, p.pos, CASE WHEN p.pos = here THEN made ELSE token END,
+      CASE WHEN p.pos = here THEN gone_after ELSE after END,
+      CASE WHEN p.pos = here THEN gone_token WHEN p.after = here THEN made ELSE next_token END, here IS NULL
+    FROM picked p LEFT JOIN gone g ON g.word = p.word WHERE p.pos IS DISTINCT FROM g.gone
   )
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT word, pos, token, step, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word ORDER BY word
+SELECT word, list(token ORDER BY pos) AS ids FROM state WHERE done GROUP BY word ORDER BY word
 """
 
 _DECODE = """
@@ -64,25 +68,24 @@ class Codec:
 
     def __init__(self, path: str, pattern: str, cache_entries: int):
         self.ranks = read_ranks(path)
-        self.limit = cache_entries
-        first, second, merged = [], [], []
+        pair, merged = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
-                    first.append(a)
-                    second.append(b)
+                    pair.append(a << 32 | b)
                     merged.append(rank)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", first=first, second=second, merged=merged)
+        self._table("merges", pair=pair, merged=merged)
         self._table("vocabulary", id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.matches = regex.compile(pattern).findall
-        self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.pieces: tuple[dict, dict] = ({}, {})
+        # Pieces as they stand, pieces after a space, and the matches of the pattern.
+        self.caches = Cache(None, cache_entries // 8), Cache(None, cache_entries), Cache(None, cache_entries // 2)
+        self.pieces, self.words = self.caches[:2], self.caches[2]
 
     def _table(self, name: str, **columns) -> None:
-        made = pa.table({k: pa.array(v, pa.string() if v and isinstance(v[0], str) else pa.int32()) for k, v in columns.items()})
+        made = pa.table({k: pa.array(v, pa.string() if v and isinstance(v[0], str) else pa.int64() if k == "pair" else pa.int32()) for k, v in columns.items()})
         self.db.register("given", made)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
@@ -143,45 +146,62 @@ class Codec:
             offer(i)
         return [token[i] for i in range(n) if part[i] is not None]
 
-    def learn(self, missing: Iterable[tuple[int, str]]) -> None:
+    def learn(self, missing: Iterable[tuple[int, str]]) -> dict[tuple[int, str], tuple[str, bytes]]:
         """Encode and decode pieces not met so far. A piece: 1 if a space went before it, and the rest."""
-        parts = {(space, piece): self.matches(" " + piece if space else piece) for space, piece in missing}
-        new = list({w for words in parts.values() for w in words if w not in self.words})
+        parts = [(key, self.matches(" " + key[1] if key[0] else key[1])) for key in missing]
+        needed = {w for _, words in parts for w in words}
+        known = {w: x for w in needed if (x := self.words.get(w) or self.words.old.get(w))}
+        new = [w for w in needed if w not in known]
         ids = self.encode_words([w.encode() for w in new])
-        for w, x, data in zip(new, ids, self.decode_words(ids), strict=True):
-            self.words[w] = len(x), " ".join(map(str, x)), data
-        for (space, piece), words in parts.items():
-            found = [self.words[w] for w in words]
-            self.pieces[space][piece] = sum(x[0] for x in found), " ".join(x[1] for x in found), b"".join(x[2] for x in found)
+        known.update({w: (" ".join(map(str, x)), data) for w, x, data in zip(new, ids, self.decode_words(ids), strict=True)})
+        self.words.make = known.__getitem__
+        for w in needed:
+            self.words[w]
+        learned = {}
+        for key, words in parts:
+            if len(words) == 1:
+                learned[key] = known[words[0]]
+            else:
+                texts, data = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
+                learned[key] = " ".join(texts), b"".join(data)
+        return learned
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Of each text: number of ids, the ids in decimal joined by one space, the bytes decoded from them."""
-        whole, spaced = self.pieces
-        if len(whole) + len(spaced) > self.limit or len(self.words) > self.limit:
-            whole.clear()
-            spaced.clear()
-            self.words.clear()
         lines = [None if is_odd(t) else cut(t) for t in texts]
-        odd = [cut_odd(t) if x is None else None for t, x in zip(texts, lines, strict=True)]
-        missing = {(0, p) for x in odd if x for p in x if p not in whole} | {(0, p[0]) for x in lines if x for p in x if p[0] not in whole}
-        missing |= {(1, p) for x in lines if x for line in x for p in line[1:] if p not in spaced}
-        self.learn(missing | {(0, "\n"), (0, "")})
-        newline = whole["\n"]
+        odd = [cut_odd(t) if x is None else () for t, x in zip(texts, lines, strict=True)]
+        wanted: tuple[set, set] = ({"\n"}, set())
+        wanted[0].update(*odd)
+        for line in (line for x in lines if x for line in x):
+            wanted[0].add(line[0])
+            wanted[1].update(islice(line, 1, None))
+        missing = [(space, p) for space, cache in enumerate(self.pieces) for p in wanted[space] if p not in cache]
+        # What the old generations hold is set aside first: they may give way to newer ones while this block is read.
+        ready = {(space, p): self.pieces[space].old[p] for space, p in missing if p in self.pieces[space].old}
+        ready.update(self.learn([k for k in missing if k not in ready]))
+        for space, cache in enumerate(self.pieces):
+            held = {p: cache[p] for p in wanted[space] if p in cache}
+            cache.make = lambda p, space=space, held=held: ready.get((space, p)) or held[p]
+        whole, spaced = (cache.__getitem__ for cache in self.pieces)
         for x, o in zip(lines, odd, strict=True):
-            found = [whole[p] for p in o] if x is None else []
+            found = list(map(whole, o))
             for line in x or ():
-                found.append(whole[line[0]])
-                found.extend(map(spaced.__getitem__, line[1:]))
-                found.append(newline)
-            if x is not None:
+                if line[0]:
+                    found.append(whole(line[0]))
+                found.extend(map(spaced, islice(line, 1, None)))
+                found.append(whole("\n"))
+            if x:
                 found.pop()
-            yield sum(f[0] for f in found), " ".join([f[1] for f in found if f[1]]), b"".join([f[2] for f in found])
+            parts, data = zip(*found, strict=True) if found else ((), ())
+            ids = " ".join(parts)
+            yield ids.count(" ") + bool(ids), ids, b"".join(data)
 
 
 def _codec(path: str, pattern: str, cache_entries: int) -> Codec:
     key = path, pattern
     if key not in _WORKER:
         _WORKER[key] = Codec(path, pattern, cache_entries)
+    only(*_WORKER[key].caches)
     return _WORKER[key]
 
 
@@ -222,6 +242,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, pattern, cache_entries)
+        gc.disable()  # the caches hold many small tuples and no cycles; collecting them costs a fifth of the time
         for block in blocks(batches, "text", block_bytes):
             n, ids, data = [], [], []
             for count, text, decoded in codec.texts([t or "" for t in block.column("text").to_pylist()]):
@@ -229,6 +250,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 ids.append(hashlib.sha256(text.encode()).hexdigest())
                 data.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.enable()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
