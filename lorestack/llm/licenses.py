@@ -2,7 +2,8 @@
 
 In a place of the text that holds enough of a template's words, both are aligned: common ends first, then the words that
 occur once in both are anchors, the longest increasing subsequence of them is kept, and the gaps between anchors are
-aligned in the same way. Coverage is the share of the template's words that found their place.
+aligned in the same way. Coverage is the share of the template's words that found their place. The words that name the
+license and its version must be there without gaps; short notices, in which any word may be one of these, match in full.
 """
 
 from __future__ import annotations
@@ -26,27 +27,75 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
 and/or other materials provided with the distribution."""
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License"
+_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of version {1} of the GNU {0} as published by the Free Software Foundation"
+_LATER = ", or (at your option) any later version."
+_GNU_KINDS = [("GPL", "General Public License", "2.0"), ("GPL", "General Public License", "3.0"), ("LGPL", "Library General Public License", "2.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3.0"), ("AGPL", "Affero General Public License", "3.0")]
+
+
+def _names() -> Iterator[tuple[str, str]]:
+    """(SPDX identifier, usual name) of the licenses that one-sentence notices name."""
+    for short, long, v in _GNU_KINDS:
+        for number in {v, v.removesuffix(".0")}:
+            for name in (f"GNU {long}", f"GNU {short}", short):
+                yield from ((f"{short}-{v}", f"{name}{sign}{number}") for sign in (", version ", " v", " "))
+                yield f"{short}-{v}", f"version {number} of the {name}"
+            yield f"{short}-{v}", f"{short}v{number}"
+        yield from ((f"{short}-{v}", f"{short}-{v}{tail}") for tail in ("-only", "-or-later"))
+    kinds = [("", ""), ("-NC", "-NonCommercial"), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")]
+    for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        for short, long in kinds:
+            for long in {long, long.replace("Derivatives", "Derivs")}:
+                yield from ((f"CC-BY{short}-{v}", f"Creative Commons Attribution{long} {v}{tail}") for tail in ("", " International License", " Unported License"))
+            yield f"CC-BY{short}-{v}", f"CC BY{short} {v}"
+    for name in ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons Zero 1.0", "Creative Commons CC0 1.0"):
+        yield "CC0-1.0", name
+    for spdx, name, v in (("Apache", "Apache License", "2.0"), ("Apache", "Apache", "2.0"), ("MPL", "Mozilla Public License", "2.0"), ("MPL", "MPL", "2.0"), ("MPL", "Mozilla Public License", "1.1"), ("EPL", "Eclipse Public License", "1.0"), ("EPL", "Eclipse Public License", "2.0"), ("EPL", "EPL", "2.0"), ("BSL", "Boost Software License", "1.0"), ("BSL", "BSL", "1.0"), ("BUSL", "Business Source License", "1.1")):
+        yield from ((f"{spdx}-{v}", f"{name}{sign}{v}") for sign in (", version ", " v", " v. ", " "))
+    for n, other in (("2", "Simplified"), ("3", "New"), ("3", "Modified"), ("4", "Original")):
+        yield from ((f"BSD-{n}-Clause", name) for name in (f"BSD {n}-Clause", f"BSD {n}-Clause License", f"{n}-Clause BSD", f"{n}-Clause BSD License", f"{other} BSD License"))
+    yield from (("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense"))
+
+
+def _notices() -> Iterator[tuple[str, str]]:
+    """One-sentence notices: a license that is named after the verb."""
+    for spdx, name in _names():
+        for verb in ("Licensed", "This work is licensed", "Released", "Distributed", "Published", "Available"):
+            yield from ((spdx, f"{verb} under {the}{name}") for the in ("", "the ", "a ", "an ", "the terms of the ", "the conditions of the "))
+        yield spdx, f"SPDX-License-Identifier: {spdx}"
+
+
 #: Public license texts and usual notices, by SPDX identifier. Several templates may name one license.
 TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _DISCLAIM),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-2-Clause", _BSD),
     ("BSD-3-Clause", _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-4-Clause", _BSD + " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    *((f"{short}-{v}", text.format(long, v.removesuffix(".0")) + end) for short, long, v in _GNU_KINDS for text in (_GNU, _ONLY) for end in ((_LATER, "") if text is _GNU else ("",))),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    *_notices(),
 ]
+#: Words that the long texts of a license must hold one after another: what tells it from its relatives.
+NAMING: dict[str, list[str]] = {
+    "MIT": ["shall be included in all copies"],
+    "BSD-3-Clause": ["endorse or promote products"],
+    "BSD-4-Clause": ["All advertising materials", "endorse or promote products"],
+    "Apache-2.0": ["Apache License", "Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License", "v. 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    **{f"{short}-{v}": [f"GNU {long}", f"version {v.removesuffix('.0')} of the"] for short, long, v in _GNU_KINDS},
+}
+#: Templates of at most so many words are notices: they must stand in the text in full, word after word.
+NOTICE = 20
 _WORD = re.compile(rb"[a-z0-9]+")
+_GOES_ON = re.compile(rb"\.[0-9]|-[a-z0-9]")
 _SCHEMA = "doc_id long, license string, start long, end long, matched int, coverage double"
 
 
@@ -95,6 +144,7 @@ class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name = name
         self.words = _WORD.findall(text.lower().encode())
+        self.naming = [b" " + b" ".join(_WORD.findall(x.lower().encode())) + b" " for x in NAMING.get(name, [])]
         self.distinct = set(self.words)
         count = Counter(self.words)
         spare, self.guard = (1 - coverage) * len(self.words), []
@@ -106,6 +156,40 @@ class Template:
         missing = int((1 - coverage) * len(self.words) + 1e-9)
         self.least = max(1, len(self.distinct) - missing)  # distinct words that such a text must hold
 
+    def named(self, words: list[bytes]) -> bool:
+        """Whether the words hold those that name the license."""
+        text = b" " + b" ".join(words) + b" "
+        return all(x in text for x in self.naming)
+
+
+def notice_tree(notices: list[tuple[str, list[bytes]]]) -> dict:
+    """Notices by their words, one level a word; the license's name is under None."""
+    tree: dict = {}
+    for name, words in notices:
+        at = tree
+        for w in words:
+            at = at.setdefault(w, {})
+        at[None] = name
+    return tree
+
+
+def notice_places(tree: dict, words: list[bytes], spans: list[tuple[int, int]], low: bytes) -> Iterator[tuple[int, int, str]]:
+    """(first word, last word, license) of the longest notice at each place; "2" is not the version of "2.1", nor MIT of MIT-0."""
+    done = 0
+    for start, w in enumerate(words):
+        if w not in tree or start < done:
+            continue
+        at, last = tree, None
+        for i in range(start, len(words)):
+            at = at.get(words[i])
+            if at is None:
+                break
+            if None in at and not _GOES_ON.match(low, spans[i][1]):
+                last = i, at[None]
+        if last:
+            done = last[0] + 1
+            yield start, *last
+
 
 def places(template: Template, words: list[bytes], coverage: float) -> Iterator[tuple[int, int, int]]:
     """(first word, last word, words matched) of the template's occurrences, none overlapping."""
@@ -121,21 +205,22 @@ def places(template: Template, words: list[bytes], coverage: float) -> Iterator[
             right += 1
         if kinds >= template.least and start >= done:
             found = align(template.words, words[start : start + width])
-            if found and found[0][1] == 0 and len(found) >= coverage * n:
+            if found and found[0][1] == 0 and len(found) >= coverage * n and template.named(words[start : start + found[-1][1] + 1]):
                 done = start + found[-1][1] + 1
                 yield start, done - 1, len(found)
         inside[words[start]] -= 1
         kinds -= inside[words[start]] == 0
 
 
-def scan_text(text: bytes, templates: list[Template], guards: list[bytes], coverage: float) -> list[tuple[str, int, int, int, float]]:
+def scan_text(text: bytes, templates: list[Template], notices: dict, guards: list[bytes], coverage: float) -> list[tuple[str, int, int, int, float]]:
     """(license, start, end, matched, coverage) in characters; of findings that overlap the best covered, then the longest."""
     low = text.lower()
     if not any(g in low for g in guards):
         return []
     spans = [m.span() for m in _WORD.finditer(low)]
     words = [low[a:b] for a, b in spans]
-    there, found = set(words), []
+    there = set(words)
+    found = [(-1.0, a - b - 1, spans[a][0], spans[b][1], name) for a, b, name in notice_places(notices, words, spans, low)]
     for t in templates:
         if len(t.distinct & there) >= t.least:
             found += [(-k / len(t.words), -k, spans[a][0], spans[b][1], t.name) for a, b, k in places(t, words, coverage)]
@@ -150,19 +235,23 @@ def scan_text(text: bytes, templates: list[Template], guards: list[bytes], cover
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license found in a whole text: doc_id, license, start, end (characters), matched words, coverage.
 
-    Words are runs of a-z and 0-9 in lower case. Null and empty texts have none; a license that a text holds twice is found
+    Words are runs of a-z and 0-9 in lower case. ``coverage`` is that of texts of more than ``NOTICE`` words; shorter ones stand in
+    full, and words that ``NAMING`` gives for a license without gaps. Null and empty texts have none; a license that a text holds twice is found
     twice; repeated rows give repeated findings; a null identifier is carried. Other columns are not read. An empty table
     gives an empty result. Everything is on the map side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Template(name, text, coverage) for name, text in templates]
-        guards = sorted({g for t in known for g in t.guard}, key=lambda g: (-len(g), g))
+        split = [(name, text, _WORD.findall(text.lower().encode())) for name, text in templates]
+        known = [Template(name, text, coverage) for name, text, words in split if len(words) > NOTICE]
+        short = [(name, words) for name, _, words in split if 0 < len(words) <= NOTICE]
+        notices = notice_tree(short)
+        guards = sorted({g for t in known for g in t.guard} | {max(words, key=len) for _, words in short}, key=lambda g: (-len(g), g))
         guards = [g for g in guards if not any(h in g for h in guards if h != g)]  # a word with another inside adds nothing
         for block in blocks(batches, "text", 8 << 20):
             rows = []
             for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                rows += [(doc, *f) for f in scan_text(text or b"", known, guards, coverage)]
+                rows += [(doc, *f) for f in scan_text(text or b"", known, notices, guards, coverage)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "license", "start", "end", "matched", "coverage"])

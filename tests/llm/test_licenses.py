@@ -56,3 +56,42 @@ def test_scan(spark):
         assert span.split()[0] in ("released", "licensed", "permission", "this") and 0.8 <= r.coverage <= 1
     assert [texts[1][r.start : r.end] for r in got if r.doc_id == 1][0] == "Released under the MIT License"
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_relatives_are_told_apart(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [
+        ("Licensed under the BSD License", None),
+        ("licensed under the terms of the license", None),
+        ("Licensed under the terms of the MIT License.", "MIT"),
+        ("SPDX-License-Identifier: MIT-0", None),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This book is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("released under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("released under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("released under the GNU General Public License, version 2.7", None),
+        (gnu.format("General Public License", "2"), "GPL-2.0"),
+        (gnu.format("General Public License", "3"), "GPL-3.0"),
+        (gnu.format("Lesser General Public License", "2.1"), "LGPL-2.1"),
+        (gnu.format("Affero General Public License", "3"), "AGPL-3.0"),
+        (gnu.format("Sometimes General Public License", "3"), None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Released under CC0 1.0 Universal.", "CC0-1.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("Available under the Eclipse Public License v2.0", "EPL-2.0"),
+        ("Licensed under the zlib License", "Zlib"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in L.scan_licenses(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [(t, got.get(i)) for i, (t, _) in enumerate(rows)] == [(t, [n] if n else None) for t, n in rows]
+
+
+def test_each_template_is_found_as_itself():
+    for name, text in L.TEMPLATES:
+        assert L.Template(name, text, 0.8).named(L._WORD.findall(text.lower().encode())) or len(text.split()) <= L.NOTICE
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "CC-BY-ND-4.0", "EPL-2.0", "BSL-1.0", "Zlib"} <= {n for n, _ in L.TEMPLATES}
