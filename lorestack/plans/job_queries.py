@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestack.functions import markup as M
@@ -157,21 +157,34 @@ def st2_stream_turns(spark, d):
     return J.run_available(J.stream_turns(stream), f"turns_{uuid.uuid4().hex}", "append", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-def st3_stream_tokens(spark, d):
-    m = standin(spark, d, "messages").filter("id % 7 > 0")
+def _token_lines(m: DataFrame, end: Column) -> DataFrame:
+    """Messages as server-sent lines, a word a line, some lines pings or broken; the end mark has the place ``end``."""
     word = m.select(F.col("id").alias("message_id"), F.posexplode(F.split("content", " ")).alias("seq", "word"))
     line = F.when(F.col("seq") % 11 == 5, F.lit(": ping")).when(F.col("seq") % 13 == 7, F.lit("data: {broken")).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("word", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))))
-    lines = word.select("message_id", "seq", line.alias("line")).unionByName(m.select(F.col("id").alias("message_id"), F.lit(40).alias("seq"), F.lit("data: [DONE]").alias("line")))
+    return word.select("message_id", "seq", line.alias("line")).unionByName(m.select(F.col("id").alias("message_id"), end.alias("seq"), F.lit("data: [DONE]").alias("line")))
+
+
+def _collected(spark: SparkSession, lines: DataFrame) -> DataFrame:
     got = J.run_available(J.parse_tokens(_stream(spark, lines)), f"tokens_{uuid.uuid4().hex}", "append", _folder(spark))
     return J.collect_tokens(got).select("message_id", F.md5("text").alias("text_md5"), "done", "errors")
 
 
+def st3_stream_tokens(spark, d):
+    """Six of seven messages, the end mark at word 40: what comes after an end mark is left out."""
+    return _collected(spark, _token_lines(standin(spark, d, "messages").filter("id % 7 > 0"), F.lit(40)))
+
+
+def st5_stream_whole_texts(spark, d):
+    """All messages, the end mark after the last word of each."""
+    return _collected(spark, _token_lines(standin(spark, d, "messages"), F.size(F.split("content", " "))))
+
+
 def st4_stream_status(spark, d):
     events = _stream(spark, table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), f"status_{uuid.uuid4().hex}", "complete", _folder(spark))
 
 
-_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status"
+_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _TURNS = ", t AS (SELECT * FROM (SELECT *, lag(role) OVER w AS r, lag(content) OVER w AS q FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY chat_id ORDER BY pos)) WHERE role = 'assistant' AND r = 'user')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
@@ -183,5 +196,6 @@ ORACLE_SQL = {
     "st1_stream_ingest": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 10 > 0) WHERE len(w) > 0)",
     "st2_stream_turns": with_sql("messages", _TURNS + " SELECT chat_id, id AS answer_id, md5(q) AS question_md5, md5(content) AS answer_md5 FROM t"),
     "st3_stream_tokens": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages WHERE id % 7 > 0) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq < 40 AND seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
+    "st5_stream_whole_texts": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
     "st4_stream_status": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -1,5 +1,6 @@
 """Every registered query of the library against its SQL in DuckDB, on the smallest data."""
 
+import hashlib
 import math
 import os
 
@@ -47,3 +48,14 @@ def test_every_oracle_has_its_query():
 
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
+
+
+def test_streamed_texts_are_whole(spark, duck):
+    got = registry.QUERIES["st5_stream_whole_texts"](spark, DATA)
+    texts = duck.sql("SELECT conv_id * 1000 + turn, text FROM conversations").fetchall()
+    assert max(len(t.split(" ")) for _, t in texts) > 40
+    want = {}
+    for i, text in texts:
+        kept = [w + " " for n, w in enumerate(text.split(" ")) if n % 11 != 5 and n % 13 != 7]
+        want[i] = hashlib.md5("".join(kept).encode()).hexdigest()
+    assert {r.message_id: r.text_md5 for r in got.collect()} == want and got.filter("done").count() == len(texts)
