@@ -115,10 +115,10 @@ def r18_index_turns(spark, d):
 def r14_assemble_prompts(spark, d):
     turns, chats = _turns(spark, d), standin(spark, d, "chats")
     memory = index_turns(turns, chats).select("namespace", "doc_id", "chunk_index", "text", "vector")
-    library = J.ingest(table(spark, d, "documents").filter("lang = 'en'"))
+    library = J.ingest(table(spark, d, "documents"))
     asked = standin(spark, d, "messages").filter("role = 'user'").groupBy("chat_id").agg(F.max_by("content", "pos").alias("question"))
     questions = asked.join(chats, "chat_id").select(F.col("chat_id").alias("question_id"), "chat_id", "question", embed(F.col("question"), kind="query").alias("vector"), "use_global", "use_memory", F.lit(2048).alias("context"))
-    documents, attached = standin(spark, d, "kb_documents").select("doc_id", "filename"), standin(spark, d, "attachments").filter("doc_id % 100 = 0")
+    documents, attached = standin(spark, d, "kb_documents").select("doc_id", "filename"), standin(spark, d, "attachments")
     made = assemble_prompts(questions, library.unionByName(memory), standin(spark, d, "messages"), documents, attached, turns)
     return made.select("question_id", F.octet_length("sources").alias("source_bytes"), F.size("history").alias("n_history"), F.octet_length("memory").alias("memory_bytes"), "answer_tokens")
 
