@@ -154,7 +154,7 @@ def st1_stream_ingest(spark, d):
 def st2_stream_turns(spark, d):
     m = standin(spark, d, "messages")
     stream = _stream(spark, m.repartition(1), files=1)  # messages of a chat arrive in order
-    return J.run_available(J.stream_turns(stream), f"turns_{uuid.uuid4().hex}", "append", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+    return J.run_available(J.stream_turns(stream), _folder(spark), "append", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
 def _token_lines(m: DataFrame, end: Column) -> DataFrame:
@@ -165,7 +165,7 @@ def _token_lines(m: DataFrame, end: Column) -> DataFrame:
 
 
 def _collected(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    got = J.run_available(J.parse_tokens(_stream(spark, lines)), f"tokens_{uuid.uuid4().hex}", "append", _folder(spark))
+    got = J.run_available(J.parse_tokens(_stream(spark, lines)), _folder(spark), "append", _folder(spark))
     return J.collect_tokens(got).select("message_id", F.md5("text").alias("text_md5"), "done", "errors")
 
 
@@ -181,7 +181,7 @@ def st5_stream_whole_texts(spark, d):
 
 def st4_stream_status(spark, d):
     events = _stream(spark, table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), f"status_{uuid.uuid4().hex}", "complete", _folder(spark))
+    return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), _folder(spark), "complete", _folder(spark))
 
 
 _NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"

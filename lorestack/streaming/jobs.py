@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorestack.functions.text import chunks
 from lorestack.operators.embed import embed, hashing_model
-from lorestack.operators.store import upsert_chunks
+from lorestack.operators.store import read_or_empty, upsert_chunks
 
 
 def ingest(files: DataFrame, factory: Callable = hashing_model, namespace: str = "global") -> DataFrame:
@@ -94,8 +95,20 @@ def stream_status(events: DataFrame, key: str, order: list[str], values: list[st
     return last.select(key, *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and give its result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there into Parquet at ``path`` and give its result as a table.
+
+    One folder per batch, so that a batch that is run again overwrites its own. Of complete output the last batch is the
+    result, of append output all are. Nothing is gathered on the driver.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = read_or_empty(spark, path, StructType([*schema.fields, StructField("batch", LongType())]))
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.select(*schema.names)
