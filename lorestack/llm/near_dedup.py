@@ -36,7 +36,7 @@ _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _ORDER = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_WORDS = Cache(xxhash.xxh3_64_intdigest, 250_000)
+_WORDS = Cache(xxhash.xxh3_64_intdigest, 40 << 20)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -84,9 +84,13 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _words_only() -> None:
+    only(_WORDS)
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_WORDS)
+        _words_only()
         for block in blocks(batches, "text", 8 << 20):
             n, keys, signs = [], [], []
             for text in block.column("text").cast(pa.binary()).to_pylist():
@@ -112,7 +116,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_WORDS)
+        _words_only()
         for block in blocks(batches, "text", 8 << 20):
             ids, sets, sketches = [], [], []
             for i, key, text in zip(block.column("id").to_pylist(), block.column("set_key").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):

@@ -56,10 +56,13 @@ def _fast_encoder(tokenizer):
 class IdBytes:
     """The ids of a text as little-endian unsigned 32-bit bytes; pieces are encoded once per worker."""
 
-    def __init__(self, path: str, cache_entries: int):
+    built = 0
+
+    def __init__(self, path: str, cache_bytes: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        IdBytes.built += 1
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -68,8 +71,8 @@ class IdBytes:
         ids = _fast_encoder(tokenizer) or self.library
         pack = lambda x: array("I", x).tobytes()
         self.encode = lambda text: pack(self.library(text))
-        self.whole = Cache(lambda piece: pack(ids(piece)), cache_entries // 8)
-        self.after_space = Cache(lambda piece: pack(ids(" " + piece)), cache_entries)
+        self.whole = Cache(lambda piece: pack(ids(piece)), cache_bytes // 8)
+        self.after_space = Cache(lambda piece: pack(ids(" " + piece)), cache_bytes)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -90,6 +93,15 @@ class IdBytes:
         return self.whole["\n"]
 
 
+def id_bytes(path: str, cache_bytes: int) -> IdBytes:
+    """This worker's encoder of a file, built once and kept from task to task. (A dict that a shipped function names
+    directly would come to each task as a new copy; a function of a module is looked up where the task runs.)"""
+    if path not in _WORKER:
+        _WORKER[path] = IdBytes(path, cache_bytes)
+    only(_WORKER[path].whole, _WORKER[path].after_space)
+    return _WORKER[path]
+
+
 def fill(counts: Counter, capacity: int) -> list[int]:
     """Lengths for one window: the largest, and the multiset of the others that leaves least slack. ``counts`` stays as it is."""
     seed = max(counts)
@@ -134,7 +146,7 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
     return windows
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 300_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 60 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every row lies in one piece; a sequence holds at most ``window`` ids, its pieces gapless from offset 0. A
@@ -144,10 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _WORKER:
-            _WORKER[tokenizer_path] = IdBytes(tokenizer_path, cache_entries)
-        only(_WORKER[tokenizer_path].whole, _WORKER[tokenizer_path].after_space)
-        ids_of, end = _WORKER[tokenizer_path], np.array([end_id], dtype="<u4").tobytes()
+        ids_of, end = id_bytes(tokenizer_path, cache_bytes), np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         tails = []
 

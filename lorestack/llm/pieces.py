@@ -7,13 +7,16 @@ edge between a non-space and that space. A piece between such places is therefor
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: White space next to white space or at an end of the text: the plain cuts below don't hold.
-_ODD = re.compile(r"^\s|\s\s|\s\Z")
+#: White space next to white space or at an end of the text, where the plain cuts below don't hold; other white space than
+#: spaces and newlines counts too.
+_OTHER = re.compile(r"[^\S \n]")
+_ODD = ("  ", " \n", "\n ", "\n\n")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
 
@@ -27,7 +30,7 @@ def cut(text: str) -> list[list[str]]:
 
 
 def is_odd(text: str) -> bool:
-    return _ODD.search(text) is not None
+    return any(x in text for x in _ODD) or text[:1].isspace() or text[-1:].isspace() or _OTHER.search(text) is not None
 
 
 def cut_odd(text: str) -> list[str]:
@@ -35,35 +38,46 @@ def cut_odd(text: str) -> list[str]:
     return [p for p in _BEFORE_SPACE.split(text) if p]
 
 
-_CACHES: list = []
+_CACHES: list[weakref.ref] = []
 
 
 class Cache(dict):
-    """Key to value, filled by ``make``. Two generations of ``limit`` entries: when the young one is full it becomes the
-    old one, and what is used again moves back, so frequent keys stay."""
+    """Key to value, filled by ``make``. Two generations of ``most_bytes`` each: when the young one is full it becomes the
+    old one, and what is used again moves back, so frequent keys stay. An entry counts for 300 bytes and 12 for each
+    character of its key, since values are of a size with their keys; one of over a quarter of the bound is made anew each
+    time. To be held by a module, not by a function that Spark ships: that would give each task a copy."""
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, most_bytes: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-        _CACHES.append(self)
+        self.make, self.most_bytes, self.size, self.old = make, most_bytes, 0, {}
+        _CACHES[:] = [r for r in _CACHES if r() is not None] + [weakref.ref(self)]
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+        weight = 300 + 12 * len(key)
+        if weight > self.most_bytes // 4:
+            return value
+        if self.size + weight > self.most_bytes:
             self.old = dict(self)
-            self.clear()
+            self.empty(keep_old=True)
         self[key] = value
+        self.size += weight
         return value
 
+    def empty(self, keep_old: bool = False) -> None:
+        self.clear()
+        self.size = 0
+        if not keep_old:
+            self.old = {}
+
 
 def only(*used: Cache) -> None:
     """Empty this worker's other caches: a worker that goes from one operator to the next keeps the caches of one."""
-    for cache in _CACHES:
+    for cache in filter(None, [r() for r in _CACHES]):
         if not any(cache is u for u in used):
-            cache.clear()
-            cache.old = {}
+            cache.empty()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Quality classification by a factorisation machine.
 
 The inputs of a document are hashed words (term frequency, unit length), shares of word shapes, and bins of structure
-statistics and of its size. The score is the logistic of a bias, a linear part, and all pairwise interactions through
+statistics. The only metadata are what the text itself says of its size, the bins of its bytes and lines: language, source
+and identifier may not be inputs. The score is the logistic of a bias, a linear part, and all pairwise interactions through
 vectors of low rank, summed in linear time as half of the squared sums less the sums of squares.
 """
 
@@ -39,10 +40,14 @@ def _places(word: bytes) -> tuple[int, int]:
         if c != last:
             shape.append(c)
         last = c
-    return zlib.crc32(word.lower()) % WORDS, zlib.crc32(bytes(shape[:12])) % SHAPES
+    return zlib.crc32(word.lower()) % WORDS, zlib.crc32(bytes(shape)) % SHAPES
 
 
-_CACHE = Cache(_places, 150_000)
+_CACHE = Cache(_places, 40 << 20)
+
+
+def _places_only() -> None:
+    only(_CACHE)
 
 
 def _share(text: bytes, chars: bytes) -> float:
@@ -88,7 +93,7 @@ class FactorisationMachine:
         return self.b + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (total * total - squares).sum(axis=1)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> FactorisationMachine:
-        """Adagrad on the logistic loss; each class weighs the same, then the bias is set back to the classes' shares."""
+        """Adagrad on the logistic loss; each class weighs the same, whatever its share of the rows."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         sw, sv, sb = np.full(SIZE, 1e-6), np.full(self.v.shape, 1e-6), 1e-6
@@ -125,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_CACHE)
+        _places_only()
         for batch in batches:
             found = [inputs(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["label", "at", "value"])
@@ -143,7 +148,7 @@ def score(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SIZE * (k + 1) numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_CACHE)
+        _places_only()
         machine = shared.value
         for block in blocks(batches, "text", 1 << 20):
             found = [inputs(t or b"") for t in block.column("text").cast(pa.binary()).to_pylist()]
@@ -169,7 +174,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_c
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_CACHE)
+        _places_only()
         machine = shared.value
         for block in blocks(batches, text_col, 1 << 20):
             found = [inputs(t or b"") for t in block.column(text_col).cast(pa.binary()).to_pylist()]

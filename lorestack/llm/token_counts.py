@@ -3,20 +3,20 @@
 A tokenizer that drops white space gives every run between white space the same tokens in any text. The first tier is a
 broadcast table of the lengths of frequent runs, at most ``frequent`` entries of at most ``MOST_BYTES`` bytes each (a few
 MB, whatever the input's size). The second is a cache in each worker: a miss is encoded once, with the other misses of
-its block, and remembered until the cache is full.
+its block, and kept from task to task within a bound of bytes.
 """
 
 from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.pieces import blocks
+from lorestack.llm.pieces import Cache, blocks, only
 
 #: Longer runs stay out of the broadcast table.
 MOST_BYTES = 48
@@ -40,16 +40,59 @@ def _encoder(path: str):
     return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _frequent_runs(docs: DataFrame, text_col: str, frequent: int, sample_rows: int) -> list[bytes]:
-    """The most frequent runs of the first ``sample_rows`` rows; only speed depends on which they are."""
+class Counts:
+    """One worker's encoder of a file and the lengths of the runs it has met."""
 
-    seen: Counter = Counter()
-    for row in docs.select(F.col(text_col).cast("string").alias("text")).take(sample_rows):  # reads only as many files as that takes
-        seen.update(k for k in (row.text or "").encode().split() if len(k) <= MOST_BYTES)
-    return [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:frequent]]
+    built = 0
 
+    def __init__(self, path: str, cache_bytes: int):
+        Counts.built += 1
+        self.encode = _encoder(path)
+        self.lengths = Cache(lambda run: self.encode([run.decode("utf-8", "replace")])[0], cache_bytes)
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 50_000, sample_rows: int = 2_000, cache_entries: int = 800_000, block_bytes: int = 4 << 20) -> DataFrame:
+    def learn(self, runs: Iterable[bytes]) -> dict[bytes, int]:
+        """Lengths of runs that the cache lacks, encoded in one batch; the cache takes them in."""
+        missing = [k for k in runs if k not in self.lengths and k not in self.lengths.old]
+        new = dict(zip(missing, self.encode([k.decode("utf-8", "replace") for k in missing]), strict=True))
+        own, self.lengths.make = self.lengths.make, new.__getitem__
+        for k in missing:
+            self.lengths[k]
+        self.lengths.make = own
+        return new
+
+
+def counts(path: str, cache_bytes: int) -> Counts:
+    """This worker's encoder of a file, built once and kept from task to task."""
+    if path not in _WORKER:
+        _WORKER[path] = Counts(path, cache_bytes)
+    only(_WORKER[path].lengths)
+    return _WORKER[path]
+
+
+def frequent_runs(docs: DataFrame, text_col: str, frequent: int, one_in: int) -> list[bytes]:
+    """The most frequent runs of one row in ``one_in``, by a hash of the row; only speed depends on which they are.
+
+    Each task counts the runs of its rows and hands on its ``frequent`` commonest; Spark adds these up, and of the sums
+    the ``frequent`` highest are gathered.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                seen.update(k for k in (text or b"").split() if len(k) <= MOST_BYTES)
+            if len(seen) > 20 * frequent:  # rare ones give way, so that a task's memory doesn't grow with its rows
+                seen = Counter(dict(seen.most_common(10 * frequent)))
+        top = seen.most_common(frequent)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["run", "n"])
+
+    text = F.col(text_col).cast("string")
+    some = docs.select(text.alias("text"), F.xxhash64(*docs.columns).alias("h") if one_in > 1 else F.lit(0).alias("h")).filter(F.pmod("h", F.lit(one_in)) == 0).select("text")
+    summed = some.mapInArrow(count, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1")
+    return [bytes(r.run) for r in summed.orderBy(F.desc("n"), "run").limit(frequent).collect()]
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 50_000, one_in: int = 32, cache_bytes: int = 80 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens of every row, without begin, end or added special tokens.
 
     For tokenizers that drop white space (``.json`` of the word BPE); a tokenizer that keeps it (``.model``) is given
@@ -58,29 +101,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     by_run = not tokenizer_path.endswith(".model")
-    runs = _frequent_runs(docs, text_col, frequent, sample_rows) if by_run else []
+    runs = frequent_runs(docs.select(id_col, text_col), text_col, frequent, one_in) if by_run else []
     lengths = _encoder(tokenizer_path)([r.decode("utf-8", "replace") for r in runs]) if runs else []
     tier = {k: n for k, n in zip(runs, lengths, strict=True) if n}  # a run without tokens is left to the cache
-    shared = spark.sparkContext.broadcast(tier)
+    shared = spark.sparkContext.broadcast(tier)  # ``frequent`` entries of ``MOST_BYTES`` at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _WORKER:
-            _WORKER[tokenizer_path] = _encoder(tokenizer_path), {}
-        encode, cache = _WORKER[tokenizer_path]
+        own = counts(tokenizer_path, cache_bytes)
         table = shared.value
         for block in blocks(batches, "text", block_bytes):
             texts = [x or b"" for x in block.column("text").cast(pa.binary()).to_pylist()]
             if by_run:
                 cut = [x.split() for x in texts]
-                missed = [k for k in set().union(*cut) if k not in table and k not in cache]
-                if len(cache) + len(missed) > cache_entries:
-                    cache.clear()
-                    missed = [k for k in set().union(*cut) if k not in table]
-                cache.update(zip(missed, encode([k.decode("utf-8", "replace") for k in missed]), strict=True))
-                first, second = table.get, cache.__getitem__
-                n_tokens = [sum(first(k) or second(k) for k in words) for words in cut]
+                new = own.learn(k for k in set().union(*cut) if k not in table)
+                first, second = table.get, own.lengths.__getitem__
+                n_tokens = [sum(first(k) or new.get(k) or second(k) for k in words) for words in cut]
             else:
-                n_tokens = encode([x.decode("utf-8", "replace") for x in texts])
+                n_tokens = own.encode([x.decode("utf-8", "replace") for x in texts])
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, _SCHEMA)

@@ -107,13 +107,44 @@ def test_bpe(spark):
 
 def test_cache_generations():
     made = []
-    cache = Cache(lambda k: made.append(k) or k, 2)
-    assert [cache[k] for k in "abacada"] == list("abacada") and made.count("a") == 1
+    weight = 312
+    cache = Cache(lambda k: made.append(k) or k, 4 * weight)
+    assert [cache[k] for k in "abcdaefgahija"] == list("abcdaefgahija") and made.count("a") == 1 and len(cache) <= 4 and cache.size <= 4 * weight
+    assert cache["b" * 2000] and "b" * 2000 not in cache
     only()
-    assert not cache and not cache.old
+    assert not cache and not cache.old and not cache.size
     assert "".join(cut_odd("  a \n b")) == "  a \n b"
 
 
+def test_a_worker_builds_once_over_many_tasks(spark):
+    rows = [(i, f"some words number {i} and more of them {i * 7}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+    for _ in range(2):
+        packing.pack_documents(df, P.path("byte_bpe_50k.json")).write.format("noop").mode("overwrite").save()
+        token_counts.count_tokens(df, P.path("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
+        bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).write.format("noop").mode("overwrite").save()
+
+    def probe(batches):
+        import os
+
+        import pandas as pd
+
+        from lorestack.llm import bpe, packing, pieces, token_counts
+
+        for _ in batches:
+            pass
+        yield pd.DataFrame([(os.getpid(), packing.IdBytes.built - len(packing._WORKER), token_counts.Counts.built - len(token_counts._WORKER), bpe.Codec.built - len(bpe._WORKER), sum(r() is not None for r in pieces._CACHES))], columns=["pid", "packing", "counts", "bpe", "caches"])
+
+    seen = spark.range(50).repartition(50).mapInPandas(probe, "pid long, packing long, counts long, bpe long, caches long").collect()
+    assert all((r.packing, r.counts, r.bpe) == (0, 0, 0) and r.caches <= 12 for r in seen) and any(r.caches > 4 for r in seen), seen
+
+
+def test_frequent_runs_are_counted_over_all_tasks(spark):
+    df = spark.createDataFrame([(i, "often " * 3 + f"rare{i} twice{i // 2}") for i in range(200)], "doc_id long, text string").repartition(7)
+    assert token_counts.frequent_runs(df, "text", 400, 1)[:3] == [b"often", b"twice0", b"twice1"]
+    assert token_counts.frequent_runs(df.limit(0), "text", 3, 1) == []
+
+
 def brute(rows, k):
     ok = {}
     for i, v in rows:
@@ -138,3 +169,18 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [w[:3] for w in want]
     assert all(abs(r.score - w[3]) <= 1e-9 * max(1, abs(w[3])) for r, w in zip(sorted(got, key=lambda r: (r.query_id, r["rank"])), want))
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_long_matches_are_merged_by_the_query():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec(path, P.PATTERN, 1 << 20)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(7)
+    words = ["x" * 5001, "ACGT" * 900, "".join(rng.choice("ab") for _ in range(3000)), "".join(rng.choice(("the", "er", "an", "wh", "tion")) for _ in range(1500))]
+    words += ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(2000)] + ["".join(chr(rng.randint(0x3040, 0x9000)) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    for w, (ids, data) in zip(words, codec.encode_words([w.encode() for w in words]), strict=True):
+        assert list(map(int, ids.split())) == enc.encode_ordinary(w) and data == w.encode()
+    with pytest.raises(ValueError):
+        codec.check(2, "64 65", b"zz")
