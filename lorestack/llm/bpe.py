@@ -2,7 +2,9 @@
 
 Spark partitions the documents. In a task, the distinct matches of the split pattern that the worker has not met become
 rows (word, position, token) of bytes. A recursive query joins neighbours with the merge table, contracts the leftmost
-minimum-rank pair of each word, and goes on with the words that changed until none does. Decoding joins tokens with the
+minimum-rank pair of each word, and goes on with the words that changed until none does. As long as a merge brings forth no
+earlier one, the next places of that pair in the word, whose turn would be next, are contracted in the same round, so a
+word takes about as many rounds as it has different merges, however long it is. Decoding joins tokens with the
 vocabulary and concatenates their bytes in the order of position.
 """
 
@@ -11,7 +13,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -24,12 +25,10 @@ from pyspark.sql import functions as F
 
 from lorestack.llm.pieces import Cache, blocks, cut, cut_odd, is_odd, only
 
-#: A match of more bytes needs too many rounds of contraction; it is merged with a heap, to the same result.
-LONG_WORD = 400
 _WORKER: dict = {}
 
 _ENCODE = """
-WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (
+WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (  -- a position is one of all the words together
   SELECT word, pos, token, lead(pos) OVER v, lead(token) OVER v, false FROM words WINDOW v AS (PARTITION BY word ORDER BY pos)
   UNION ALL
   SELECT * FROM (
@@ -38,22 +37,45 @@ WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (
     ), chosen AS (
       -- the lowest rank, then the leftmost position
       SELECT word, min((merged::BIGINT << 32) | pos) AS pick FROM ranked GROUP BY word
-    ), picked AS (
+    ), picked AS MATERIALIZED (
       SELECT r.*, pick & 4294967295 AS here, (pick >> 32)::INTEGER AS made FROM ranked r JOIN chosen USING (word)
-    ), gone AS (
-      SELECT p.word, p.after AS gone, s.after AS gone_after, s.next_token AS gone_token FROM picked p JOIN picked s ON s.word = p.word AND s.pos = p.after WHERE p.pos = p.here
+    ), found AS MATERIALIZED (
+      SELECT word, pos, after, made, token = next_token AS twin FROM picked WHERE merged = made
+    ), apart AS (
+      -- only pairs of a token with itself can overlap: of a run of them every other one, from the left
+      SELECT word, pos, after, made FROM found WHERE NOT twin
+      UNION ALL
+      SELECT word, pos, after, made FROM (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos) AS run FROM (
+        SELECT word, pos, after, made, CASE WHEN lag(after) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM found WHERE twin
+      )) QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
+    ), places AS MATERIALIZED (
+      SELECT t.word, t.pos, t.made, t.after AS gone, p.after, p.next_token, t.made IN (SELECT id FROM unsafe) AS doubtful FROM apart t JOIN picked p ON p.pos = t.after
+    ), doubted AS (
+      SELECT *, lag(gone) OVER (PARTITION BY word ORDER BY pos) AS gone_before FROM places WHERE doubtful
+    ), judged AS (
+      -- whether the new token makes an earlier pair with a neighbour: then that one is next, and later places wait
+      SELECT d.*, coalesce(r.merged < d.made, false) OR coalesce(l.merged < d.made, false) AS early
+      FROM doubted d LEFT JOIN merges r ON r.pair = (d.made::BIGINT << 32) | d.next_token LEFT JOIN picked q ON q.after = d.pos
+      LEFT JOIN merges l ON l.pair = (CASE WHEN q.pos = d.gone_before THEN d.made ELSE q.token END::BIGINT << 32) | d.made
+    ), starts AS MATERIALIZED (
+      SELECT word, pos, gone, after, next_token FROM places WHERE NOT doubtful
+      UNION ALL
+      SELECT word, pos, gone, after, next_token FROM judged QUALIFY NOT coalesce(bool_or(early) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+    ), edits AS (
+      SELECT pos, false AS gone, after, next_token FROM starts UNION ALL SELECT gone, true, NULL, NULL FROM starts
+    ), joined AS (
+      SELECT p.word, p.pos, p.token, p.made, p.here, e.pos AS start, CASE WHEN e.pos IS NULL THEN p.after ELSE e.after END AS after, CASE WHEN e.pos IS NULL THEN p.next_token ELSE e.next_token END AS next_token
+      FROM picked p LEFT JOIN edits e ON e.pos = p.pos WHERE e.gone IS DISTINCT FROM true
     )
-    SELECT p.word, p.pos, CASE WHEN p.pos = here THEN made ELSE token END,
-      CASE WHEN p.pos = here THEN gone_after ELSE after END,
-      CASE WHEN p.pos = here THEN gone_token WHEN p.after = here THEN made ELSE next_token END, here IS NULL
-    FROM picked p LEFT JOIN gone g ON g.word = p.word WHERE p.pos IS DISTINCT FROM g.gone
+    SELECT j.word, j.pos, CASE WHEN start IS NULL THEN token ELSE made END, j.after, CASE WHEN n.pos IS NULL THEN j.next_token ELSE made END, here IS NULL
+    FROM joined j LEFT JOIN starts n ON n.pos = j.after
   )
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM state WHERE done GROUP BY word ORDER BY word
+SELECT string_agg(token::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data FROM state JOIN vocabulary v ON v.id = token WHERE done GROUP BY word ORDER BY word
 """
 
 _DECODE = """
-SELECT word, string_agg(v.hex, '' ORDER BY pos) AS hex FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY word ORDER BY word
+SELECT word, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY word ORDER BY word
 """
 
 
@@ -66,7 +88,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Merges and vocabulary of one rank file in an in-memory DuckDB of one thread, and what a worker has encoded."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int):
+    built = 0
+
+    def __init__(self, path: str, pattern: str, cache_bytes: int):
+        Codec.built += 1
         self.ranks = read_ranks(path)
         pair, merged = [], []
         for token, rank in self.ranks.items():
@@ -77,11 +102,19 @@ class Codec:
                     merged.append(rank)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         self._table("merges", pair=pair, merged=merged)
+        # Tokens that some earlier merge takes in: to make one of these may bring forth an earlier merge than its own.
+        self._table("unsafe", id=sorted({t for p, m in zip(pair, merged, strict=True) for t in (p >> 32, p & 0xFFFFFFFF) if m < t}))
         self._table("vocabulary", id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        by_id = sorted((i, t) for t, i in self.ranks.items())
+        self.n_bytes, self.first = np.zeros(by_id[-1][0] + 1, dtype=np.int64), np.zeros(by_id[-1][0] + 1, dtype=np.int64)
+        known = np.array([i for i, _ in by_id])
+        self.n_bytes[known] = [len(t) for _, t in by_id]
+        self.first[known] = np.cumsum(self.n_bytes[known]) - self.n_bytes[known]
+        self.vocabulary = np.frombuffer(b"".join(t for _, t in by_id), dtype=np.uint8)
         self.matches = regex.compile(pattern).findall
         # Pieces as they stand, pieces after a space, and the matches of the pattern.
-        self.caches = Cache(None, cache_entries // 8), Cache(None, cache_entries), Cache(None, cache_entries // 2)
+        self.caches = Cache(None, cache_bytes // 8), Cache(None, cache_bytes), Cache(None, cache_bytes // 2)
         self.pieces, self.words = self.caches[:2], self.caches[2]
 
     def _table(self, name: str, **columns) -> None:
@@ -90,23 +123,20 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        rest = [i for i, w in enumerate(words) if out[i] is None and w]
-        for i in [i for i in rest if len(words[i]) > LONG_WORD]:
-            out[i] = self.merge_long(words[i])
-        rest = [i for i in rest if out[i] is None]
+    def encode_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """The ids of each word in decimal, joined by one space, and the bytes that they decode to."""
+        out = [(str(rank), w) if (rank := self.ranks.get(w)) is not None else ("", b"") for w in words]
+        rest = [i for i, w in enumerate(words) if w and not out[i][0]]
         if rest:
-            lengths = np.array([len(words[i]) for i in rest])
-            token = self.of_byte[np.frombuffer(b"".join(words[i] for i in rest), dtype=np.uint8)]
-            given = pa.table({"word": np.repeat(np.arange(len(rest), dtype=np.int32), lengths), "pos": np.arange(len(token), dtype=np.int64), "token": token})
-            self.db.register("words", given)
+            data = [words[i] for i in rest]
+            token = self.of_byte[np.frombuffer(b"".join(data), dtype=np.uint8)]
+            word = np.repeat(np.arange(len(rest), dtype=np.int32), np.fromiter(map(len, data), dtype=np.int64, count=len(data)))
+            self.db.register("words", pa.table({"word": word, "pos": np.arange(len(token), dtype=np.int32), "token": token}))
             found = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("words")
-            for w, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
-                out[rest[w]] = ids
-        return [x or [] for x in out]
+            for i, *both in zip(rest, found.column("ids").to_pylist(), found.column("data").to_pylist(), strict=True):
+                out[i] = tuple(both)
+        return out
 
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -117,34 +147,21 @@ class Codec:
         found = self.db.sql(_DECODE).to_arrow_table()
         self.db.unregister("tokens")
         out = [b""] * len(ids)
-        for w, text in zip(found.column("word").to_pylist(), found.column("hex").to_pylist(), strict=True):
-            out[w] = bytes.fromhex(text)
+        for w, text in zip(found.column("word").to_pylist(), found.column("data").to_pylist(), strict=True):
+            out[w] = text
         return out
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """One long word: the pairs wait in a heap by rank and position."""
-        token = [int(x) for x in self.of_byte[np.frombuffer(word, dtype=np.uint8)]]
-        n = len(token)
-        after, before, part = list(range(1, n + 1)), list(range(-1, n - 1)), [word[i : i + 1] for i in range(n)]
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (rank := self.ranks.get(part[i] + part[after[i]])) is not None:
-                heapq.heappush(heap, (rank, i, part[i] + part[after[i]]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            rank, i, joined = heapq.heappop(heap)
-            if part[i] is None or after[i] >= n or part[i] + part[after[i]] != joined:
-                continue
-            j = after[i]
-            part[i], token[i], part[j], after[i] = joined, rank, None, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [token[i] for i in range(n) if part[i] is not None]
+    def check(self, count: int, ids: str, data: bytes) -> None:
+        """Raise where a whole text's ids, read back from their decimals, don't decode to the bytes put together from its matches."""
+        if count:
+            at = np.fromstring(ids, dtype=np.int32, sep=" ")
+            n = self.n_bytes[at]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + n, n)
+            if len(at) != count or self.vocabulary[place].tobytes() != data:
+                raise ValueError("ids and decoded bytes of a text differ")
+        elif data:
+            raise ValueError("ids and decoded bytes of a text differ")
 
     def learn(self, missing: Iterable[tuple[int, str]]) -> dict[tuple[int, str], tuple[str, bytes]]:
         """Encode and decode pieces not met so far. A piece: 1 if a space went before it, and the rest."""
@@ -152,8 +169,7 @@ class Codec:
         needed = {w for _, words in parts for w in words}
         known = {w: x for w in needed if (x := self.words.get(w) or self.words.old.get(w))}
         new = [w for w in needed if w not in known]
-        ids = self.encode_words([w.encode() for w in new])
-        known.update({w: (" ".join(map(str, x)), data) for w, x, data in zip(new, ids, self.decode_words(ids), strict=True)})
+        known.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
         self.words.make = known.__getitem__
         for w in needed:
             self.words[w]
@@ -197,19 +213,19 @@ class Codec:
             yield ids.count(" ") + bool(ids), ids, b"".join(data)
 
 
-def _codec(path: str, pattern: str, cache_entries: int) -> Codec:
+def _codec(path: str, pattern: str, cache_bytes: int) -> Codec:
     key = path, pattern
     if key not in _WORKER:
-        _WORKER[key] = Codec(path, pattern, cache_entries)
+        _WORKER[key] = Codec(path, pattern, cache_bytes)
     only(*_WORKER[key].caches)
     return _WORKER[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 150 << 20) -> DataFrame:
     """doc_id, ids array<int> of every row; a null text has no ids. Special tokens are not recognised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern, cache_entries)
+        codec = _codec(ranks_path, pattern, cache_bytes)
         for block in blocks(batches, "text", 4 << 20):
             ids = [[int(i) for i in x[1].split()] for x in codec.texts([t or "" for t in block.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -217,11 +233,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, cache_entries: int = 400_000) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, pattern: str, cache_bytes: int = 150 << 20) -> DataFrame:
     """doc_id, data binary of every row of (doc_id, ids); null ids give no bytes. An unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern, cache_entries)
+        codec = _codec(ranks_path, pattern, cache_bytes)
         known = set(codec.ranks.values())
         for batch in batches:
             ids = [x or [] for x in batch.column("ids").to_pylist()]
@@ -232,7 +248,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, cache_entries: int
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 400_000, block_bytes: int = 6 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 150 << 20, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, in one pass on the map side.
 
     The digests are of the decimal ids joined by one space, and of the bytes that the ids decode to. A null text counts as
@@ -241,16 +257,19 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern, cache_entries)
-        gc.disable()  # the caches hold many small tuples and no cycles; collecting them costs a fifth of the time
+        codec = _codec(ranks_path, pattern, cache_bytes)
         for block in blocks(batches, "text", block_bytes):
             n, ids, data = [], [], []
-            for count, text, decoded in codec.texts([t or "" for t in block.column("text").to_pylist()]):
-                n.append(count)
-                ids.append(hashlib.sha256(text.encode()).hexdigest())
-                data.append(hashlib.sha256(decoded).hexdigest())
+            gc.disable()  # the caches hold many small tuples and no cycles; collecting them costs a fifth of the time
+            try:
+                for count, text, decoded in codec.texts([t or "" for t in block.column("text").to_pylist()]):
+                    codec.check(count, text, decoded)
+                    n.append(count)
+                    ids.append(hashlib.sha256(text.encode()).hexdigest())
+                    data.append(hashlib.sha256(decoded).hexdigest())
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        gc.enable()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
