@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again for the next.
+Repeated rows are copies; an empty table goes through all stages and gives no sequences; columns beside those of documents
+are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,33 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestack.llm import exact_dedup, near_dedup, packing, quality, secrets
-from lorestack.llm.common import materialise, table
+from lorestack.llm.common import discard, materialise, table, unused
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the factorisation machine does not reject."""
+    """The documents that the factorisation machine does not reject. Null and empty texts are scored like others."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the longest, then the smallest identifier."""
+    """One document of each group of equal texts: the longest, then the smallest identifier. Null and empty texts are one group."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest identifier."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest identifier. Texts without words stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, confirmed secrets replaced by a placeholder; n_chars follows a changed text."""
-    marked = secrets.redact(docs.withColumn("_before", F.col("text")), path_col="source")
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    """All documents, confirmed secrets replaced by a placeholder; n_chars follows a changed text. Null texts stay null."""
+    (before,) = unused(docs.columns, "before")
+    marked = secrets.redact(docs.withColumn(before, F.col("text")), path_col="source")
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return marked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 1024: one row per piece."""
+    """The documents' tokens in sequences of 1024: one row per piece; a text without ids is its end mark."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        last, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
