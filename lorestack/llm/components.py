@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.common import materialise
+from lorestack.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     edges = materialise(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
     for _ in range(most_rounds):
-        edges = materialise(_star(_star(edges, small=False), small=True))
+        last, edges = edges, materialise(_star(_star(edges, small=False), small=True))
+        discard(last)
         # Large and small stars leave the edges as they are only when every node hangs from its component's smallest.
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == state:

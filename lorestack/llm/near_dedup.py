@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.common import materialise
+from lorestack.llm.common import materialise, unused
 from lorestack.llm.components import connected_components
 from lorestack.llm.pieces import Cache, blocks, only
 
@@ -118,14 +118,18 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _words_only()
         for block in blocks(batches, "text", 8 << 20):
-            ids, sets, sketches = [], [], []
+            ids, keys, sets, sketches, seen = [], [], [], [], set()
             for i, key, text in zip(block.column("id").to_pylist(), block.column("set_key").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if (i, key) in seen:
+                    continue
                 found = shingles(text or b"", k)
                 if xxhash.xxh3_128_digest(found.tobytes()) == key:
+                    seen.add((i, key))
                     ids.append(i)
+                    keys.append(key)
                     sets.append(found.tobytes())
                     sketches.append(sketch(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "hashes", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "set_key", "hashes", "size", "sketch"])
 
     return run
 
@@ -169,11 +173,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"), F.count("*").alias("n"))
     classes = materialise(classes)
     every = classes.select("sign", "id").mapInArrow(_keys, "key long, id long")
-    shared = every.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre <> last").select("key", "centre")
-    members = materialise(every.join(shared, "key").select("key", "id", "centre"))  # keys of two classes or more
+    # Keys of two classes or more. Near copies share most of their keys: of keys with the same members, by sums of hashes
+    # of their identifiers, one is kept.
+    sums = [F.sum(F.xxhash64("id", F.lit(i)).bitwiseAND(F.lit(0x7FFFFFFF))).alias(f"h{i}") for i in range(4)]
+    shared = every.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("n"), *sums).filter("centre <> last")
+    kept = shared.groupBy("centre", "last", "n", "h0", "h1", "h2", "h3").agg(F.min("key").alias("key")).select("key", "centre")
+    members = materialise(every.join(kept, "key").select("key", "id", "centre"))
     involved = members.select("id").distinct().join(classes.select("id", "set_key"), "id")
     wanted = text.join(involved, text.doc_id == involved.id).select("id", "set_key", "text")
-    sets = materialise(wanted.mapInArrow(_sets(shingle_words), "id long, hashes binary, size long, sketch array<long>"))
+    built = materialise(wanted.mapInArrow(_sets(shingle_words), "id long, set_key binary, hashes binary, size long, sketch array<long>"))
+    twice = built.groupBy("id", "set_key").count().filter("count > 1").select("id", "set_key")  # repeated rows: one set each
+    sets = built.join(twice, ["id", "set_key"], "left_anti").unionByName(built.join(twice, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])).drop("set_key")
 
     links = _links(members.filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent)
     component = materialise(connected_components(links))
@@ -202,9 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows of a component whose identifier isn't the component's; all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` without the rows of a component whose identifier isn't the component's; all columns as they were.
+
+    Null, empty and blank texts and rows with a null identifier are linked with nothing and stay; repeated rows of the
+    identifier that stays all stay. Columns may have any names. An empty table gives an empty result.
+    """
+    (gone,) = unused(docs.columns, "gone")
+    dropped = near_duplicates(docs, id_col, text_col, **options).filter("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ import pytest
 
 from lorestack.llm import near_dedup as N
 from lorestack.llm.components import connected_components
+from lorestack.llm.exact_dedup import _Edges as E
 from lorestack.llm.exact_dedup import drop_copies, exact_dedup
 
-SCHEMA = "doc_id long, text string, key int, id int, sha string, n int, prefix string, component int"
+SCHEMA = "doc_id long, text string, key int, id int, sha string, _sha string, bare string, hash int, _keep int, _gone int, at int, n int, prefix string, component int"
 
 
 def docs(spark, rows, parts=3):
-    return spark.createDataFrame([(i, t, 1, 2, "s", 3, "p", 4) for i, t in rows], SCHEMA).repartition(parts)
+    return spark.createDataFrame([(i, t, 1, 2, "s", "s", "b", 5, 6, 7, 8, 3, "p", 4) for i, t in rows], SCHEMA).repartition(parts)
 
 
 def bare(t):
@@ -49,11 +50,33 @@ def test_exact_over_many_ranges(spark):
     assert len({r.keep_id for r in got}) == sum(r.kept for r in got)
 
 
+def test_exact_cuts_a_group_of_one_identifier(spark):
+    rows = [(7, "same text " * (1 + i % 2)) for i in range(2000)] + [(None, "none")] * 900 + [(i, f"t {i}") for i in range(20, 400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        table = docs(spark, rows, 8)
+        got, left = exact_dedup(table).collect(), drop_copies(table).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(left) == 2 + 1 + 380
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id == 7} == {(7, 1000)}
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id is None} == {(None, 900)}
+
+
+def test_edges_are_the_runs_of_the_outer_keys():
+    edges, rng = E(), random.Random(3)
+    keys = [rng.randrange(30) for _ in range(300)]
+    inner = [r for i, k in enumerate(keys) for r in edges.add((k,), i)]
+    assert sorted(keys[i] for i in edges.rest()) == sorted(k for k in keys if k in (min(keys), max(keys)))
+    assert sorted(inner + edges.rest()) == list(range(300))
+
+
 def test_exact_stage_and_empty_table(spark):
     left = drop_copies(docs(spark, ROWS))
     assert left.columns == docs(spark, ROWS).columns
     assert sorted(bare(r.text) for r in left.collect()) == sorted({bare(t) for _, t in ROWS})
-    assert exact_dedup(docs(spark, ROWS).limit(0)).count() == 0
+    assert exact_dedup(docs(spark, ROWS).limit(0)).count() == 0 and drop_copies(docs(spark, ROWS).limit(0)).count() == 0
+    assert {(r._sha, r.bare, r.hash, r._keep, r.at) for r in left.collect()} == {("s", "b", 5, 6, 8)}
 
 
 def shingle_set(text, k):
@@ -113,6 +136,17 @@ def test_near_repeated_rows_null_ids_and_stage(spark):
     assert N.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_repeats_cost_no_more_rows(spark, monkeypatch):
+    """Two near copies, each repeated, with one identifier each: every later step has one row of each."""
+    base = near_rows()[0][1]
+    rows = [(1, base), (2, base + " tail")] * 300 + [(3, "other words " + str(i)) for i in range(4)]
+    seen = []
+    whole = N._links
+    monkeypatch.setattr(N, "_links", lambda pairs, sets, percent: seen.append(sets.filter("id < 3").count()) or whole(pairs, sets, percent))
+    got = N.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and set(seen) == {2}
+
+
 def test_keys_cover_the_distance(spark):
     import numpy as np
 
