@@ -1,9 +1,12 @@
 """License scans by patience alignment against license texts and notices.
 
-In a place of the text that holds enough of a template's words, both are aligned: common ends first, then the words that
-occur once in both are anchors, the longest increasing subsequence of them is kept, and the gaps between anchors are
-aligned in the same way. Coverage is the share of the template's words that found their place. The words that name the
-license and its version must be there without gaps; short notices, in which any word may be one of these, match in full.
+Runs of three words that a template has once show where in a text it may stand. There both are aligned: common ends first,
+then the words that occur once in both are anchors, the longest increasing subsequence of them is kept, and the gaps
+between anchors are aligned in the same way. Of the alignment the stretch counts in which matched words most exceed the
+words that either side has alone. Coverage is two-sided: the share of the template's words that found their place, or of
+the stretch's words in the text, whichever is less, so that inserted words count like missing ones. The words that name
+the license and its version must be there without gaps; short notices, in which any word may be one of these, match in
+full.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,6 +84,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # Whole texts of licenses, one file each, named by the identifier.
+    *sorted((f.name.removesuffix(".txt"), f.read_text("utf-8", "replace")) for f in (files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")),
     *_notices(),
 ]
 #: Words that the long texts of a license must hold one after another: what tells it from its relatives.
@@ -88,9 +94,10 @@ NAMING: dict[str, list[str]] = {
     "BSD-3-Clause": ["endorse or promote products"],
     "BSD-4-Clause": ["All advertising materials", "endorse or promote products"],
     "Apache-2.0": ["Apache License", "Version 2.0"],
-    "MPL-2.0": ["Mozilla Public License", "v. 2.0"],
+    "MPL-1.1": ["Mozilla Public License", "Version 1.1"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
     "EPL-2.0": ["Eclipse Public License 2.0"],
-    **{f"{short}-{v}": [f"GNU {long}", f"version {v.removesuffix('.0')} of the"] for short, long, v in _GNU_KINDS},
+    **{f"{short}-{v}": [f"GNU {long}", f"version {v.removesuffix('.0')}"] for short, long, v in _GNU_KINDS},
 }
 #: Templates of at most so many words are notices: they must stand in the text in full, word after word.
 NOTICE = 20
@@ -148,13 +155,16 @@ class Template:
         self.distinct = set(self.words)
         count = Counter(self.words)
         spare, self.guard = (1 - coverage) * len(self.words), []
-        for w in sorted(count, key=lambda w: (-len(w), w)):
+        for w in sorted(count, key=lambda w: (len(w) < 6, -count[w], -len(w), w)):
             self.guard.append(w)
             spare -= count[w]
             if spare < 0:
                 break
         missing = int((1 - coverage) * len(self.words) + 1e-9)
         self.least = max(1, len(self.distinct) - missing)  # distinct words that such a text must hold
+        runs = list(zip(self.words, self.words[1:], self.words[2:]))
+        often = Counter(runs)
+        self.anchors = {r: i for i, r in enumerate(runs) if often[r] == 1}
 
     def named(self, words: list[bytes]) -> bool:
         """Whether the words hold those that name the license."""
@@ -191,25 +201,50 @@ def notice_places(tree: dict, words: list[bytes], spans: list[tuple[int, int]],
             yield start, *last
 
 
+def windows(template: Template, words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Stretches of the text that may hold the template once each: where its anchors stand about as far apart as in it."""
+    n = len(template.words)
+    hits = [(i, at) for i, r in enumerate(zip(words, words[1:], words[2:])) if (at := template.anchors.get(r)) is not None]
+    groups: list[list[tuple[int, int]]] = []
+    for i, at in hits:
+        last = groups[-1][-1] if groups else None
+        if last is None or i - last[0] > n // 2 + 20 or at < last[1] - n // 2:  # too far from the last, or begun again
+            groups.append([])
+        groups[-1].append((i, at))
+    slack, end = n // 4 + 4, 0
+    for k, group in enumerate(groups):
+        (i, at), (j, to) = group[0], group[-1]
+        begin = max(end, i - at - slack)
+        end = min(groups[k + 1][0][0] if k + 1 < len(groups) else len(words), j + (n - to) + slack)
+        yield begin, end
+
+
+def best_stretch(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """The part of an alignment in which matches most exceed the words between them, on either side: first and last pair."""
+    best, found, total, begin = 0, (0, 0), 0, 0
+    for k, (x, y) in enumerate(pairs):
+        gap = (x - pairs[k - 1][0] - 1) + (y - pairs[k - 1][1] - 1) if k else 0
+        if k == 0 or total - gap <= 0:
+            total, begin = 0, k
+        else:
+            total -= gap
+        total += 1
+        if total >= best:
+            best, found = total, (begin, k)
+    return found
+
+
 def places(template: Template, words: list[bytes], coverage: float) -> Iterator[tuple[int, int, int]]:
     """(first word, last word, words matched) of the template's occurrences, none overlapping."""
     n = len(template.words)
-    width = n + max(2, int(n * 0.4))
-    hits = [i for i, w in enumerate(words) if w in template.distinct]
-    inside: Counter = Counter()
-    kinds = right = done = 0
-    for left, start in enumerate(hits):
-        while right < len(hits) and hits[right] < start + width:
-            inside[words[hits[right]]] += 1
-            kinds += inside[words[hits[right]]] == 1
-            right += 1
-        if kinds >= template.least and start >= done:
-            found = align(template.words, words[start : start + width])
-            if found and found[0][1] == 0 and len(found) >= coverage * n and template.named(words[start : start + found[-1][1] + 1]):
-                done = start + found[-1][1] + 1
-                yield start, done - 1, len(found)
-        inside[words[start]] -= 1
-        kinds -= inside[words[start]] == 0
+    for begin, end in windows(template, words):
+        pairs = align(template.words, words[begin:end])
+        if len(pairs) < coverage * n:
+            continue
+        a, b = best_stretch(pairs)
+        matched, first, last = b - a + 1, begin + pairs[a][1], begin + pairs[b][1]
+        if matched >= coverage * max(n, last - first + 1) and template.named(words[first : last + 1]):
+            yield first, last, matched
 
 
 def scan_text(text: bytes, templates: list[Template], notices: dict, guards: list[bytes], coverage: float) -> list[tuple[str, int, int, int, float]]:
@@ -222,8 +257,8 @@ def scan_text(text: bytes, templates: list[Template], notices: dict, guards: lis
     there = set(words)
     found = [(-1.0, a - b - 1, spans[a][0], spans[b][1], name) for a, b, name in notice_places(notices, words, spans, low)]
     for t in templates:
-        if len(t.distinct & there) >= t.least:
-            found += [(-k / len(t.words), -k, spans[a][0], spans[b][1], t.name) for a, b, k in places(t, words, coverage)]
+        if len(there) >= t.least and len(t.distinct & there) >= t.least:
+            found += [(-k / max(len(t.words), b - a + 1), -k, spans[a][0], spans[b][1], t.name) for a, b, k in places(t, words, coverage)]
     kept: list[tuple] = []
     for f in sorted(found, key=lambda f: (f[1] * -f[0], f)):  # most words matched, weighed by coverage
         if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):

@@ -95,3 +95,60 @@ def test_each_template_is_found_as_itself():
     for name, text in L.TEMPLATES:
         assert L.Template(name, text, 0.8).named(L._WORD.findall(text.lower().encode())) or len(text.split()) <= L.NOTICE
     assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "CC-BY-ND-4.0", "EPL-2.0", "BSL-1.0", "Zlib"} <= {n for n, _ in L.TEMPLATES}
+
+
+def scanner(templates, coverage=0.8):
+    known = [L.Template(n, t, coverage) for n, t in templates]
+    guards = sorted({g for t in known for g in t.guard})
+    return lambda text: L.scan_text(text.encode(), known, {}, guards, coverage)
+
+
+def test_scan_against_brute_force():
+    """Edited copies of made-up texts inside other words: found where the best stretch has the coverage on both sides."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    templates = [(f"T{i}", " ".join(word() for _ in range(rng.randint(40, 120)))) for i in range(4)]
+    scan = scanner(templates)
+    for _ in range(120):
+        name, text = rng.choice(templates)
+        kept, edits = [], rng.choice((0.02, 0.05, 0.3, 0.5))
+        for w in text.split():
+            if rng.random() >= edits / 2:
+                kept.append(w)
+            if rng.random() < edits / 2:
+                kept.append(word())
+        lead, tail = ([word() for _ in range(rng.randint(0, 60))] for _ in range(2))
+        got = scan(" ".join(lead + kept + tail))
+        common = lcs([w.encode() for w in text.split()], [w.encode() for w in kept])
+        share = common / max(len(text.split()), len(kept))
+        if share >= 0.85:
+            assert [g[0] for g in got] == [name] and abs(got[0][4] - share) < 0.06, (edits, share, got)
+        if share < 0.75:
+            assert not got, (edits, share, got)
+
+
+def test_whole_texts_and_changed_beginnings(spark):
+    whole = dict((n, t) for n, t in L.TEMPLATES if len(t) > 5000)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "GFDL-1.3"} <= set(whole)
+    rng = random.Random(2)
+    cut = {n: t.split() for n, t in whole.items()}
+    rows = [(n, "Intro. " + t + " end") for n, t in whole.items()]
+    rows += [(n, "Changed first words " + " ".join(w if rng.random() > 0.03 else "zzz" for w in ws[8:])) for n, ws in cut.items()]
+    rows += [(n, " ".join(ws[: len(ws) // 2] + ["inserted"] * 60 + ws[len(ws) // 2 :])) for n, ws in cut.items()]
+    rows += [(None, " ".join(x for w in ws for x in (w, "other"))) for n, ws in cut.items() if n != "LGPL-3.0"]  # every second word is not the license's
+    rows += [(None, " ".join(ws[: len(ws) // 3])) for ws in cut.values()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in L.scan_licenses(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.matched, r.license))
+    for i, (name, _) in enumerate(rows):
+        matched, best = max(got.get(i, [(0, None)]))
+        assert best == name if name else matched < 400, (i, name, got.get(i))
+
+
+def test_two_copies_are_two_findings():
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 500)
+    scan = scanner([("MIT", mit)])
+    assert [g[0] for g in scan(f"{mit} {mit}")] == ["MIT", "MIT"]
+    assert [g[0] for g in scan(f"{mit} {'between words ' * 400} {mit[30:]}")] == ["MIT", "MIT"]
+    assert L.best_stretch([(0, 0), (50, 60), (51, 61), (52, 62), (54, 63)]) == (1, 4)
