@@ -1,11 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 One model of toxic and one of ordinary text, over the characters of words, since an insult may carry any ending. The
-highest order counts the training texts that hold a word; a lower order counts the different contexts an ending continues.
-Each is discounted and backs off to the next lower order, to which both classes give the same number of shared counts, so
-an expression that is rare in both weighs little. A document's evidence is the difference of the two log-likelihoods,
-normalised by length: over all its words, and over its worst words, since a few words make a long text toxic. A logistic
-curve of these, fitted on the training rows, is the score.
+highest order counts, for each class, the training texts that hold a word, and is discounted; it backs off to lower orders
+that count the different contexts an ending continues in both classes together. These shared counts are the same for both
+models, so an expression that is rare in both weighs nothing, and only what one class has often tells them apart. Counts
+are gathered over all labelled rows of the training folds and summed in ``SLOTS`` places by a hash, so a model's size is
+fixed whatever the corpus: expressions that share a place share their counts.
+
+A document's evidence is the difference of the two log-likelihoods, normalised by length: over all its words, and over its
+worst words, since a few words make a long text toxic. A logistic curve, fitted on a bounded sample of training rows that
+the counts leave out, does no more than weigh these means against each other and turn them into a probability.
 """
 
 from __future__ import annotations
@@ -17,13 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.labelled import fold, training_rows
-from lorestack.llm.pieces import blocks
+from lorestack.llm.common import discard, materialise
+from lorestack.llm.labelled import fold, label_rows, per_class_rows
+from lorestack.llm.pieces import Cache, blocks, only
 
 ORDER = 7
 #: The evidence also has the mean of so many of a text's worst words.
 WORST = (1, 2, 4)
-_DISCOUNT, _SHARED = 0.75, 2.0
+#: Places of the counts of all orders: 50 MB of 32-bit numbers.
+SLOTS = 1 << 21
+_DISCOUNT = 0.75
+#: A context of the highest order backs off as if it had been seen so many times more.
+_DOUBT = 1.0
 _START, _END = 2, 3
 _TABLE = bytes(ord(" ") if i < 128 and not chr(i).isalnum() else i + 32 if 65 <= i < 91 else i for i in range(256))
 _MASK = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
@@ -48,70 +57,67 @@ def _grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], lengths
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The rows of ``values`` at ``wanted``, zeros where absent. ``keys`` is sorted and not empty."""
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return values[at] * (keys[at] == wanted)[:, None]
+def _slots(gram: np.ndarray, order: int) -> np.ndarray:
+    """The places of ends (or contexts) of one order."""
+    x = (gram ^ np.uint64(order * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(SLOTS)).astype(np.int64)
 
 
 class KneserNey:
     """Two models of the characters of words; the columns of all counts are (ordinary, toxic)."""
 
-    def __init__(self, vocabulary: list[bytes], counts: np.ndarray):
-        """``counts``: how many training texts of each class hold each word."""
-        self.grams, self.contexts = [], []
+    def __init__(self, grams: np.ndarray | None = None, contexts: np.ndarray | None = None):
+        """By place: discounted counts of ends; totals, then discounts, of contexts."""
+        self.grams, self.contexts, self.cache = grams, contexts, None
         self.curve = np.zeros(3 + len(WORST))
-        self.cache: dict[bytes, float] = {}
-        self.empty = not vocabulary
-        if self.empty:
-            return
-        key, lengths = _grams(vocabulary)
-        weight = np.repeat(counts.astype(float), lengths, axis=0)
-        for k in range(ORDER, 0, -1):
-            gram, of = np.unique(key & _MASK[k], return_inverse=True)
-            n = np.stack([np.bincount(of, weight[:, c]) for c in (0, 1)], axis=1)
-            context, of = np.unique(gram >> np.uint64(8), return_inverse=True)
-            kept = np.maximum(n - _DISCOUNT, 0)
-            total, types = (np.stack([np.bincount(of, x[:, c]) for c in (0, 1)], axis=1) for x in (n, n - kept))
-            self.grams.insert(0, (gram, kept))
-            self.contexts.insert(0, (context, np.concatenate([total, types], axis=1)))
-            key, weight = gram, (n > 0).astype(float)  # each longer context that a shorter gram continues counts once
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) of each word."""
-        if self.empty or not found:
+        if self.grams is None or not found:
             return np.zeros(len(found))
         key, lengths = _grams(found)
         p = np.full((len(key), 2), 1 / 256)
-        for k, ((gram, kept), (context, sums)) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
+        for k in range(1, ORDER + 1):
             here = key & _MASK[k]
-            n, both = _find(gram, here, kept), _find(context, here >> np.uint64(8), sums)
-            p = (n + (both[:, 2:] + _SHARED) * p) / (both[:, :2] + _SHARED)
+            n, both = self.grams[_slots(here, k)], self.contexts[_slots(here >> np.uint64(8), k)]
+            doubt = _DOUBT if k == ORDER else 0.0
+            total = np.maximum(both[:, :2], n + both[:, 2:]) + doubt
+            p = np.where(total > 0, (n + (both[:, 2:] + doubt) * p) / np.where(total > 0, total, 1), p)
         each = np.log(p[:, 1]) - np.log(p[:, 0])
         return np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
 
-    def evidence(self, texts: list[bytes], cache_entries: int = 400_000) -> list[list[float]]:
+    def learn(self, found: set[bytes]) -> None:
+        """Ratios of words that the worker's cache lacks, in parts of bounded size."""
+        part, size = [], 0
+        for w in found:
+            part.append(w)
+            size += len(w) + ORDER
+            if size > 1 << 19:
+                self.cache.put(dict(zip(part, self.ratios(part).tolist(), strict=True)))
+                part, size = [], 0
+        self.cache.put(dict(zip(part, self.ratios(part).tolist(), strict=True)))
+
+    def evidence(self, texts: list[bytes], cache_bytes: int = 100 << 20) -> list[list[float]]:
         """Of each text: the ratio a word, the mean of its worst words, and the logarithm of its length. Without words, zeros."""
+        if self.cache is None:
+            self.cache = Cache(lambda w: float(self.ratios([w])[0]), cache_bytes)
+        only(self.cache)
         cut = [words(t) for t in texts]
-        missing = [w for w in set().union(*cut) if w not in self.cache]
-        if len(self.cache) + len(missing) > cache_entries:
-            self.cache.clear()
-            missing = list(set().union(*cut))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.cache.update(zip(part, self.ratios(part).tolist(), strict=True))
-        out = []
+        self.learn({w for w in set().union(*cut) if w not in self.cache and w not in self.cache.old})
+        known, out = self.cache.__getitem__, []
         for x in cut:
-            ratio = np.array([self.cache[w] for w in x])
+            ratio = np.fromiter(map(known, x), dtype=float, count=len(x))
             if not len(ratio):
                 out.append([0.0] * (2 + len(WORST)))
                 continue
-            top = np.sort(ratio)[::-1][: max(WORST)]
+            most = max(WORST)
+            top = np.sort(np.partition(ratio, len(ratio) - most)[-most:] if len(ratio) > most else ratio)[::-1]
             out.append([float(ratio.mean()), *(float(top[:k].mean()) for k in WORST), float(np.log1p(len(ratio)))])
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": None}
 
     def calibrate(self, evidence: np.ndarray, y: np.ndarray) -> None:
         """The logistic curve by Newton's method, each class weighing the same, with a little ridge."""
@@ -125,33 +131,97 @@ class KneserNey:
         self.curve = theta
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4_000, vocabulary: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
-    """Models from at most ``per_class`` labelled rows of each class outside the held-out fold, a repeated text counting once.
-
-    Spark counts the texts that hold a word; the ``vocabulary`` words of most texts are gathered, so the model's size is
-    bounded. The curve is fitted on a quarter of the training rows (by a hash of the text), which the counts leave out.
-    Without rows of both classes all scores are 0.5.
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each text, parted by spaces."""
+    for block in blocks(batches, "text", 4 << 20):
+        bags = [b" ".join(sorted(set(words(t or b"")))) for t in block.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([block.column("_id"), block.column("hash"), pa.array(bags, pa.binary())], names=["_id", "hash", "bag"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and how many bags of each label hold them, added up batch by batch."""
+    for batch in batches:
+        seen: dict[bytes, list[int]] = {}
+        for y, bag in zip(batch.column("label").to_pylist(), batch.column("bag").to_pylist(), strict=True):
+            for w in bag.split():
+                seen.setdefault(w, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), *(pa.array([n[y] for n in seen.values()], pa.int64()) for y in (0, 1))], names=["word", "n0", "n1"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of the highest order in each word, with the word's counts, added up part by part."""
+    for block in blocks(batches, "word", 1 << 19):
+        found = block.column("word").to_pylist()
+        if found:
+            key, lengths = _grams(found)
+            gram, of = np.unique(key, return_inverse=True)
+            n = [np.bincount(of, np.repeat(block.column(c).to_numpy(), lengths)).astype(np.int64) for c in ("n0", "n1")]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), *map(pa.array, n)], names=["gram", "n0", "n1"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each end adds to its place, and to that of its context: kind, place and four numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        order, gram = batch.column("order").to_numpy(), batch.column("gram").to_numpy().astype(np.uint64)
+        n = np.stack([batch.column(c).to_numpy() for c in ("n0", "n1")], axis=1).astype(float)
+        kept = np.maximum(n - _DISCOUNT, 0)
+        values = np.concatenate([np.concatenate([kept, np.zeros_like(n)], axis=1), np.concatenate([n, n - kept], axis=1)])
+        at = np.empty(2 * len(gram), dtype=np.int64)
+        for k in np.unique(order).tolist():
+            here = order == k
+            at[: len(gram)][here] = _slots(gram[here], k)
+            at[len(gram) :][here] = _slots(gram[here] >> np.uint64(8), k) + SLOTS  # contexts follow the ends
+        place, of = np.unique(at, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(np.bincount(of, values[:, c])) for c in range(4))], names=["place", "a", "b", "c", "d"])
+
+
+def count(counted: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The counts by place of (word, n0, n1); None without words.
+
+    A lower order counts each different longer context that an end continues once, of whichever class.
     """
-    rows = training_rows(docs, labels, label, per_class, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).distinct().withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4)))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
-            label, word = [], []
-            for y, text in zip(block.column("label").to_pylist(), block.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                found = {w for w in words(text) if len(w) <= 64}
-                label.extend([y] * len(found))
-                word.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(word, pa.binary())], names=["label", "word"])
-
-    each = rows.filter("part > 0").mapInArrow(held, "label int, word binary").groupBy("word").agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1"))
-    kept = each.orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(vocabulary).toArrow()
-    counts = np.stack([kept.column(n).to_numpy().astype(float) for n in ("n0", "n1")], axis=1)
-    model = KneserNey(kept.column("word").to_pylist(), counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fitted = rows.filter("part = 0").mapInArrow(_evidence(shared, "label"), "label long, evidence array<double>").collect()
+    level = materialise(counted.mapInArrow(_ends, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    levels = [level]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n0"))
+        levels.append(materialise(shorter.withColumn("n1", F.col("n0"))))
+    every = [x.withColumn("order", F.lit(ORDER - i)) for i, x in enumerate(levels)]
+    for x in every[1:]:
+        every[0] = every[0].unionByName(x)
+    sums = every[0].mapInArrow(_placed, "place long, a double, b double, c double, d double").groupBy("place").agg(*(F.sum(c).cast("float").alias(c) for c in "abcd"))
+    found = sums.toArrow()  # at most 2 * SLOTS rows
+    discard(*levels)
+    if not found.num_rows:
+        return None
+    both = np.zeros((2 * SLOTS, 4), dtype=np.float32)
+    both[found.column("place").to_numpy()] = np.stack([found.column(c).to_numpy() for c in "abcd"], axis=1)
+    return both[:SLOTS, :2].copy(), both[SLOTS:]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", curve_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
+    """Models from all labelled rows outside the held-out fold, a repeated text counting once.
+
+    Spark counts the texts that hold a word over three quarters of the training texts (by a hash of the text). The curve is
+    fitted on at most ``curve_rows`` texts of each class of the rest. Without rows of both classes all scores are 0.5.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    chosen = materialise(text.select("_id", "hash").join(label_rows(labels, label), "_id").groupBy("label", "hash").agg(F.min("_id").alias("_id")))
+    apart = F.pmod("hash", F.lit(4)) == 0
+    # What is shuffled of a text is the set of its words; rows of one identifier and text count once.
+    bags = text.mapInArrow(_bags, "_id long, hash long, bag binary").join(chosen.filter(~apart), ["_id", "hash"]).dropDuplicates(["_id", "hash", "label"])
+    counted = materialise(bags.select("label", "bag").mapInArrow(_counted, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    counts = count(counted)
+    model = KneserNey(*counts) if counts else KneserNey()
+    picked = F.broadcast(per_class_rows(chosen.filter(apart), curve_rows))  # at most 2 * curve_rows rows of numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed by SLOTS
+    fitted = text.join(picked, ["_id", "hash"]).dropDuplicates(["_id", "hash", "label"]).select("label", "text").mapInArrow(_evidence(shared, "label"), "label long, evidence array<double>").collect()
+    shared.unpersist()
+    discard(counted)
     fitted.sort()
     y = np.array([r.label for r in fitted], dtype=float)
-    if len(set(y)) == 2:
+    if len(set(y)) == 2 and chosen.filter(~apart).select("label").distinct().count() == 2:
         model.calibrate(np.array([r.evidence for r in fitted]), y)
     return model
 
@@ -174,7 +244,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     not read. An empty table gives an empty result.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **training)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed by SLOTS
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_evidence(shared, "doc_id"), "doc_id long, evidence array<double>")
     bias, *slopes = (F.lit(float(x)) for x in model.curve)
     raw = bias + sum(slope * F.col("evidence")[i] for i, slope in enumerate(slopes))
