@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from itertools import islice
 
 import duckdb
@@ -113,8 +113,10 @@ class Codec:
         self.first[known] = np.cumsum(self.n_bytes[known]) - self.n_bytes[known]
         self.vocabulary = np.frombuffer(b"".join(t for _, t in by_id), dtype=np.uint8)
         self.matches = regex.compile(pattern).findall
-        # Pieces as they stand, pieces after a space, and the matches of the pattern.
-        self.caches = Cache(None, cache_bytes // 8), Cache(None, cache_bytes), Cache(None, cache_bytes // 2)
+        # Pieces as they stand, pieces after a space, and matches that are no such piece. A piece that gives way to others
+        # while its block is read is learnt again.
+        self.alone = [lambda p: self.learn([p], [])[0][p], lambda p: self.learn([], [p])[1][p], lambda w: self.encode_words([w.encode()])[0]]
+        self.caches = tuple(Cache(make, cache_bytes // part) for make, part in zip(self.alone, (8, 1, 4), strict=True))
         self.pieces, self.words = self.caches[:2], self.caches[2]
 
     def _table(self, name: str, **columns) -> None:
@@ -163,23 +165,39 @@ class Codec:
         elif data:
             raise ValueError("ids and decoded bytes of a text differ")
 
-    def learn(self, missing: Iterable[tuple[int, str]]) -> dict[tuple[int, str], tuple[str, bytes]]:
-        """Encode and decode pieces not met so far. A piece: 1 if a space went before it, and the rest."""
-        parts = [(key, self.matches(" " + key[1] if key[0] else key[1])) for key in missing]
-        needed = {w for _, words in parts for w in words}
-        known = {w: x for w in needed if (x := self.words.get(w) or self.words.old.get(w))}
-        new = [w for w in needed if w not in known]
-        known.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
-        self.words.make = known.__getitem__
+    def learn(self, whole: Collection[str], spaced: Collection[str]) -> tuple[dict, dict]:
+        """The ids and bytes of pieces not met so far: as they stand, and without the space that goes before them."""
+        parts: tuple[dict, dict] = ({}, {})
+        needed = set()
+        for space, pieces in enumerate((whole, spaced)):
+            for p in pieces:
+                if space and p.isascii() and p.isalpha():  # one match of the pattern
+                    needed.add(f" {p}")
+                else:
+                    parts[space][p] = found = self.matches(f" {p}" if space else p)
+                    needed.update(found)
+        known, new, near = {}, [], self.pieces[1]
         for w in needed:
-            self.words[w]
-        learned = {}
-        for key, words in parts:
-            if len(words) == 1:
-                learned[key] = known[words[0]]
+            x = near.get(w[1:]) or near.old.get(w[1:]) if w[0] == " " else None
+            x = x or self.words.get(w) or self.words.old.get(w)
+            if x:
+                known[w] = x
             else:
-                texts, data = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
-                learned[key] = " ".join(texts), b"".join(data)
+                new.append(w)
+        fresh = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        known.update(fresh)
+        self.words.put({w: x for w, x in fresh.items() if w[0] != " "})
+        learned: tuple[dict, dict] = ({}, {w[1:]: x for w, x in fresh.items() if w[0] == " "})
+        for space, cut_up in enumerate(parts):
+            for p, words in cut_up.items():
+                if len(words) == 1:
+                    learned[space][p] = known[words[0]]
+                else:
+                    texts, data = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
+                    learned[space][p] = " ".join(texts), b"".join(data)
+        for p in spaced:
+            if p not in learned[1]:
+                learned[1][p] = known[f" {p}"]
         return learned
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
@@ -191,13 +209,12 @@ class Codec:
         for line in (line for x in lines if x for line in x):
             wanted[0].add(line[0])
             wanted[1].update(islice(line, 1, None))
-        missing = [(space, p) for space, cache in enumerate(self.pieces) for p in wanted[space] if p not in cache]
-        # What the old generations hold is set aside first: they may give way to newer ones while this block is read.
-        ready = {(space, p): self.pieces[space].old[p] for space, p in missing if p in self.pieces[space].old}
-        ready.update(self.learn([k for k in missing if k not in ready]))
-        for space, cache in enumerate(self.pieces):
-            held = {p: cache[p] for p in wanted[space] if p in cache}
-            cache.make = lambda p, space=space, held=held: ready.get((space, p)) or held[p]
+        missing = [{p for p in want if p not in cache and p not in cache.old} for want, cache in zip(wanted, self.pieces, strict=True)]
+        for space, (want, cache, found) in enumerate(zip(wanted, self.pieces, self.learn(*missing), strict=True)):
+            # What the old generation holds is wanted now, and stays at hand should it give way to another while this block is read.
+            found.update({p: cache.old[p] for p in want if p in cache.old and p not in cache})
+            cache.put(found)
+            cache.make = lambda p, old=cache.old, alone=self.alone[space]: old.get(p) or alone(p)
         whole, spaced = (cache.__getitem__ for cache in self.pieces)
         for x, o in zip(lines, odd, strict=True):
             found = list(map(whole, o))

@@ -54,10 +54,7 @@ class Counts:
         """Lengths of runs that the cache lacks, encoded in one batch; the cache takes them in."""
         missing = [k for k in runs if k not in self.lengths and k not in self.lengths.old]
         new = dict(zip(missing, self.encode([k.decode("utf-8", "replace") for k in missing]), strict=True))
-        own, self.lengths.make = self.lengths.make, new.__getitem__
-        for k in missing:
-            self.lengths[k]
-        self.lengths.make = own
+        self.lengths.put(new)
         return new
 
 
