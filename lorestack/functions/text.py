@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SPACES = r"(?U)\s+"
 #: The markup marker of an image standing in plain text.
 IMAGE_MARKER = r"\[\[image: \d{4,6}\.[a-z0-9]{1,5}\]\]"
+#: Where sentences are cut: two characters that stand next to each other in no text.
+_CUT = "\x00\ue000"
 IMAGE_NAME = r"^\d{4,6}\.[a-z0-9]{1,5}$"
 
 
@@ -34,12 +36,18 @@ def window_words(max_tokens: int, overlap_tokens: int, words_per_token: float =
 
 
 def chunks(text: Column, max_tokens: int = 512, overlap_tokens: int = 64, words_per_token: float = 0.75) -> Column:
-    """Array of overlapping chunks; the last ends at the last word. A text without words has none."""
+    """Array of overlapping chunks; the last ends at the last word. A text without words has none.
+
+    The words are bound once, by an outer transform over an array of one, and not split again for every chunk.
+    """
     window, step = window_words(max_tokens, overlap_tokens, words_per_token)
-    w = words(text)
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - window) / step)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.slice(w, 1 + i * step, window)))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - window) / step)).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.slice(w, 1 + i * step, window)))
+        return F.when(F.size(w) > 0, each).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.coalesce(words(text), F.array().cast("array<string>"))), made), 0)
 
 
 def paragraphs(text: Column) -> Column:
@@ -51,9 +59,9 @@ def paragraphs(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that end with . ! ? or an ellipsis, closing marks included, before white space; no empty ones.
 
-    A mark that follows the white space keeps the sentence going. Up to eight closing marks count.
+    A mark that follows the white space keeps the sentence going. Any number of closing marks count.
     """
-    parts = F.split(text, r"(?U)(?<=[.!?…][\"')\]»”’]{0,8})\s++(?![.!?…])")
+    parts = F.split(F.regexp_replace(text, r"(?U)([.!?…][\"')\]»”’]*+)\s++(?![.!?…])", f"$1{_CUT}"), _CUT)
     return F.filter(F.transform(parts, trim_unicode), lambda s: s != "")
 
 
@@ -81,6 +89,11 @@ def prompt_budget(context: Column, default: int = 4096, chars_per_token: int = 4
     return F.greatest((F.coalesce(context, F.lit(default)) - answer_budget(context)) * chars_per_token, F.lit(0))
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF count twice."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def escape_text(text: Column) -> Column:
     """& < > as entities."""
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -1,4 +1,4 @@
-"""Batch embedding with a model from the caller, built once per worker."""
+"""Batch embedding with a model from the caller, built once per worker and name."""
 
 from __future__ import annotations
 
@@ -30,15 +30,27 @@ def hashing_model(dimensions: int = 64) -> Model:
     return embed
 
 
-def embed(text: Column, factory: Callable[[], Model] = hashing_model, kind: str = "passage") -> Column:
-    """The vector of each text, prefixed by its kind (passage or query); null for null."""
+def model(name: str, factory: Callable[[], Model]) -> Model:
+    """This worker's model of a name, built at the first call. (Found through the module: a dict that a shipped function
+    names directly would come to each task as a new copy.)"""
+    if name not in _MODELS:
+        _MODELS[name] = factory()
+    return _MODELS[name]
+
+
+def embed(text: Column, factory: Callable[[], Model] = hashing_model, kind: str = "passage", name: str | None = None) -> Column:
+    """The vector of each text, prefixed by its kind (passage or query); null for null.
+
+    ``name`` tells models apart in a worker; without it, that of a plain function is its own, and a lambda or a local
+    function is built for each task.
+    """
+    plain = f"{factory.__module__}.{factory.__qualname__}"
+    known = name or ("" if "<" in plain else plain)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = f"{factory.__module__}.{factory.__qualname__}"
-        if key not in _MODELS:
-            _MODELS[key] = factory()
+        made = model(known, factory) if known else factory()
         for batch in batches:
-            vectors = _MODELS[key]([f"{kind}: {t}" for t in batch.fillna("")]) if len(batch) else []
+            vectors = made([f"{kind}: {t}" for t in batch.fillna("")]) if len(batch) else []
             yield pd.Series([None if t is None else v.tolist() for t, v in zip(batch, vectors, strict=True)], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorestack.functions.text import utf16_length
+
 ORIGINAL = "original"
 #: Order of voice qualities.
 QUALITY_RANK = {"kokoro": 4, "high": 3, "medium": 2, "low": 1}
@@ -98,10 +100,10 @@ def missing_languages(books: DataFrame, offered: list[str], present: DataFrame)
 
 
 def utterance_spans(sentences: DataFrame, keys: list[str], order: str = "sentence", text: str = "text") -> DataFrame:
-    """Adds from and to: where each sentence starts and ends in its block, one place apart from the next."""
+    """Adds from and to: where each sentence starts and ends in its block in UTF-16 units, one place apart from the next."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))
-    return sentences.withColumn("from", start).withColumn("to", start + F.length(text))
+    start = F.coalesce(F.sum(utf16_length(F.col(text)) + 1).over(w), F.lit(0))
+    return sentences.withColumn("from", start).withColumn("to", start + utf16_length(F.col(text)))
 
 
 def span_lookup(clicks: DataFrame, spans: DataFrame, page: str = "page_id") -> DataFrame:
@@ -141,10 +143,13 @@ def resolve_preferred(languages: DataFrame, pins: DataFrame, installed: DataFram
 
 def match_limits(models: DataFrame, entries: DataFrame) -> DataFrame:
     """(model, id, context): the entry of that id, else one whose id ends with the name, else the first. ``entries``: (pos, id, context)."""
-    priority = F.when(F.col("id") == F.col("model"), 0).when(F.col("id").endswith(F.col("model")), 1).otherwise(2)
-    listed = entries.agg(F.array_sort(F.collect_list(F.struct("pos", "id", "context"))).alias("all"))  # a server lists a handful of models
-    each = models.crossJoin(F.broadcast(listed)).select("model", F.explode("all").alias("e")).select("model", "e.*")
-    best = each.groupBy("model").agg(F.min_by(F.struct("id", "context"), F.struct(priority, F.col("pos"))).alias("best"))
+    first = lambda: F.min_by(F.struct("id", "context"), "pos")
+    exact = entries.groupBy(F.col("id").alias("model")).agg(first().alias("exact"))
+    ends = entries.select("pos", "id", "context", F.explode(F.transform(F.sequence(F.lit(1), F.length("id")), lambda i: F.expr("id").substr(i, F.length("id")))).alias("model"))
+    ending = ends.groupBy("model").agg(first().alias("ending"))
+    any_one = entries.agg(first().alias("any")).withColumn("_one", F.lit(1))  # one row
+    found = models.select("model").distinct().join(exact, "model", "left").join(ending, "model", "left").withColumn("_one", F.lit(1)).join(any_one, "_one", "left")
+    best = found.withColumn("best", F.coalesce("exact", "ending", "any")).filter("best is not null")
     return best.select("model", "best.id", "best.context")
 
 

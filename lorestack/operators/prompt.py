@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorestack.functions.text import answer_budget, attachment_route, joined_sections, prompt_budget, source_block, turn_text
 from lorestack.operators.retrieve import expand_neighbours, is_memory, knn_search, layer_slots, layers, rank_pool, recall_not_in_prompt, resolve_sources
 from lorestack.operators.turns import budget_allocate, fit_history
+from lorestack.session import materialise
 
 
 def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFrame, documents: DataFrame, attachments: DataFrame, turns: DataFrame, factor: float = 3.0) -> DataFrame:
@@ -18,9 +19,10 @@ def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFram
     that the history doesn't hold already. Each stage hands what it left to the next as a column.
     """
     budget = F.greatest(prompt_budget(F.col("context")) - F.octet_length("question"), F.lit(0)).cast("long")
-    asked = questions.withColumn("budget", budget).filter("budget > 0")
-    hits = knn_search(chunks, layers(asked), carry=["text"])
-    chosen = resolve_sources(expand_neighbours(layer_slots(rank_pool(hits, factor=factor)), chunks), documents, attachments)
+    everyone = questions.withColumn("budget", budget)
+    asked = everyone.filter("budget > 0")  # a question that fills the budget alone cites nothing, but stays
+    hits = materialise(knn_search(chunks, layers(asked), carry=["text"]))
+    chosen = materialise(resolve_sources(expand_neighbours(layer_slots(rank_pool(hits, factor=factor)), chunks), documents, attachments))
 
     whole = attachments.filter(attachment_route(F.col("extracted_text"), F.col("status") == "error") == "injected_whole")
     given = asked.select("question_id", "chat_id", "budget").join(whole.select("chat_id", "doc_id", "filename", "extracted_text"), "chat_id")
@@ -28,14 +30,15 @@ def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFram
     found = chosen.filter(~is_memory(F.col("namespace"))).join(asked.select("question_id", "budget"), "question_id").select("question_id", "budget", F.lit(1).alias("layer"), F.col("pool_rank").cast("long").alias("place"), source_block(F.col("label"), F.col("expanded")).alias("content"))
     taken = budget_allocate(files.unionByName(found), "question_id", [F.col("layer"), F.col("place")], F.col("budget"))
     sources = taken.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "place", "taken"))), lambda x: x["taken"]).alias("_sources"), F.sum(F.octet_length("taken")).alias("_used"))
-    state = asked.join(sources, "question_id", "left").withColumn("left", F.col("budget") - F.coalesce("_used", F.lit(0)))
+    state = everyone.join(sources, "question_id", "left").withColumn("left", F.col("budget") - F.coalesce("_used", F.lit(0)))
+    state = materialise(state)
 
     talk = messages.select("chat_id", F.col("id").alias("message_id"), "pos", "role", "content").join(state.select("question_id", "chat_id", "left", "use_memory"), "chat_id")
     recent = talk.withColumn("_age", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("pos").desc()))).filter("_age <= 20")
-    fit = fit_history(recent, "question_id", ["pos"], F.col("left"), F.col("use_memory"))
+    fit = materialise(fit_history(recent, "question_id", ["pos"], F.col("left"), F.col("use_memory")))
     kept = fit.select("question_id", F.col("message_id").alias("answer_id"))
     history = fit.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "taken"))), lambda x: F.struct(x["role"].alias("role"), x["taken"].alias("content"))).alias("history"), F.min("leftover").alias("_left"))
-    state = state.join(history, "question_id", "left").withColumn("left", F.coalesce("_left", "left"))
+    state = materialise(state.join(history, "question_id", "left").withColumn("left", F.coalesce("_left", "left")))
 
     recalled = recall_not_in_prompt(chosen.filter(is_memory(F.col("namespace"))).withColumn("answer_id", F.col("doc_id")), kept)
     memory = recalled.join(turns.select("answer_id", "question", "answer"), "answer_id").select("question_id", F.col("recall_rank").alias("place"), turn_text(F.col("question"), F.col("answer")).alias("content"))

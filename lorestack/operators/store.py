@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorestack.session import materialise
+
 RUNNING = ["queued", "parsing", "chunking", "embedding"]
 
 
@@ -46,11 +48,11 @@ def latest_status(events: DataFrame, key: str, order: list[str], values: list[st
     return last.select(key, *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
-def unique_names(files: DataFrame, taken: DataFrame, order: list[str], name: str = "filename", rounds: int = 12) -> DataFrame:
+def unique_names(files: DataFrame, taken: DataFrame, order: list[str], name: str = "filename") -> DataFrame:
     """Adds stored_name: the name itself for the first, ``stem (n)ext`` from 2 for later ones, never a name in use.
 
     Names that are taken come first. A name made so may stand in the list literally; the rows that clash are numbered
-    again until none does, at most ``rounds`` times.
+    again until none does: each round passes over one more name, so the rounds end. Each is written to the shared folder.
     """
     stem, ext = F.regexp_replace(F.col(name), r"(\.[^./]+)$", ""), F.regexp_extract(F.col(name), r"(\.[^./]+)$", 1)
     used = taken.select(F.col(name).alias("stored_name"))
@@ -59,7 +61,8 @@ def unique_names(files: DataFrame, taken: DataFrame, order: list[str], name: str
     names = waiting.join(used.withColumnRenamed("stored_name", name).distinct().withColumn("_used", F.lit(1)), name, "left")
     number = F.col("_n") + F.coalesce("_used", F.lit(0))
     made = names.withColumn("stored_name", F.when(number == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext))).withColumn("_fresh", number > 1)
-    for _ in range(rounds):
+    while True:
+        made = materialise(made)
         busy = used.unionByName(literal).distinct().withColumn("_busy", F.lit(1))
         clash = made.join(busy, "stored_name", "left").withColumn("_hit", F.col("_fresh") & F.col("_busy").isNotNull())
         if clash.filter("_hit").limit(1).count() == 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestack.functions.text import truncate_utf8
+from lorestack.functions.text import truncate_utf8, utf16_length
 
 
 def pair_turns(messages: DataFrame, chat: str = "chat_id", order: list[str] = ["pos"]) -> DataFrame:
@@ -58,9 +58,9 @@ def merge_consecutive(messages: DataFrame, key: str, order: list[str], text: str
 
 
 def context_usage(messages: DataFrame, key: str, window: Column | None = None, default: int = 4096, text: str = "content") -> DataFrame:
-    """(key, tokens, ratio, level) of each conversation: characters by four against the window."""
+    """(key, tokens, ratio, level) of each conversation: UTF-16 units by four against the window."""
     most = F.coalesce(F.max(window), F.lit(default)) if window is not None else F.lit(default)
-    used = messages.groupBy(key).agg(F.ceil(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))) / 4).alias("tokens"), most.alias("_most"))
+    used = messages.groupBy(key).agg(F.ceil(F.sum(utf16_length(F.coalesce(F.col(text), F.lit("")))) / 4).alias("tokens"), most.alias("_most"))
     ratio = F.least(F.col("tokens") / F.col("_most"), F.lit(1.0))
     return used.withColumn("ratio", ratio).select(key, "tokens", "ratio", F.when(F.col("ratio") >= 1, "red").when(F.col("ratio") >= 0.75, "amber").otherwise("green").alias("level"))
 

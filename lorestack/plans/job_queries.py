@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,17 +16,12 @@ from lorestack.operators.embed import embed, index_turns
 from lorestack.operators.prompt import assemble_prompts
 from lorestack.operators.translate import render_pages, translate_pages
 from lorestack.plans.standins import standin, with_sql
-from lorestack.session import table
+from lorestack.session import materialise, table
+from lorestack.session import shared_dir as _folder
 from lorestack.sources import files as I
 from lorestack.streaming import jobs as J
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lorestack-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _docx(text: str) -> bytes:
     out = io.BytesIO()
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -114,10 +107,11 @@ def r18_index_turns(spark, d):
 
 def r14_assemble_prompts(spark, d):
     turns, chats = _turns(spark, d), standin(spark, d, "chats")
-    memory = index_turns(turns, chats).select("namespace", "doc_id", "chunk_index", "text", "vector")
-    library = J.ingest(table(spark, d, "documents"))
+    memory = materialise(index_turns(turns, chats).select("namespace", "doc_id", "chunk_index", "text", "vector"))
+    library = materialise(J.ingest(table(spark, d, "documents")))  # embedded once
     asked = standin(spark, d, "messages").filter("role = 'user'").groupBy("chat_id").agg(F.max_by("content", "pos").alias("question"))
     questions = asked.join(chats, "chat_id").select(F.col("chat_id").alias("question_id"), "chat_id", "question", embed(F.col("question"), kind="query").alias("vector"), "use_global", "use_memory", F.lit(2048).alias("context"))
+    questions = materialise(questions)
     documents, attached = standin(spark, d, "kb_documents").select("doc_id", "filename"), standin(spark, d, "attachments")
     made = assemble_prompts(questions, library.unionByName(memory), standin(spark, d, "messages"), documents, attached, turns)
     return made.select("question_id", F.octet_length("sources").alias("source_bytes"), F.size("history").alias("n_history"), F.octet_length("memory").alias("memory_bytes"), "answer_tokens")
@@ -133,7 +127,7 @@ def x01_translate_pages(spark, d):
 
 def t23_render_page(spark, d):
     pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.col("page_id").cast("int").alias("page"), F.concat(M.body_tag_udf("html"), F.format_string('<img src="%04d.png"/><img src="9999.jpg"/>', F.col("page_id")), F.lit("</body>")).alias("text"))
-    images = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.format_string("%04d.png", F.col("page_id")).alias("name"), F.encode(F.substring("html", 1, 200), "utf-8").alias("content"))
+    images = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.format_string("%04d.png", F.col("page_id")).alias("name"), F.encode("html", "utf-8").alias("content"))
     return render_pages(pages, images, "p{margin:0}").select("book_id", "page", F.md5("html").alias("html_md5"))
 
 
@@ -152,8 +146,12 @@ def st1_stream_ingest(spark, d):
 
 
 def st2_stream_turns(spark, d):
-    m = standin(spark, d, "messages")
-    stream = _stream(spark, m.repartition(1), files=1)  # messages of a chat arrive in order
+    """Messages arrive in order of their positions, in four parts and so over several batches: questions wait in the state."""
+    m, path = standin(spark, d, "messages"), _folder(spark)
+    part = F.least(F.floor(F.col("pos") / 2), F.lit(3))
+    for k in range(4):
+        m.filter(part == k).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(path)
     return J.run_available(J.stream_turns(stream), _folder(spark), "append", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
@@ -170,8 +168,11 @@ def _collected(spark: SparkSession, lines: DataFrame) -> DataFrame:
 
 
 def st3_stream_tokens(spark, d):
-    """Six of seven messages, the end mark at word 40: what comes after an end mark is left out."""
-    return _collected(spark, _token_lines(standin(spark, d, "messages").filter("id % 7 > 0"), F.lit(40)))
+    """All messages, the end mark after the last word of each, and lines after that, which are left out."""
+    m = standin(spark, d, "messages")
+    n = F.size(F.split("content", " "))
+    late = m.select(F.col("id").alias("message_id"), F.explode(F.sequence(n + 1, n + 3)).alias("seq"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}').alias("line"))
+    return _collected(spark, _token_lines(m, n).unionByName(late))
 
 
 def st5_stream_whole_texts(spark, d):
@@ -195,7 +196,7 @@ ORACLE_SQL = {
     "r01_embed": "SELECT doc_id, 64 AS n, 1.0::DOUBLE AS norm FROM documents",
     "st1_stream_ingest": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 10 > 0) WHERE len(w) > 0)",
     "st2_stream_turns": with_sql("messages", _TURNS + " SELECT chat_id, id AS answer_id, md5(q) AS question_md5, md5(content) AS answer_md5 FROM t"),
-    "st3_stream_tokens": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages WHERE id % 7 > 0) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq < 40 AND seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
+    "st3_stream_tokens": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
     "st5_stream_whole_texts": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
     "st4_stream_status": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -16,7 +16,7 @@ SQL = {
         CASE doc_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'chunking' WHEN 3 THEN 'embedding' WHEN 4 THEN 'error' ELSE 'ready' END AS status,
         CAST(doc_id % 997 AS INTEGER) AS created_at, n_chars AS size_bytes, text, lang FROM documents""",
     "attachments": """SELECT doc_id, doc_id % 50 AS chat_id, concat('file-', CAST(doc_id AS VARCHAR(20)), '.md') AS filename,
-        CASE doc_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'injected_whole' WHEN 2 THEN 'error' ELSE 'parsing' END AS status, text AS extracted_text FROM documents WHERE doc_id % 2 = 0""",
+        CASE doc_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'injected_whole' WHEN 2 THEN 'error' ELSE 'parsing' END AS status, text AS extracted_text FROM documents""",
     "chunks": """SELECT vec_id, CASE WHEN label < 4 THEN 'global' WHEN label < 7 THEN concat('chat:', CAST(label AS VARCHAR(20))) ELSE concat('memory:', CAST(label - 3 AS VARCHAR(20))) END AS namespace,
         CAST(vec_id - vec_id % 10 AS BIGINT) AS doc_id, CAST(vec_id % 10 AS INTEGER) AS chunk_index, concat('chunk ', CAST(vec_id AS VARCHAR(20))) AS text, embedding AS vector FROM embeddings""",
     "questions": "SELECT vec_id AS question_id, CAST(4 + vec_id % 150 / 50 AS INTEGER) AS chat_id, vec_id % 100 = 0 AS use_global, true AS use_memory, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0",

@@ -35,7 +35,7 @@ def t05_sentences(spark, d):
 
 def t13_image_markers(spark, d):
     doc = table(spark, d, "documents").withColumn("marker", X.image_marker(F.col("doc_id") % 20000, F.element_at(F.array(F.lit("png"), F.lit("jpeg")), (F.col("doc_id") % 2 + 1).cast("int"))))
-    marked = F.concat(F.substring("text", 1, 40), F.lit(" "), F.col("marker"), F.lit("  tail"))
+    marked = F.concat(F.col("text"), F.lit(" "), F.col("marker"), F.lit("  tail"))
     return doc.select("doc_id", "marker", X.is_image_marker(F.concat(F.lit(" "), F.col("marker"))).alias("whole"), X.is_image_marker(marked).alias("inline"), X.without_image_markers(marked).alias("clean"))
 
 
@@ -77,22 +77,27 @@ def p03_should_record_turn(spark, d):
 
 
 def p04_is_speakable(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.element_at(F.array(F.col("lang"), F.lit(" * * * "), F.lit("[[image: 0001.png]]"), F.lit("§ 5"), F.lit("...")), (F.col("doc_id") % 5 + 1).cast("int")).alias("s"))
-    return s.select("doc_id", X.is_speakable(F.col("s")).alias("speakable"))
+    bare = F.regexp_replace("text", r"[\p{L}\p{N}]", "")
+    s = table(spark, d, "documents").select("doc_id", "text", F.element_at(F.array(bare, F.concat(bare, F.lit(" § 5")), F.lit(" [[image: 0001.png]]"), F.concat(F.lit("[[image: 0001.png]] "), bare), F.lit("")), (F.col("doc_id") % 5 + 1).cast("int")).alias("s"))
+    return s.select("doc_id", X.is_speakable(F.col("text")).alias("speakable"), X.is_speakable(F.col("s")).alias("marks"))
 
 
 def p05_route_attachments(spark, d):
     return standin(spark, d, "attachments").select("doc_id", X.attachment_route(F.col("extracted_text"), F.col("status") == "error").alias("route"))
 
 
+def _asked(spark, d):
+    """Every vector with one of the questions: that of its own fifty identifiers."""
+    q = standin(spark, d, "questions").select("question_id", F.col("vector").alias("asked"))
+    return table(spark, d, "embeddings").withColumn("question_id", F.col("vec_id") - F.col("vec_id") % 50).join(q, "question_id")
+
+
 def r02_squared_l2(spark, d):
-    q = standin(spark, d, "questions").filter("question_id = 0").select(F.col("vector").alias("asked"))
-    return table(spark, d, "embeddings").crossJoin(F.broadcast(q)).select("vec_id", F.round(X.squared_l2(F.col("embedding"), F.col("asked")), 6).alias("distance"))
+    return _asked(spark, d).select("vec_id", "question_id", F.round(X.squared_l2(F.col("embedding"), F.col("asked")), 6).alias("distance"))
 
 
 def r01c_cosine(spark, d):
-    q = standin(spark, d, "questions").filter("question_id = 0").select(F.col("vector").alias("asked"))
-    return table(spark, d, "embeddings").crossJoin(F.broadcast(q)).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("asked")), 6).alias("cosine"))
+    return _asked(spark, d).select("vec_id", "question_id", F.round(X.cosine(F.col("embedding"), F.col("asked")), 6).alias("cosine"))
 
 
 QUERIES = {f.__name__: f for f in (t01_words, t02_repair_hyphens, t03_chunk_text, t04_paragraphs, t05_sentences, t13_image_markers, t16_truncate_utf8, t17_format_blocks, t18_namespace_of, t19_token_budgets, t20_ram_estimate, t24_escape_text, p03_should_record_turn, p04_is_speakable, p05_route_attachments, r02_squared_l2, r01c_cosine)}
@@ -108,7 +113,7 @@ ORACLE_SQL = {
     "t05_sentences": r"""SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, md5(unnest(p)) AS sentence_md5 FROM (
         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?…]["'')\]»”’]*)\s+([^.!?…\s])', '\1' || chr(1) || '\2', 'g'), '([.!?…]["'')\]»”’]*)\s+([^.!?…\s])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, E' \n\t')), lambda x: x <> '') AS p FROM documents)""",
     "t13_image_markers": r"""WITH m AS (SELECT doc_id, text, concat('[[image: ', CASE WHEN doc_id % 20000 > 9999 THEN CAST(doc_id % 20000 AS VARCHAR) ELSE lpad(CAST(doc_id % 20000 AS VARCHAR), 4, '0') END, '.', CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpeg' END, ']]') AS marker FROM documents)
-        SELECT doc_id, marker, true AS whole, false AS inline, trim(regexp_replace(concat(substr(text, 1, 40), ' ', '  tail'), '\s+', ' ', 'g')) AS clean FROM m""",
+        SELECT doc_id, marker, true AS whole, false AS inline, trim(regexp_replace(concat(text, ' ', '  tail'), '\s+', ' ', 'g')) AS clean FROM m""",
     "t16_truncate_utf8": """SELECT doc_id, list_max(list_transform(range(0, 98), lambda i: CASE WHEN strlen(substr(text, 1, i)) <= doc_id % 97 + 1 THEN substr(text, 1, i) ELSE '' END)) AS cut FROM documents""",
     "t17_format_blocks": with_sql("messages", r"""SELECT id, md5(b) AS block_md5, md5(b || E'\n\n---\n\n' || CASE WHEN role = 'user' THEN 'u' || E'\n\n---\n\n' ELSE '' END || 'Usuário: ' || role || E'\nAssistente: r') AS joined_md5
         FROM (SELECT *, '[fonte: m' || id || E']\n' || content AS b FROM messages)"""),
@@ -120,8 +125,8 @@ ORACLE_SQL = {
         o_orderkey * 1000 * CASE o_orderkey % 5 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.625::DOUBLE WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 2.0::DOUBLE END * 1.2::DOUBLE AS b FROM orders)""",
     "t24_escape_text": "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages",
     "p03_should_record_turn": with_sql("messages", "SELECT id, id % 3 <> 0 AND id % 7 <> 0 AND id % 11 <> 0 AND id % 5 <> 0 AND trim(coalesce(content, '')) <> '' AS record FROM messages"),
-    "p04_is_speakable": "SELECT doc_id, doc_id % 5 IN (0, 3) AS speakable FROM documents",
+    "p04_is_speakable": r"SELECT doc_id, regexp_matches(text, '[\pL\pN]') AS speakable, doc_id % 5 IN (1, 3) AS marks FROM documents",
     "p05_route_attachments": with_sql("attachments", "SELECT doc_id, CASE WHEN status = 'error' OR extracted_text IS NULL THEN 'error' WHEN strlen(extracted_text) <= 8000 THEN 'injected_whole' ELSE 'index' END AS route FROM attachments"),
-    "r02_squared_l2": "SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0",
-    "r01c_cosine": "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0",
+    "r02_squared_l2": "SELECT e.vec_id, q.vec_id AS question_id, round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id - e.vec_id % 50",
+    "r01c_cosine": "SELECT e.vec_id, q.vec_id AS question_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id - e.vec_id % 50",
 }

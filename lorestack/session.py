@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +24,25 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the session's own checkpoint
+    folder; on one machine (a local master) else a new temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lorestack-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: later steps neither recompute ``df`` nor depend on an executor."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
