@@ -38,9 +38,12 @@ CANDIDATE = (
 )
 #: Fixed formats of issuers' keys.
 ISSUED = rf"^(?:{_FORMATS})|^-----BEGIN "
+#: Identifiers that are random but no secrets.
+UUID = r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 _URL = r"://[^\s/@:\"'<>]{0,64}:$"
 #: Words that stand in names, paths and placeholders rather than in random strings.
-DICTIONARY = "the and for that with this from user name test example sample demo file path index image page item data value version release number order street mail http https www com org license apache change placeholder your here none null true false".split()
+DICTIONARY = """the and for that with this from user name test example sample demo file path index image page item data value version release number order street mail http https www com org license apache change placeholder your here none null true false
+about after again also been before between book both build call case check class clean client close code color common config content copy count create current date debug default delete design detail device document domain down each email empty enable end error event every export feature field final find first folder font form format found free full function good group guide have header help high history home host house info input install into just keep kind label large last latest left length level library like line link list load local location login long look made main make manager many master media member message method model module more most need network new next node note object old only open option other output over own package parent part password people picture place plan play point post price print private process product profile program project public query read record report request response result return right room run same save schema script search second section send server service session set setting short show simple site size small some sort source start state static status step stop store string style summary support system table target task team temp template text than then these thing time title token tool total train tree type under update upload used view want water week when where which while white will window word work world write year""".split()
 FEATURES = ["n", "digit", "upper", "lower", "other", "hex", "turns", "distinct", "covered", "issued", "named", "assigned", "quoted", "numbered", "test_path"]
 PLACEHOLDER = "[SECRET]"
 #: Labelled findings that training always has: text before, candidate, text after, path, whether it is a secret. Published examples and made-up values.
@@ -63,6 +66,9 @@ SEED = [
     ("card ", "4111111111111111", " paid", "orders.txt", 0),
     ("number ", "5500005555555559", " and", "orders.txt", 0),
     ("of ", "20240229123456789", " rows", "log.txt", 0),
+    ("commit ", "9fceb02d0ae598e95dc970b74767f19372d61af8", " fixes", "notes.txt", 0),
+    ("sha256: ", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "\n", "notes.txt", 0),
+    ("row ", "123e4567-e89b-12d3-a456-426614174000", " of", "log.txt", 0),
     ("see ", "release-notes-version-2", " for", "notes.txt", 0),
     ("see ", "docs/example/path/page1", " for", "docs/readme.md", 0),
     ("password=", "changeme", " here", "docs/example.md", 0),
@@ -136,7 +142,7 @@ def features(found: DataFrame) -> DataFrame:
         .withColumn("named", F.col("before").rlike(rf"(?i){CREDENTIAL}(?:\W{{0,20}}|{_GIVEN}(?:bearer|basic|token)\s{{1,4}})$").cast("double"))
         .withColumn("assigned", F.col("before").rlike(r"[=:]>?\s{0,8}[\"'`]?$").cast("double"))
         .withColumn("quoted", (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"))
-        .withColumn("numbered", F.col("before").rlike(r"(?i)\b(?:card|number|no|order|phone|iban|id|commit|sha|uuid|isbn)\W{0,4}$").cast("double"))
+        .withColumn("numbered", (F.col("before").rlike(r"(?i)\b(?:card|number|no|order|phone|iban|id|commit|revision|sha\d*|md5|checksum|digest|build|uuid|isbn|doi)\W{0,4}$") | c.rlike(UUID)).cast("double"))
         .withColumn("test_path", F.col("path").rlike(r"(?i)test|example|sample|doc|fixture").cast("double"))
     )
 
@@ -146,11 +152,12 @@ def presumed(found: DataFrame) -> DataFrame:
 
     A secret: an issuer's format, a private key's block, a URL's password, or a value given to a credential's name that
     mixes letters and digits.
-    Not a secret: digits alone, letters alone outside a credential, or a mostly dictionary-covered run. The rest stay out.
+    Not a secret: digits alone, letters alone outside a credential, a mostly dictionary-covered run, or, outside a credential,
+    what is numbered as a commit, digest, order or the like or has the form of a UUID. The rest stay out.
     """
     mixed = (F.col("digit") > 0) & (F.col("lower") + F.col("upper") > 0)
     yes = (F.col("issued") > 0) | ((F.col("named") > 0) & mixed & (F.col("covered") < 0.3))
-    no = (F.col("digit") == 1) | (F.col("covered") > 0.5) | ((F.col("digit") == 0) & (F.col("named") == 0))
+    no = (F.col("digit") == 1) | ((F.col("numbered") > 0) & (F.col("named") == 0) & (F.col("issued") == 0)) | (F.col("covered") > 0.5) | ((F.col("digit") == 0) & (F.col("named") == 0))
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).filter("label is not null")
 
 

@@ -68,6 +68,45 @@ def test_squares_identity():
     assert abs(m.raw(index, value, np.array([0]))[0] - pairs) < 1e-3
 
 
+def test_kneser_ney_against_dictionaries(spark):
+    """Counts by Spark and the ratios from them against the formula over plain dictionaries."""
+    import numpy as np
+
+    vocabulary = {b"idiot": (1, 9), b"idle": (7, 0), b"ideal": (4, 1), b"a": (30, 6), b"x" * 90: (1, 0)}
+    df = spark.createDataFrame([(bytearray(w), a, b) for w, (a, b) in vocabulary.items()], "word binary, n0 long, n1 long").repartition(2)
+    model = toxicity.KneserNey(*toxicity.count(df))
+    order = toxicity.ORDER
+    padded = lambda w: b"\x02" * (order - 1) + w + b"\x03"
+    levels = {order: {}}
+    for w, n in vocabulary.items():
+        for i in range(order, len(padded(w)) + 1):
+            g = padded(w)[i - order : i]
+            levels[order][g] = tuple(np.add(levels[order].get(g, (0, 0)), n))
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = tuple(np.add(levels[k].get(g[1:], (0, 0)), (1, 1)))
+
+    def log_ratio(word):
+        total = 0.0
+        for i in range(order, len(padded(word)) + 1):
+            p = np.full(2, 1 / 256)
+            for k in range(1, order + 1):
+                g = padded(word)[i - k : i]
+                same = [n for h, n in levels[k].items() if h[:-1] == g[:-1]]
+                n, sums = np.array(levels[k].get(g, (0, 0)), float), np.sum(same, axis=0) if same else np.zeros(2)
+                types = np.sum([np.minimum(m, 0.75) for m in same], axis=0) if same else np.zeros(2)
+                doubt = toxicity._DOUBT if k == order else 0
+                p = np.where(sums + doubt > 0, (np.maximum(n - 0.75, 0) + (types + doubt) * p) / np.maximum(sums + doubt, 1e-9), p)
+            total += np.log(p[1]) - np.log(p[0])
+        return total
+
+    for word in (b"idiot", b"idiots", b"idle", b"ideal", b"new", b"a", b"x" * 90):
+        assert abs(model.ratios([word])[0] - log_ratio(word)) < 1e-4, word
+    assert model.ratios([b"idiot"])[0] > 2 > abs(model.ratios([b"new"])[0])
+    assert toxicity.count(df.limit(0)) is None
+
+
 def test_labels_stay_in_their_fold(spark):
     df = spark.range(200).select(F.col("id"), fold(F.col("id")).alias("f"))
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in df.collect())
@@ -119,6 +158,39 @@ def test_secrets_of_every_kind_of_place(spark):
     assert clean[7] == "see postgres://user:[SECRET]@host/pwd end" and clean[0] == "OAUTH2_CLIENT_SECRET=[SECRET] end" and clean[9] == "key\n[SECRET]\nend"
 
 
+def labelled_texts(seed=21):
+    """Texts with one value each, of many kinds of places, and whether it is a secret."""
+    rng = random.Random(seed)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, high, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    mixed = low + high + digits
+    uuid = lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
+    yes = [
+        lambda: (f"aws {some('A', 0)}AKIA{some(high + digits, 16)} used", None), lambda: (f"push with ghp_{some(mixed, 36)} now", None),
+        lambda: (f"password = {some(low, 5)}{some(digits, 3)}{some(low, 3)} end", None), lambda: (f'api_key: "{some(hexes, 32)}"', None),
+        lambda: (f"SECRET_KEY={some(mixed, 24)}1 end", None), lambda: (f"Authorization: Bearer {some(mixed, 30)}7 end", None),
+        lambda: (f"postgres://app:{some(mixed, 12)}@db/main end", None), lambda: (f"jwt eyJ{some(mixed, 20)}.eyJ{some(mixed, 30)}.{some(mixed, 40)} end", None),
+        lambda: (f"password=hunter{some(digits, 2)} end", None),
+    ]
+    no = [
+        lambda: f"commit {some(hexes, 40)} fixes it", lambda: f"sha256 {some(hexes, 64)} of the file", lambda: f"row {uuid()} went", lambda: f"card {some(digits, 16)} paid",
+        lambda: f"see docs/page{some(digits, 2)}/example-file-{some(digits, 3)} there", lambda: f"order {some(digits, 18)} shipped", lambda: f"the release-notes-version-{some(digits, 2)}-final text",
+        lambda: f"isbn 978-{some(digits, 10)}-{some(digits, 3)} sold", lambda: f"https://host/path/to/report-{some(digits, 8)}-summary.html end", lambda: f"password policy number {some(digits, 16)} holds",
+    ]
+    return [(rng.choice(yes)()[0], 1) if i % 2 else (rng.choice(no)(), 0) for i in range(600)]
+
+
+def test_secret_figures(spark):
+    """Precision and recall on texts whose labels come from their making, none of them a training row."""
+    rows = labelled_texts()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    flagged = {r.doc_id for r in secrets.scan(docs).collect() if r.is_secret}
+    right = sum(y for i, (_, y) in enumerate(rows) if i in flagged)
+    precision, recall = right / len(flagged), right / sum(y for _, y in rows)
+    print("precision", precision, "recall", recall, [rows[i] for i in range(600) if (i in flagged) != rows[i][1]][:12])
+    assert precision >= 0.95 and recall >= 0.95
+
+
 def test_neighbourhood_goes_over_other_candidates(spark):
     text = "x " + "".join(f"{i}abcdefghij012345," for i in range(4)) + " end"
     for r in secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect():
