@@ -69,7 +69,7 @@ class KneserNey:
 
     def __init__(self, grams: np.ndarray | None = None, contexts: np.ndarray | None = None):
         """By place: discounted counts of ends; totals, then discounts, of contexts."""
-        self.grams, self.contexts, self.cache = grams, contexts, None
+        self.grams, self.contexts, self.cache, self.lower = grams, contexts, None, None
         self.curve = np.zeros(3 + len(WORST))
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
@@ -77,13 +77,19 @@ class KneserNey:
         if self.grams is None or not found:
             return np.zeros(len(found))
         key, lengths = _grams(found)
-        p = np.full((len(key), 2), 1 / 256)
-        for k in range(1, ORDER + 1):
+        if self.lower is None:
+            self.lower = np.ascontiguousarray(self.grams[:, 0]), np.ascontiguousarray(self.contexts[:, 0]), np.ascontiguousarray(self.contexts[:, 2])
+        ends, totals, discounts = self.lower
+        p = np.full(len(key), 1 / 256, dtype=np.float32)
+        for k in range(1, ORDER):  # the same for both classes
             here = key & _MASK[k]
-            n, both = self.grams[_slots(here, k)], self.contexts[_slots(here >> np.uint64(8), k)]
-            doubt = _DOUBT if k == ORDER else 0.0
-            total = np.maximum(both[:, :2], n + both[:, 2:]) + doubt
-            p = np.where(total > 0, (n + (both[:, 2:] + doubt) * p) / np.where(total > 0, total, 1), p)
+            n, at = ends[_slots(here, k)], _slots(here >> np.uint64(8), k)
+            spread = discounts[at]
+            total = np.maximum(totals[at], n + spread)
+            seen = total > 0
+            p = np.where(seen, (n + spread * p) / np.where(seen, total, 1), p)
+        n, both = self.grams[_slots(key, ORDER)], self.contexts[_slots(key >> np.uint64(8), ORDER)].astype(float)
+        p = (n + (both[:, 2:] + _DOUBT) * p[:, None].astype(float)) / (np.maximum(both[:, :2], n + both[:, 2:]) + _DOUBT)
         each = np.log(p[:, 1]) - np.log(p[:, 0])
         return np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
 
@@ -117,7 +123,7 @@ class KneserNey:
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": None}
+        return self.__dict__ | {"cache": None, "lower": None}
 
     def calibrate(self, evidence: np.ndarray, y: np.ndarray) -> None:
         """The logistic curve by Newton's method, each class weighing the same, with a little ridge."""
