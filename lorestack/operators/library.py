@@ -67,6 +67,21 @@ def removed_count(pages: DataFrame, removals: DataFrame) -> DataFrame:
     return removals.join(counted, ["book_id", "language"], "left").select("book_id", "language", F.coalesce("_n", F.lit(0)).cast("long").alias("removed"))
 
 
+def set_reading_language(books: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Books with the reading language chosen (book_id, language); the original is no language of its own: null."""
+    joined = books.join(chosen.select("book_id", F.col("language").alias("_chosen")), "book_id", "left")
+    return joined.withColumn("reading_language", F.when(F.col("_chosen").isNull(), F.col("reading_language")).otherwise(F.nullif("_chosen", F.lit(ORIGINAL)))).drop("_chosen")
+
+
+def remove_languages(pages: DataFrame, books: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages without the languages removed (book_id, language), and books whose reading language that was back at the original."""
+    gone = removals.select("book_id", "language").distinct()
+    left = pages.join(gone, ["book_id", "language"], "left_anti")
+    marked = books.join(gone.select("book_id", F.col("language").alias("reading_language"), F.lit(True).alias("_gone")), ["book_id", "reading_language"], "left")
+    reading = F.when(F.col("_gone").isNull(), F.col("reading_language"))
+    return left, marked.withColumn("reading_language", reading).select(*books.columns)
+
+
 def page_with_fallback(requests: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     """(request_id, served_language, format, text, error) of requests (request_id, book_id, language, index from 0).
 

@@ -42,6 +42,16 @@ def cascade_delete_chats(gone: DataFrame, messages: DataFrame, attachments: Data
     return delete_rows(messages, gone, ["chat_id"]), delete_rows(attachments, gone, ["chat_id"]), delete_rows(chunks, spaces, ["namespace"])
 
 
+def cascade_delete_books(gone: DataFrame, readings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings and pages without those of the books listed (book_id)."""
+    return delete_rows(readings, gone, ["book_id"]), delete_rows(pages, gone, ["book_id"])
+
+
+def cascade_delete_documents(gone: DataFrame, documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents without those listed (doc_id), and chunks without theirs, in whichever namespace."""
+    return delete_rows(documents, gone, ["doc_id"]), delete_rows(chunks, gone, ["doc_id"])
+
+
 def latest_status(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The last event of each key, by one pre-aggregated maximum."""
     last = events.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("_last"))

@@ -212,6 +212,26 @@ def l07_clamp_after_repaginate(spark, d):
     return L.clamp_after_repaginate(standin(spark, d, "readings"), counts).select("reading_id", "last_page")
 
 
+def l05b_cascade_books_documents(spark, d):
+    gone = standin(spark, d, "books").filter("status = 'ready'").select("book_id")
+    r, p = S.cascade_delete_books(gone, standin(spark, d, "readings"), standin(spark, d, "book_pages"))
+    docs, c = S.cascade_delete_documents(standin(spark, d, "kb_documents").filter("status = 'error'").select("doc_id"), standin(spark, d, "kb_documents"), standin(spark, d, "chunks"))
+    each = [r.select(F.lit("reading").alias("kind"), F.col("reading_id").alias("id")), p.select(F.lit("page"), F.col("book_id")), docs.select(F.lit("document"), F.col("doc_id")), c.select(F.lit("chunk"), F.col("vec_id"))]
+    return each[0].union(each[1]).union(each[2]).union(each[3]).groupBy("kind", "id").agg(F.count("*").alias("n"))
+
+
+def l07b_set_reading_language(spark, d):
+    chosen = standin(spark, d, "books").filter("status <> 'ready'").select("book_id", F.element_at(F.array(F.lit("original"), F.lit("de")), (F.col("book_id") % 2 + 1).cast("int")).alias("language"))
+    return L.set_reading_language(standin(spark, d, "books"), chosen).select("book_id", "reading_language")
+
+
+def a08b_remove_languages(spark, d):
+    removals = standin(spark, d, "books").filter("status <> 'ready'").select("book_id", F.lit("es").alias("language"))
+    left, books = L.remove_languages(standin(spark, d, "book_pages"), standin(spark, d, "books"), removals)
+    pages = left.groupBy("book_id").agg(F.count("*").alias("pages"))
+    return books.join(pages, "book_id", "left").select("book_id", "reading_language", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))
+
+
 def l15_positions_to_readings(spark, d):
     return L.positions_to_readings(standin(spark, d, "books"))
 
@@ -334,6 +354,9 @@ ORACLE_SQL = {
     "r05_first_n_sorted": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "j01_reading_history": with_sql("readings books", "SELECT reading_id, r.book_id, filename, least(r.last_page, greatest(page_count - 1, 0)) AS last_page, r.last_opened_at FROM readings r JOIN books b ON b.book_id = r.book_id"),
     "j09_save_positions": with_sql("readings books", "SELECT reading_id, CASE WHEN reading_id % 4 = 0 THEN CAST(least(reading_id % 90, greatest(coalesce(page_count, 0) - 1, 0)) AS INTEGER) ELSE r.last_page END AS last_page FROM readings r LEFT JOIN books b ON b.book_id = r.book_id"),
+    "l05b_cascade_books_documents": with_sql("books readings book_pages kb_documents chunks", ", g AS (SELECT book_id FROM books WHERE status = 'ready'), e AS (SELECT doc_id FROM kb_documents WHERE status = 'error'), x AS (SELECT 'reading' AS kind, reading_id AS id FROM readings WHERE book_id NOT IN (FROM g) UNION ALL SELECT 'page', book_id FROM book_pages WHERE book_id NOT IN (FROM g) UNION ALL SELECT 'document', doc_id FROM kb_documents WHERE doc_id NOT IN (FROM e) UNION ALL SELECT 'chunk', vec_id FROM chunks WHERE doc_id NOT IN (FROM e)) SELECT kind, id, count(*) AS n FROM x GROUP BY ALL"),
+    "l07b_set_reading_language": with_sql("books", "SELECT book_id, CASE WHEN status = 'ready' THEN reading_language WHEN book_id % 2 = 1 THEN 'de' END AS reading_language FROM books"),
+    "a08b_remove_languages": with_sql("books book_pages", "SELECT b.book_id, any_value(CASE WHEN status <> 'ready' AND reading_language = 'es' THEN NULL ELSE reading_language END) AS reading_language, count(p.book_id) AS pages FROM books b LEFT JOIN book_pages p ON p.book_id = b.book_id AND NOT (b.status <> 'ready' AND p.language = 'es') GROUP BY 1"),
     "l07_clamp_after_repaginate": with_sql("readings books", "SELECT reading_id, CASE WHEN b.book_id IS NULL THEN r.last_page ELSE CAST(least(r.last_page, greatest(b.book_id % 12 - 1, 0)) AS INTEGER) END AS last_page FROM readings r LEFT JOIN (SELECT book_id FROM books WHERE book_id % 2 = 0) b ON b.book_id = r.book_id"),
     "l15_positions_to_readings": with_sql("books", "SELECT book_id AS reading_id, book_id, coalesce(last_page, 0) AS last_page, last_opened_at FROM books WHERE last_opened_at IS NOT NULL"),
     "a01_language_coverage": with_sql("books book_pages", "SELECT p.book_id, language, count(DISTINCT page) AS pages, language = coalesce(reading_language, 'original') AS is_reading FROM book_pages p JOIN books b ON b.book_id = p.book_id WHERE language <> 'images' GROUP BY 1, 2, 4"),
