@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorestack.functions import markup as M
+from lorestack.functions import text as X
 
 _HELD = "open string, close string, text string, tags array<array<string>>"
 
@@ -21,13 +22,19 @@ def _units(html: str | None) -> list[dict]:
 def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[list[str]], list[str]], source: str = "original") -> tuple[DataFrame, DataFrame]:
     """(translated pages, failed pages) for (book_id, language, page) in ``wanted`` without a row yet.
 
-    Units are blocks with their inline tags held as markers; a page with a blank answer fails and is not written.
+    Units are blocks with their inline tags held as markers. Of pages whose ``format`` is txt (a column that may be missing)
+    they are paragraphs, joined by blank lines again, image markers copied. A page with a blank answer fails and is not
+    written.
     """
     pending = wanted.join(pages.select("book_id", "language", "page"), ["book_id", "language", "page"], "left_anti")
-    original = pages.filter(F.col("language") == source).select("book_id", "page", "text")
+    kind = F.col("format") if "format" in pages.columns else F.lit("html")
+    original = pages.filter(F.col("language") == source).select("book_id", "page", "text", F.coalesce(kind, F.lit("html")).alias("format"))
     unit = T.ArrayType(T.StructType([T.StructField("open", T.StringType()), T.StructField("close", T.StringType()), T.StructField("text", T.StringType()), T.StructField("tags", T.ArrayType(T.ArrayType(T.StringType())))]))
     split = F.pandas_udf(lambda s: s.map(_units), unit)
-    units = pending.join(original, ["book_id", "page"]).select("book_id", "language", "page", M.body_tag_udf("text").alias("body"), F.posexplode(split("text")).alias("pos", "unit"))
+    plain = F.transform(X.paragraphs(F.col("text")), lambda p: F.struct(F.when(X.is_image_marker(p), p).otherwise("").alias("open"), F.lit("").alias("close"), F.when(X.is_image_marker(p), "").otherwise(p).alias("text"), F.array().cast("array<array<string>>").alias("tags")))
+    both = pending.join(original, ["book_id", "page"])
+    html = both.filter("format <> 'txt'").select("book_id", "language", "page", "format", M.body_tag_udf("text").alias("body"), F.posexplode(split("text")).alias("pos", "unit"))
+    units = html.unionByName(both.filter("format = 'txt'").select("book_id", "language", "page", "format", F.lit("").alias("body"), F.posexplode(plain).alias("pos", "unit")))
 
     def run(batches):
         for batch in batches:
@@ -41,10 +48,12 @@ def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[li
         rows = held.to_dict("records")
         return pd.Series([r["open"] if not r["text"] else None if not (t or "").strip() else M.rebuild(r, t) for r, t in zip(rows, translated, strict=True)])
 
-    back = units.withColumn("text", F.col("unit.text")).join(done, ["language", "text"], "left").withColumn("out", rebuilt("unit", "translated"))
-    whole = back.groupBy("book_id", "language", "page").agg(F.first("body").alias("body"), F.count(F.when(F.col("out").isNull(), 1)).alias("blank"), F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("parts"))
-    text = F.concat("body", F.array_join(F.transform("parts", lambda p: p["out"]), ""), F.lit("</body>"))
-    return whole.filter("blank = 0").select("book_id", "language", "page", F.lit("html").alias("format"), text.alias("text")), whole.filter("blank > 0").select("book_id", "language", "page", F.lit("blank_answer").alias("error"))
+    same = F.when(F.col("unit.text") == "", F.col("unit.open")).when(X.trim_unicode("translated") != "", F.col("translated"))
+    back = units.withColumn("text", F.col("unit.text")).join(done, ["language", "text"], "left").withColumn("out", F.when(F.col("format") == "txt", same).otherwise(rebuilt("unit", "translated")))
+    whole = back.groupBy("book_id", "language", "page", "format").agg(F.first("body").alias("body"), F.count(F.when(F.col("out").isNull(), 1)).alias("blank"), F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("parts"))
+    parts = F.transform("parts", lambda p: p["out"])
+    text = F.when(F.col("format") == "txt", F.array_join(parts, "\n\n")).otherwise(F.concat("body", F.array_join(parts, ""), F.lit("</body>")))
+    return whole.filter("blank = 0").select("book_id", "language", "page", "format", text.alias("text")), whole.filter("blank > 0").select("book_id", "language", "page", F.lit("blank_answer").alias("error"))
 
 
 def render_pages(pages: DataFrame, images: DataFrame, css: str = "") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestack.functions import markup as M
+from lorestack.functions.sql import register
 from lorestack.operators import retrieve as R
 from lorestack.operators import store as S
 from lorestack.operators import turns as U
@@ -125,6 +126,20 @@ def x01_translate_pages(spark, d):
     return out.select("book_id", "page", F.md5("text").alias("text_md5")).unionByName(failed.select("book_id", "page", F.col("error").alias("text_md5")))
 
 
+def x01b_translate_text(spark, d):
+    """Whole documents as pages of text, every line a paragraph, a marker after each text."""
+    text = F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit(" \n\n ")), F.lit("\n\n[[image: 0001.png]]"))
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.lit("original").alias("language"), F.lit(1).alias("page"), F.lit("txt").alias("format"), text.alias("text"))
+    out, _ = translate_pages(pages, pages.select("book_id", F.lit("xx").alias("language"), "page"), lambda texts: [t.replace("e", "3") for t in texts])
+    return out.select("book_id", "page", "format", F.md5("text").alias("text_md5"))
+
+
+def q01_sql_functions(spark, d):
+    """Chunks of whole documents by the table function, called in SQL."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, md5(c.text) AS chunk_md5 FROM {docs} d, LATERAL chunk_text(d.text, 512, 64) c", docs=table(spark, d, "documents"))
+
+
 def t23_render_page(spark, d):
     pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.col("page_id").cast("int").alias("page"), F.concat(M.body_tag_udf("html"), F.format_string('<img src="%04d.png"/><img src="9999.jpg"/>', F.col("page_id")), F.lit("</body>")).alias("text"))
     images = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.format_string("%04d.png", F.col("page_id")).alias("name"), F.encode("html", "utf-8").alias("content"))
@@ -185,13 +200,15 @@ def st4_stream_status(spark, d):
     return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), _folder(spark), "complete", _folder(spark))
 
 
-_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
+_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _TURNS = ", t AS (SELECT * FROM (SELECT *, lag(role) OVER w AS r, lag(content) OVER w AS q FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY chat_id ORDER BY pos)) WHERE role = 'assistant' AND r = 'user')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
 ORACLE_SQL = {
     "s08_table_scans": with_sql("messages", "SELECT id, md5(CASE WHEN chat_id % 4 = 1 THEN 'new' ELSE content END) AS content_md5 FROM messages"),
     "r18_index_turns": with_sql("messages chats", _TURNS + f", c AS (SELECT t.id, t.chat_id, {_WORDS.format("'Usuário: ' || q || chr(10) || 'Assistente: ' || content")} AS w FROM t JOIN chats USING (chat_id) WHERE use_memory), i AS (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM c) SELECT id || '#' || i AS id, 'memory:' || chat_id AS namespace, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS text_md5 FROM i"),
+    "q01_sql_functions": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) > 0)",
+    "x01b_translate_text": r"""SELECT doc_id AS book_id, 1 AS page, 'txt' AS format, md5(array_to_string(list_append(list_transform(list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x, E' \n\t')), lambda x: x <> ''), lambda x: replace(x, 'e', '3')), '[[image: 0001.png]]'), E'\n\n')) AS text_md5 FROM documents""",
     "s04_book_gate": "SELECT '/books/' || b || CASE WHEN b % 5 > 0 THEN '.epub' ELSE '.mobi' END AS path, CASE WHEN b % 5 = 0 OR b % 7 = 3 THEN 'rejected' ELSE 'imported' END AS status, CASE WHEN b % 5 = 0 THEN 'unsupported' WHEN b % 7 = 3 THEN 'unreadable' END AS reason FROM (SELECT DISTINCT page_id // 4 AS b FROM pages)",
     "r01_embed": "SELECT doc_id, 64 AS n, 1.0::DOUBLE AS norm FROM documents",
     "st1_stream_ingest": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 10 > 0) WHERE len(w) > 0)",
