@@ -10,14 +10,16 @@ from lorestack.functions.text import squared_l2
 POSITION = ["namespace", "doc_id", "chunk_index"]
 
 
-def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = []) -> DataFrame:
+def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = [], salts: int = 16) -> DataFrame:
     """The ``k`` nearest chunks of each (question_id, namespace) by squared L2 distance, ties by position.
 
     Questions meet chunks by an equality join on the namespace, and the window keeps the nearest of each task before
-    anything is shuffled for the ranking. ``k`` may be a column of the questions.
+    anything is shuffled for the ranking. Chunks are dealt to ``salts`` parts of their namespace and questions go to each,
+    so a namespace that holds most chunks is no task of its own. ``k`` may be a column of the questions.
     """
-    asked = questions.withColumnRenamed("vector", "_asked")
-    near = chunks.join(asked, "namespace").withColumn("distance", squared_l2(F.col("vector"), F.col("_asked")))
+    asked = questions.withColumnRenamed("vector", "_asked").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = chunks.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(salts)).cast("int"))
+    near = dealt.join(asked, ["namespace", "_salt"]).withColumn("distance", squared_l2(F.col("vector"), F.col("_asked")))
     w = Window.partitionBy("question_id", "namespace").orderBy("distance", "doc_id", "chunk_index")
     ranked = near.select("question_id", *POSITION, "distance", *carry, *(["k"] if "k" in questions.columns else [])).withColumn("place", F.row_number().over(w))
     return ranked.filter(F.col("place") <= (F.col("k") if "k" in questions.columns else F.lit(k))).drop("k")
