@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestack.llm.common import materialise, unused
+from lorestack.llm.common import discard, materialise, unused
 from lorestack.llm.components import connected_components
 from lorestack.llm.pieces import Cache, blocks, only
 
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = built.join(twice, ["id", "set_key"], "left_anti").unionByName(built.join(twice, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])).drop("set_key")
 
     links = _links(members.filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent)
-    component = materialise(connected_components(links))
-    placed = members.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    first = materialise(connected_components(links))
+    placed = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     by_part = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
     apart = materialise(placed.join(mixed, "key").join(sets.select("id", "size", "sketch"), "id"))
@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = (F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (differ * (100 + percent) <= both * (100 - percent))
     pairs = one.join(other, (one.key == other.key) & near).select("a", "b")
     links = links.unionByName(_links(pairs, sets, percent))
+    discard(members, built, first, apart)
     component = connected_components(links)
 
     # Only classes of several rows, or that are linked, differ from what a row says of itself.
