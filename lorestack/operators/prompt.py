@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorestack.functions.text import answer_budget, attachment_route, joined_sections, prompt_budget, source_block, turn_text
-from lorestack.operators.retrieve import expand_neighbours, is_memory, knn_search, layer_slots, layers, rank_pool, recall_not_in_prompt, resolve_sources
-from lorestack.operators.turns import budget_allocate, fit_history
+from lorestack.operators.retrieve import best_per_layer, expand_neighbours, is_memory, knn_search, layer_slots, layers, rank_pool, recall_not_in_prompt, resolve_sources
+from lorestack.operators.turns import budget_allocate, fit_history, merge_consecutive
 from lorestack.session import materialise
 
 
@@ -44,4 +44,22 @@ def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFram
     memory = recalled.join(turns.select("answer_id", "question", "answer"), "answer_id").select("question_id", F.col("recall_rank").alias("place"), turn_text(F.col("question"), F.col("answer")).alias("content"))
     fits = budget_allocate(memory.join(state.select("question_id", "left"), "question_id"), "question_id", [F.col("place")], F.col("left")).groupBy("question_id").agg(F.first("taken").alias("memory"))
     joined = F.array_join("_sources", "\n\n---\n\n")
-    return state.join(fits, "question_id", "left").select("question_id", joined_sections(joined).alias("sources"), "history", "memory", "question", answer_budget(F.col("context")).alias("answer_tokens"))
+    nearer = best_per_layer(chosen).select("question_id", "memory_nearer")
+    whole = state.join(fits, "question_id", "left").join(nearer, "question_id", "left")
+    return whole.select("question_id", joined_sections(joined).alias("sources"), "history", "memory", F.coalesce("memory_nearer", F.lit(False)).alias("memory_nearer"), "question", answer_budget(F.col("context")).alias("answer_tokens"))
+
+
+def prompt_messages(prompts: DataFrame, system: str, sources_intro: str, memory_intro: str) -> DataFrame:
+    """(question_id, position, role, content): the messages of each assembled prompt, in order.
+
+    The system's text, the history, and the question with what was found before it, the nearer kind next to the question.
+    Neighbours of one role become one message.
+    """
+    section = lambda intro, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{intro}\n\n"), text))
+    sources, memory, nearer = section(sources_intro, F.col("sources")), section(memory_intro, F.col("memory")), F.col("memory_nearer")
+    asked = joined_sections(F.when(nearer, sources).otherwise(memory), F.when(nearer, memory).otherwise(sources), F.col("question"))
+    message = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("content")))
+    rows = F.concat(message("system", F.lit(system)), F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")), message("user", asked))
+    merged = merge_consecutive(prompts.select("question_id", F.posexplode(rows).alias("at", "m")).select("question_id", "at", "m.*"), "question_id", ["at"])
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("island"))
+    return merged.select("question_id", place.alias("position"), "role", "content")

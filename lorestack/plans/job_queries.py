@@ -14,7 +14,7 @@ from lorestack.operators import retrieve as R
 from lorestack.operators import store as S
 from lorestack.operators import turns as U
 from lorestack.operators.embed import embed, index_turns
-from lorestack.operators.prompt import assemble_prompts
+from lorestack.operators.prompt import assemble_prompts, prompt_messages
 from lorestack.operators.translate import render_pages, translate_pages
 from lorestack.plans.standins import standin, with_sql
 from lorestack.session import materialise, table
@@ -106,7 +106,7 @@ def r18_index_turns(spark, d):
     return index_turns(_turns(spark, d), standin(spark, d, "chats")).select("id", "namespace", F.md5("text").alias("text_md5"))
 
 
-def r14_assemble_prompts(spark, d):
+def _prompts(spark, d):
     turns, chats = _turns(spark, d), standin(spark, d, "chats")
     memory = materialise(index_turns(turns, chats).select("namespace", "doc_id", "chunk_index", "text", "vector"))
     library = materialise(J.ingest(table(spark, d, "documents")))  # embedded once
@@ -114,8 +114,17 @@ def r14_assemble_prompts(spark, d):
     questions = asked.join(chats, "chat_id").select(F.col("chat_id").alias("question_id"), "chat_id", "question", embed(F.col("question"), kind="query").alias("vector"), "use_global", "use_memory", F.lit(2048).alias("context"))
     questions = materialise(questions)
     documents, attached = standin(spark, d, "kb_documents").select("doc_id", "filename"), standin(spark, d, "attachments")
-    made = assemble_prompts(questions, library.unionByName(memory), standin(spark, d, "messages"), documents, attached, turns)
-    return made.select("question_id", F.octet_length("sources").alias("source_bytes"), F.size("history").alias("n_history"), F.octet_length("memory").alias("memory_bytes"), "answer_tokens")
+    return assemble_prompts(questions, library.unionByName(memory), standin(spark, d, "messages"), documents, attached, turns)
+
+
+def r14_assemble_prompts(spark, d):
+    return _prompts(spark, d).select("question_id", F.octet_length("sources").alias("source_bytes"), F.size("history").alias("n_history"), F.octet_length("memory").alias("memory_bytes"), "answer_tokens")
+
+
+def r14b_prompt_messages(spark, d):
+    """The same prompts as messages."""
+    made = prompt_messages(_prompts(spark, d), "Answer from what is given.", "From the library:", "From earlier talk:")
+    return made.select("question_id", "position", "role", F.md5("content").alias("content_md5"))
 
 
 def x01_translate_pages(spark, d):
@@ -200,7 +209,7 @@ def st4_stream_status(spark, d):
     return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), _folder(spark), "complete", _folder(spark))
 
 
-_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
+_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r14b_prompt_messages r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _TURNS = ", t AS (SELECT * FROM (SELECT *, lag(role) OVER w AS r, lag(content) OVER w AS q FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY chat_id ORDER BY pos)) WHERE role = 'assistant' AND r = 'user')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"

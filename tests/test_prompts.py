@@ -4,6 +4,7 @@ from functools import reduce
 from operator import add
 
 from lorestack.operators.embed import hashing_model
+from lorestack.operators.prompt import prompt_messages
 from lorestack.plans import registry
 
 LANGS = ("en", "fr", "de", "es")
@@ -42,3 +43,31 @@ def test_assembled_prompts(spark, tmp_path):
         r = got.pop(c)
         assert (r.source_bytes or 0, r.n_history, r.memory_bytes, r.answer_tokens) == (len(RULE.join(blocks).encode()), 2, None, 1024), c
     assert not got and len(cited) == 4
+
+
+def test_messages_of_prompts(spark):
+    kind = "question_id long, sources string, history array<struct<role:string,content:string>>, memory string, memory_nearer boolean, question string"
+    rows = [
+        (1, "S", [("user", "a"), ("user", "b"), ("assistant", "c")], "M", False, "q"),
+        (2, "S", [("user", "open")], "M", True, "q"),
+        (3, None, None, None, False, "q"),
+        (4, "", [("assistant", "x")], "M", False, "q"),
+    ]
+    got = {}
+    for r in prompt_messages(spark.createDataFrame(rows, kind), "sys", "from:", "past:").orderBy("question_id", "position").collect():
+        got.setdefault(r.question_id, []).append((r.position, r.role, r.content))
+    assert got == {
+        1: [(1, "system", "sys"), (2, "user", "a\n\nb"), (3, "assistant", "c"), (4, "user", f"past:\n\nM{RULE}from:\n\nS{RULE}q")],
+        2: [(1, "system", "sys"), (2, "user", f"open\n\nfrom:\n\nS{RULE}past:\n\nM{RULE}q")],
+        3: [(1, "system", "sys"), (2, "user", "q")],
+        4: [(1, "system", "sys"), (2, "assistant", "x"), (3, "user", f"past:\n\nM{RULE}q")],
+    }
+
+
+def test_questions_that_fill_their_budget_stay(spark, tmp_path):
+    docs = [(i, f"word{i} common end", "en", "src", 0) for i in range(4)]
+    talk = [(1, 0, "user", "long " * 4000), (1, 1, "assistant", "answer"), (2, 0, "user", "short word1"), (2, 1, "assistant", "answer")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.question_id: r for r in registry.QUERIES["r14_assemble_prompts"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and not got[1].source_bytes and not got[1].memory_bytes and got[2].source_bytes
