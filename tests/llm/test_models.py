@@ -225,6 +225,23 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(out)
 
 
+def test_pipeline_of_an_empty_table_and_of_odd_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    names = ["before", "gone", "of", "secrets", "bare", "hash", "row", "sha", "edge", "at", "_before", "_secrets", "_keep"]
+    rows = [(1, "password=b7db7aa4a5fcc78305 enes", "en", "s", 32), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "word " * 30, "en", "s", 150), (1, "password=b7db7aa4a5fcc78305 enes", "en", "s", 32)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], columns + "".join(f", {n} int" for n in names))
+    for name, stage in pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/none")
+        assert docs.columns == [*(c.split()[0] for c in columns.split(", ")), *names], name
+    left = docs.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "word " * 30), (1, "password=[SECRET] enes"), (2, None)]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in left) and {r.doc_id: r.n_chars for r in left}[1] == 22
+
+
 def test_registry():
     names = {n.split("_")[0] for n in registry.QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)} and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
