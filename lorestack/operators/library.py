@@ -188,8 +188,8 @@ def distinct_languages(voices: DataFrame, pos: str = "pos") -> DataFrame:
 
 def catalog_union(manifest: DataFrame, built_in: DataFrame, fixed: DataFrame) -> DataFrame:
     """The manifest, or the built-in list where that is empty, and the fixed voices."""
-    none = manifest.agg((F.count("*") == 0).alias("_none"))
-    fallback = built_in.crossJoin(F.broadcast(none)).filter("_none").drop("_none")  # one row
+    none = manifest.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).alias("_one"))  # one row or none
+    fallback = built_in.withColumn("_one", F.lit(1)).join(none, "_one", "left_semi").drop("_one")
     return manifest.unionByName(fallback).unionByName(fixed)
 
 

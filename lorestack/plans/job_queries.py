@@ -169,6 +169,18 @@ def st1_stream_ingest(spark, d):
     return J.read_chunks(spark, path).select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
 
 
+def st6_stream_files(spark, d):
+    """Whole documents in forty text files, and a blank one, arriving as a stream: chunks of the files, or their error."""
+    folder, path, status, checkpoint = (_folder(spark) for _ in range(4))
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("file"), "doc_id", "text")
+    rows = docs.unionByName(docs.select(F.lit(40).cast("long").alias("file"), F.lit(0).cast("long").alias("doc_id"), F.lit(" ").alias("text")).limit(1))
+    rows.repartition(4, "file").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(folder)
+    J.start_file_ingest(spark, folder, path, status, checkpoint, key=F.regexp_extract("path", r"file=(\d+)/", 1)).awaitTermination()
+    chunks = J.read_chunks(spark, path).select("doc_id", "chunk_index", F.md5("text").alias("chunk_md5"))
+    failed = spark.read.parquet(status).filter("status = 'error'").select("doc_id", F.lit(-1).alias("chunk_index"), F.col("error_message").alias("chunk_md5"))
+    return chunks.unionByName(failed)
+
+
 def st2_stream_turns(spark, d):
     """Messages arrive in order of their positions, in four parts and so over several batches: questions wait in the state."""
     m, path = standin(spark, d, "messages"), _folder(spark)
@@ -209,7 +221,7 @@ def st4_stream_status(spark, d):
     return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), _folder(spark), "complete", _folder(spark))
 
 
-_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r14b_prompt_messages r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts"
+_NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r14b_prompt_messages r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts st6_stream_files"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _TURNS = ", t AS (SELECT * FROM (SELECT *, lag(role) OVER w AS r, lag(content) OVER w AS q FROM messages WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY chat_id ORDER BY pos)) WHERE role = 'assistant' AND r = 'user')"
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
@@ -221,6 +233,7 @@ ORACLE_SQL = {
     "s04_book_gate": "SELECT '/books/' || b || CASE WHEN b % 5 > 0 THEN '.epub' ELSE '.mobi' END AS path, CASE WHEN b % 5 = 0 OR b % 7 = 3 THEN 'rejected' ELSE 'imported' END AS status, CASE WHEN b % 5 = 0 THEN 'unsupported' WHEN b % 7 = 3 THEN 'unreadable' END AS reason FROM (SELECT DISTINCT page_id // 4 AS b FROM pages)",
     "r01_embed": "SELECT doc_id, 64 AS n, 1.0::DOUBLE AS norm FROM documents",
     "st1_stream_ingest": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 10 > 0) WHERE len(w) > 0)",
+    "st6_stream_files": f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[1 + i * 336 : i * 336 + 384], ' ')) AS chunk_md5 FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 384) / 336) AS BIGINT)))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM (SELECT doc_id % 40 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)) WHERE len(w) > 0) UNION ALL SELECT 40, -1, 'no_text'",
     "st2_stream_turns": with_sql("messages", _TURNS + " SELECT chat_id, id AS answer_id, md5(q) AS question_md5, md5(content) AS answer_md5 FROM t"),
     "st3_stream_tokens": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),
     "st5_stream_whole_texts": with_sql("messages", ", w AS (SELECT id, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS seq FROM messages) SELECT id AS message_id, md5(coalesce(string_agg(word || ' ', '' ORDER BY seq) FILTER (WHERE seq % 11 <> 5 AND seq % 13 <> 7), '')) AS text_md5, true AS done, count(*) FILTER (WHERE seq % 11 <> 5 AND seq % 13 = 7) AS errors FROM w GROUP BY id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,6 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lorestack.functions.text import chunks
 from lorestack.operators.embed import embed, hashing_model
 from lorestack.operators.store import read_or_empty, upsert_chunks
+from lorestack.session import materialise
+from lorestack.sources.files import extract_text
 
 
 def ingest(files: DataFrame, factory: Callable = hashing_model, namespace: str = "global") -> DataFrame:
@@ -38,6 +40,25 @@ def start_ingest(files: DataFrame, path: str, checkpoint: str, factory: Callable
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_file_ingest(spark: SparkSession, folder: str, path: str, status_path: str, checkpoint: str, key: Column | None = None, readers: dict[str, Callable[[bytes], str]] | None = None, factory: Callable = hashing_model) -> StreamingQuery:
+    """Files that arrive under ``folder`` into the chunk table at ``path``, and a status row for each at ``status_path``.
+
+    A file that can't be read, or holds no text, is an ``error`` row with its reason; the others go on. ``key`` gives a
+    file's doc_id from its path (else a hash of it). Batches may be run again: each overwrites its own folders.
+    """
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder)
+    ident = (F.xxhash64("path") if key is None else key).cast("long").alias("doc_id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = materialise(extract_text(batch, readers).select(ident, "path", "text", "error"))  # read and parsed once
+        ingest(parsed, factory).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        status = parsed.select("doc_id", "path", F.when(F.col("error").isNull(), "ready").otherwise("error").alias("status"), F.col("error").alias("error_message"))
+        status.write.mode("overwrite").parquet(f"{status_path}/batch={number}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_chunks(spark, path: str) -> DataFrame:
     """The chunk table: of each document the rows of its last batch."""
     rows = spark.read.parquet(path)
