@@ -175,9 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = classes.select("sign", "id").mapInArrow(_keys, "key long, id long")
     # Keys of two classes or more. Near copies share most of their keys: of keys with the same members, by sums of hashes
     # of their identifiers, one is kept.
-    sums = [F.sum(F.xxhash64("id", F.lit(i)).bitwiseAND(F.lit(0x7FFFFFFF))).alias(f"h{i}") for i in range(4)]
+    sums = [F.sum(F.xxhash64("id", F.lit(i)).bitwiseAND(F.lit(0x7FFFFFFF))).alias(f"h{i}") for i in range(2)]
     shared = every.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("n"), *sums).filter("centre <> last")
-    kept = shared.groupBy("centre", "last", "n", "h0", "h1", "h2", "h3").agg(F.min("key").alias("key")).select("key", "centre")
+    kept = shared.groupBy("centre", "last", "n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "centre")
     members = materialise(every.join(kept, "key").select("key", "id", "centre"))
     involved = members.select("id").distinct().join(classes.select("id", "set_key"), "id")
     wanted = text.join(involved, text.doc_id == involved.id).select("id", "set_key", "text")
