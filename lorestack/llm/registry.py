@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestack.llm import bpe, conversation_trie, exact_dedup, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
+from lorestack.llm import bpe, collocations, conversation_trie, exact_dedup, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_collocations": collocations.op12_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_neighbours": neighbours.OP1_SQL,
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op11_conversation_trie": conversation_trie.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
