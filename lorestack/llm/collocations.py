@@ -25,7 +25,7 @@ from lorestack.llm.common import discard, materialise, table
 from lorestack.llm.pieces import blocks
 
 BUCKETS = 1 << 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENCODED = "lang string, ids binary, n_ids long, words array<binary>, counts array<long>"
