@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestack.llm import bpe, collocations, conversation_trie, exact_dedup, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts, toxicity
+from lorestack.llm import bpe, collocations, conversation_trie, exact_dedup, licenses, near_dedup, neighbours, packing, quality, repeats, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op12_collocations": collocations.op12_collocations,
+    "op13_repeats": repeats.op13_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_neighbours": neighbours.OP1_SQL,
