@@ -29,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op11_conversation_trie": conversation_trie.OP11_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_repeats": repeats.OP13_SQL,
 }

@@ -467,3 +467,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 def op13_repeats(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT r, o, substr(x, 2 * o + 1, 2398) AS x FROM (SELECT r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0), 1000)) AS o FROM d)
+), w AS (
+  SELECT r, o + i AS s, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, o, x, unnest(range(0, least(1000, length(x) // 2 - 199))) AS i FROM b)
+), t AS (
+  SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), i AS (
+  SELECT r, s, sum(CASE WHEN p IS NULL OR s > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS n FROM t
+), j AS (
+  SELECT r, n, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY r, n
+), g AS (
+  SELECT r, a, b, lag(b, 1, 0::BIGINT) OVER (PARTITION BY r ORDER BY a) AS before FROM j
+), k AS (
+  SELECT g.r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM g JOIN d USING (r) GROUP BY g.r
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
