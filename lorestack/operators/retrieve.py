@@ -2,27 +2,169 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lorestack.functions.text import squared_l2
+from lorestack.session import materialise
 
 POSITION = ["namespace", "doc_id", "chunk_index"]
 
 
-def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = [], salts: int = 16) -> DataFrame:
+def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = [], tile: int = 8192, block: int = 2048, tables: int = 0, width: float | None = None) -> DataFrame:
     """The ``k`` nearest chunks of each (question_id, namespace) by squared L2 distance, ties by position.
 
-    Questions meet chunks by an equality join on the namespace, and the window keeps the nearest of each task before
-    anything is shuffled for the ranking. Chunks are dealt to ``salts`` parts of their namespace and questions go to each,
-    so a namespace that holds most chunks is no task of its own. ``k`` may be a column of the questions.
+    The vectors of a namespace are dealt to tiles of about ``tile`` chunks and ``block`` questions; in each a matrix product
+    finds what may be among the nearest, and only that is measured exactly. Small namespaces share a tile. A window ranks
+    what the tiles hand on, k rows a question, and ``carry`` joins the chunks' other columns to the nearest alone, by
+    position, which is the key of a chunk. ``k`` may be a column of the questions. Vectors that are null or of another size
+    have no score: distance NaN, after all others.
+
+    ``tables`` above 0 is the approximate mode: only chunks that share one of so many buckets of random projections with the
+    question are compared, see :func:`near_buckets`.
     """
-    asked = questions.withColumnRenamed("vector", "_asked").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = chunks.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(salts)).cast("int"))
-    near = dealt.join(asked, ["namespace", "_salt"]).withColumn("distance", squared_l2(F.col("vector"), F.col("_asked")))
+    own = ["question_id", "namespace", "vector", *(["k"] if "k" in questions.columns else [])]
+    stored, asked = chunks.select(*POSITION, "vector"), questions.select(*own)
+    if tables:
+        stored, asked = near_buckets(stored, asked, tables, width)
+    if "k" not in questions.columns:
+        asked = asked.withColumn("k", k if isinstance(k, Column) else F.lit(k))
+    near = _tiled(stored, asked.withColumn("k", F.col("k").cast("int")), tile, block)
+    if tables:
+        near = near.dropDuplicates(["question_id", *POSITION])
     w = Window.partitionBy("question_id", "namespace").orderBy("distance", "doc_id", "chunk_index")
-    ranked = near.select("question_id", *POSITION, "distance", *carry, *(["k"] if "k" in questions.columns else [])).withColumn("place", F.row_number().over(w))
-    return ranked.filter(F.col("place") <= (F.col("k") if "k" in questions.columns else F.lit(k))).drop("k")
+    ranked = near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("k")).drop("k")
+    return ranked.join(chunks.select(*POSITION, *carry), POSITION).select("question_id", *POSITION, "distance", *carry, "place") if carry else ranked
+
+
+def _tiled(stored: DataFrame, asked: DataFrame, tile: int, block: int) -> DataFrame:
+    """(question_id, namespace, doc_id, chunk_index, distance, k): the k nearest of each question in each tile.
+
+    Only namespaces of over a tile or a block are listed, so the broadcast list has a row for every ``tile`` chunks or
+    ``block`` questions at most.
+    """
+    part = [F.col("namespace"), *([F.col("_bucket")] if "_bucket" in stored.columns else [])]
+    names = ["namespace", *(["_bucket"] if "_bucket" in stored.columns else [])]
+    sizes = materialise(stored.groupBy(*names).agg(F.count("*").alias("_n")).join(asked.groupBy(*names).agg(F.count("*").alias("_q")), names))
+    small = max(1, -(-(sizes.filter(F.col("_n") <= tile).agg(F.sum("_n").alias("n")).first().n or 0) // tile))
+    large = sizes.filter((F.col("_n") > tile) | (F.col("_q") > block)).select(*names, F.ceil(F.col("_n") / tile).alias("_tiles"), F.ceil(F.col("_q") / block).alias("_blocks"))
+    one = F.lit(1).cast("long")
+    count = lambda c: F.coalesce(F.col(c), one)
+    cell = F.when(F.col("_tiles").isNull(), F.pmod(F.xxhash64(*part), F.lit(small))).otherwise(F.xxhash64(*part)).alias("_cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), count(n) - 1))
+    left = stored.join(F.broadcast(large), names, "left").withColumn("_tile", F.pmod(F.xxhash64("doc_id", "chunk_index"), count("_tiles"))).withColumn("_block", every("_blocks"))
+    right = asked.join(F.broadcast(large), names, "left").withColumn("_block", F.pmod(F.xxhash64("question_id"), count("_blocks"))).withColumn("_tile", every("_tiles"))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    left = left.select(cell, "_tile", "_block", F.concat_ws("\0", *part).alias("_space"), *POSITION, vector)
+    right = right.select(cell, "_tile", "_block", F.concat_ws("\0", *part).alias("_space"), "question_id", vector, "k")
+    kinds = [next(f for f in df.schema if f.name == c) for df, c in ((right, "question_id"), (left, "namespace"), (left, "doc_id"), (left, "chunk_index"))]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in kinds), StructField("distance", DoubleType()), StructField("k", IntegerType())])
+    keys = ["_cell", "_tile", "_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors by their size: the rows that have it and the matrix. Size -1: null vectors, and those with a null."""
+    flat = column.combine_chunks()
+    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+    sizes = pc.fill_null(pc.list_value_length(flat), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = flat.flatten()
+    numbers, starts = values.to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    if values.null_count:
+        rows = np.repeat(np.arange(len(sizes)), np.maximum(sizes, 0))
+        sizes[rows[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    out = {}
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        out[int(n)] = rows, numbers[starts[rows, None] + np.arange(max(n, 0))]
+    return out
+
+
+def _exactly(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += (x[:, j] - y[:, j]) ** 2
+    return total
+
+
+def _nearest(stored: pa.Table, asked: pa.Table) -> pa.Table:
+    """The nearest chunks of the questions of one tile, each in its namespace."""
+    names = ["question_id", "namespace", "doc_id", "chunk_index", "distance", "k"]
+    q_at, c_at, far = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+    spaces = {s: i for i, s in enumerate(pc.unique(asked["_space"]).to_pylist())}
+    of = lambda t: np.array([spaces.get(s, -1) for s in t["_space"].to_pylist()], dtype=np.int64)
+    of_chunk, of_question, ks = of(stored), of(asked), asked["k"].to_numpy()
+    position = np.lexsort((stored["chunk_index"].to_numpy(), stored["doc_id"].to_numpy()))
+    for s in spaces.values():
+        rows, mine = position[of_chunk[position] == s], np.flatnonzero(of_question == s)  # in order of position
+        if not len(rows):
+            continue
+        by_size = _matrix(stored["vector"].take(pa.array(rows)))
+        for size, (some, asking) in _matrix(asked["vector"].take(pa.array(mine))).items():
+            same, matrix = by_size.get(size, (np.empty(0, dtype=np.int64), None)) if size >= 0 else (np.empty(0, dtype=np.int64), None)
+            other = rows[np.setdiff1d(np.arange(len(rows)), same)]
+            for at in range(0, len(some), 256):
+                part, vectors = mine[some[at : at + 256]], asking[at : at + 256]
+                most = int(ks[part].max())
+                if len(same):
+                    x, y = _candidates(vectors, matrix, most)
+                    d = _exactly(vectors[x], matrix[y])
+                    order = np.lexsort((y, d, x))
+                    x, y, d = x[order], y[order], d[order]
+                    rank = np.arange(len(x)) - np.searchsorted(x, x, "left")
+                    kept = rank < ks[part[x]]
+                    q_at.append(part[x[kept]])
+                    c_at.append(rows[same[y[kept]]])
+                    far.append(d[kept])
+                if len(other):  # no score
+                    q_at.append(np.repeat(part, min(most, len(other))))
+                    c_at.append(np.tile(other[:most], len(part)))
+                    far.append(np.full(len(q_at[-1]), np.nan))
+    q, c = (pa.array(np.concatenate(v)) for v in (q_at, c_at))
+    chosen = stored.take(c)
+    columns = [asked["question_id"].take(q), chosen["namespace"], chosen["doc_id"], chosen["chunk_index"], pa.array(np.concatenate(far)), asked["k"].take(q)]
+    return pa.table(columns, names=names)
+
+
+def _candidates(asking: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold the k nearest of each row of ``asking`` for certain, those of equal distance with them."""
+    if len(stored) <= k or not (np.isfinite(asking).all() and np.isfinite(stored).all()):
+        return np.repeat(np.arange(len(asking)), len(stored)), np.tile(np.arange(len(stored)), len(asking))
+    a, b = (asking**2).sum(axis=1), (stored**2).sum(axis=1)
+    rough = a[:, None] + b[None, :] - 2 * (asking @ stored.T)
+    slack = (a + b.max()) * 1e-15 * 8 * (stored.shape[1] + 4)  # more than rounding can shift a distance
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+    return np.nonzero(rough <= limit[:, None])
+
+
+def near_buckets(stored: DataFrame, asked: DataFrame, tables: int, width: float | None = None, together: int = 3, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Chunks and questions with the buckets in which they meet, ``tables`` each: vectors are in one bucket when ``together``
+    random projections of them fall into the same intervals of ``width``. Without a width it is the mean length of the
+    vectors over the root of their size, which is how far projections of such vectors spread. Only vectors of the
+    commonest size without nulls and NaN take part."""
+    size = stored.filter("vector is not null").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    n = size.n if size else 0
+    if not n:
+        return tuple(df.filter("false").withColumn("_bucket", F.lit("")) for df in (stored, asked))
+    whole = lambda df: df.filter((F.size("vector") == n) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")))).withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
+    left, right = whole(stored), whole(asked)
+    if width is None:
+        norm = F.sqrt(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda t, x: t + x * x))
+        width = float(left.agg(F.avg(norm)).first()[0] or 1.0) / n**0.5 or 1.0
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hashes", bucketLength=width, numHashTables=tables * together, seed=seed).fit(left)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        each = [vector_to_array(F.col("_hashes")[i])[0].cast("long").cast("string") for i in range(tables * together)]
+        names = [F.concat_ws(":", F.lit(str(t)), *each[t * together : (t + 1) * together]) for t in range(tables)]
+        return model.transform(df).withColumn("_bucket", F.explode(F.array(*names))).drop("_v", "_hashes")
+
+    return hashed(left), hashed(right)
 
 
 def layers(questions: DataFrame, per_namespace: int = 4, memory_candidates: int = 8) -> DataFrame:
