@@ -28,7 +28,7 @@ from lorestack.llm.pieces import blocks
 
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_ANCHORS = "gram long, ctx long, d long, h long, pos long, salt int"
+_ANCHORS = "gram long, ctx long, d long, h long, pos long, last long, times long, salt int"
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -123,13 +123,19 @@ def _anchored(length: int, heavy: np.ndarray, parts: int):
             grams = np.fromiter((digest(whole[a : a + gram]) for a, _, _ in places), dtype=np.uint64, count=len(places)).view(np.int64)
             around = np.fromiter((digest(whole[b:c], a - b) for a, b, c in places), dtype=np.uint64, count=len(places)).view(np.int64)
             salt = np.where(np.isin(grams, heavy), 1 + (at + own) % parts, 0).astype(np.int32)
-            rows = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(around), block.column("d").take(rows), block.column("h").take(rows), pa.array(pos), pa.array(salt)], names=["gram", "ctx", "d", "h", "pos", "salt"])
+            # Neighbours with equal surroundings that overlap, as in a run of one character, are one row.
+            fresh = np.ones(len(pos), dtype=bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1]) | (around[1:] != around[:-1]) | (np.diff(pos) > length)
+            begin = np.flatnonzero(fresh)
+            end = np.append(begin[1:], len(pos)) - 1
+            rows = pa.array(own[begin])
+            columns = [grams[begin], around[begin], block.column("d").take(rows), block.column("h").take(rows), pos[begin], pos[end], end - begin + 1, salt[begin]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["gram", "ctx", "d", "h", "pos", "last", "times", "salt"])
 
     return run
 
 
-_CLASSED = "gram long, ctx long, d long, h long, pos long, n long, rep boolean, mixed boolean, heavy boolean"
+_CLASSED = "gram long, ctx long, d long, h long, pos long, last long, times long, n long, rep boolean, mixed boolean, heavy boolean"
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +148,12 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_gram[1:] = gram[1:] != gram[:-1]
         new_class[1:] = new_gram[1:] | (ctx[1:] != ctx[:-1])
         of_gram, of_class = np.cumsum(new_gram) - 1, np.cumsum(new_class) - 1
-        n, many = np.bincount(of_class)[of_class], np.bincount(of_gram, weights=new_class)[of_gram] > 1
+        n, many = np.bincount(of_class, weights=rows.column("times").to_numpy()).astype(np.int64)[of_class], np.bincount(of_gram, weights=new_class)[of_gram] > 1
         heavy = salt > 0
         kept = np.flatnonzero(heavy | (n > 1) | many)
-        found = rows.select(["gram", "ctx", "d", "h", "pos"]).take(pa.array(kept))
+        found = rows.select(["gram", "ctx", "d", "h", "pos", "last", "times"]).take(pa.array(kept))
         more = [pa.array(n[kept]), pa.array(new_class[kept] & ~heavy[kept]), pa.array(many[kept]), pa.array(heavy[kept])]
-        return pa.RecordBatch.from_arrays([*found.columns, *more], names=["gram", "ctx", "d", "h", "pos", "n", "rep", "mixed", "heavy"])
+        return pa.RecordBatch.from_arrays([*found.columns, *more], names=["gram", "ctx", "d", "h", "pos", "last", "times", "n", "rep", "mixed", "heavy"])
 
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -375,12 +381,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident.alias("doc_id"), text.alias("text"), F.coalesce(ident, F.lit(0)).alias("d"), F.xxhash64(ident, text).alias("h"))
 
 
-def _met(texts: DataFrame, small: DataFrame, n_bytes: int, most: int, how: str) -> DataFrame:
-    """Texts joined with what is known of them: broadcast up to ``most`` bytes, else by a join that shuffles texts."""
-    return texts.join(F.broadcast(small) if n_bytes <= most else small, ["d", "h"], how)
-
-
-def _classes(docs: DataFrame, length: int, most_rows: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, length: int, most_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keyed texts; anchors that occur elsewhere (gram, ctx, d, h, pos, n, rep, mixed, heavy); classes that have others of
     their gram, with their surroundings."""
     texts = _keyed(docs, id_col="doc_id", text_col="text").filter(F.octet_length("text") >= length)
@@ -392,14 +393,13 @@ def _classes(docs: DataFrame, length: int, most_rows: int, broadcast_bytes: int)
     reps = marked.filter("rep and mixed").select("gram", "ctx", "d", "h", "pos", "n")
     if heavy:
         dealt = marked.filter("heavy")
-        counted = materialise(dealt.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "pos")).alias("r")))
+        counted = materialise(dealt.groupBy("gram", "ctx").agg(F.sum("times").alias("n"), F.min(F.struct("d", "h", "pos")).alias("r")))
         several = counted.groupBy("gram").count().filter("count > 1").select("gram")
         reps = reps.unionByName(counted.join(several, "gram").select("gram", "ctx", "r.d", "r.h", "r.pos", "n"))
         light = marked.filter("not heavy")
         marked = light.unionByName(dealt.drop("n").join(counted.select("gram", "ctx", "n"), ["gram", "ctx"]).select(*light.columns))
     by_text = materialise(reps.groupBy("d", "h").agg(F.collect_list(F.struct("gram", "ctx", "pos", "n")).alias("reps")))
-    size = by_text.agg((F.count("*") * 40 + F.coalesce(F.sum(F.size("reps")), F.lit(0)) * 40).alias("b")).first().b
-    around = materialise(_met(plain, by_text, size, broadcast_bytes, "inner").select("text", "d", "h", "reps").mapInArrow(_around(length), _AROUND))
+    around = materialise(plain.join(by_text, ["d", "h"]).select("text", "d", "h", "reps").mapInArrow(_around(length), _AROUND))
     discard(by_text)
     return texts, marked, around
 
@@ -413,13 +413,13 @@ def _split(around: DataFrame, most_classes: int) -> tuple[DataFrame, DataFrame |
     return around.join(large, "gram", "left_anti"), around.join(large, "gram", "left_semi")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, most_rows: int = 50_000, most_classes: int = 100_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, most_rows: int = 50_000, most_classes: int = 100_000) -> DataFrame:
     """(d, h, spans): places [a, b) of a text that passages of ``length`` bytes, found elsewhere too, cover together; they
     may overlap. ``docs`` has doc_id and text; d and h tell texts apart, see :func:`_keyed`."""
-    _, marked, around = _classes(docs, length, most_rows, broadcast_bytes)
+    _, marked, around = _classes(docs, length, most_rows)
     fit, rest = _split(around, most_classes)
     left = length - gram_of(length)
-    found = marked.filter("n > 1").select("d", "h", (F.col("pos") - left).alias("a"), (F.col("pos") + length).alias("b"))
+    found = marked.filter("n > 1").select("d", "h", (F.col("pos") - left).alias("a"), (F.col("last") + length).alias("b"))
     covered = fit.repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_covered(length), "d long, h long, a long, b long")
     found = found.unionByName(covered)
     if rest is not None:
@@ -429,16 +429,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_rows: int = 50_000,
     return found.distinct().groupBy("d", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def maximal_repeats(docs: DataFrame, length: int = 200, most_rows: int = 50_000, most_classes: int = 100_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def maximal_repeats(docs: DataFrame, length: int = 200, most_rows: int = 50_000, most_classes: int = 100_000) -> DataFrame:
     """(repeat, doc_id, start, end) of all occurrences of maximal repeats, as far as they can be told around one anchor:
-    up to 13 ``length`` / 8 bytes; longer passages are several. A repeat of grams with over ``most_classes`` classes is one of
+    up to 13 ``length`` / 8 bytes; longer passages are several, and of a run of equal surroundings there are the first and the last. A repeat of grams with over ``most_classes`` classes is one of
     exactly ``length`` bytes."""
-    texts, marked, around = _classes(docs, length, most_rows, broadcast_bytes)
+    texts, marked, around = _classes(docs, length, most_rows)
     fit, rest = _split(around, most_classes)
-    places = marked.select("gram", "ctx", "d", "h", "pos")
+    places = marked.select("gram", "ctx", "d", "h", "n", F.explode(F.array_distinct(F.array("pos", "last"))).alias("pos"))
     several = fit.repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_repeats(length), "repeat long, gram long, ctx long, shared long, depth long")
     several = several.join(places, ["gram", "ctx"]).select("repeat", "d", "h", (F.col("pos") - F.col("shared")).alias("start"), (F.col("pos") + F.col("depth")).alias("end"))
-    alone = marked.filter("n > 1").select(F.xxhash64("gram", "ctx").alias("repeat"), "d", "h", (F.col("pos") - (length - gram_of(length))).alias("start"), (F.col("pos") + length).alias("end"))
+    alone = places.filter("n > 1").select(F.xxhash64("gram", "ctx").alias("repeat"), "d", "h", (F.col("pos") - (length - gram_of(length))).alias("start"), (F.col("pos") + length).alias("end"))
     found = several.unionByName(alone)
     if rest is not None:
         passages = materialise(rest.mapInArrow(_passages(length), "key binary, d long, h long, a long, full boolean"))
@@ -448,19 +448,17 @@ def maximal_repeats(docs: DataFrame, length: int = 200, most_rows: int = 50_000,
     return found.distinct().join(sized, ["d", "h"]).select("repeat", "doc_id", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")).distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 50_000, most_classes: int = 100_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 50_000, most_classes: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end).
 
     Texts are bytes in UTF-8. A byte goes if a passage of ``length`` bytes over it also starts elsewhere, in the same text or
     another; overlaps count, and passages don't cross texts. Null is empty, shorter texts lose nothing, repeated rows
     everything (from ``length`` bytes on), a null identifier is carried; other columns are not read. An empty table gives an
-    empty result. ``most_rows`` and ``most_classes`` tell when a gram is dealt out, ``broadcast_bytes`` what is broadcast
-    at most; results don't depend on them.
+    empty result. ``most_rows`` and ``most_classes`` tell when a gram is dealt out; results don't depend on them.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = materialise(repeated_spans(plain, length, most_rows, most_classes, broadcast_bytes))
-    size = spans.agg((F.count("*") * 40 + F.coalesce(F.sum(F.size("spans")), F.lit(0)) * 24).alias("b")).first().b
-    both = _met(_keyed(plain, "doc_id", "text"), spans, size, broadcast_bytes, "left").select("doc_id", "text", "spans")
+    spans = materialise(repeated_spans(plain, length, most_rows, most_classes))
+    both = _keyed(plain, "doc_id", "text").join(spans, ["d", "h"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 

@@ -56,7 +56,7 @@ def test_against_brute_force(spark, length):
     assert ours(docs(spark, rows), length=length) == brute(rows, length)
 
 
-@pytest.mark.parametrize("options", [{"most_rows": 3}, {"most_rows": 3, "most_classes": 2}, {"most_classes": 1, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{"most_rows": 3}, {"most_rows": 3, "most_classes": 2}, {"most_classes": 1}])
 def test_frequent_grams_dealt_out(spark, options):
     rows = texts(3, 40)
     assert ours(docs(spark, rows, 7), length=40, **options) == brute(rows, 40)
