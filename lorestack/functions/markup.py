@@ -1,369 +1,146 @@
-"""Walks over markup and long text that carry state from left to right: small helpers, and pandas functions over them.
+"""Column functions on markup: tokens, names, entities, scripts, bodies, flat text. All run inside Catalyst.
 
-Everything here is per text; Spark deals the texts out. Offsets are in characters.
+A token is a comment, a tag (to its first ``>``) or the text between; joined, tokens give the markup. What depends on where
+elements end is in :mod:`lorestack.operators.structure`.
 """
 
 from __future__ import annotations
 
-import html as _html
-import re
-from bisect import bisect_right
-from collections.abc import Callable
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAGE_CHARS = 2_500
-IMAGE_CHARS = 700
-MARKER_PREFIX = "[[image: "
+from lorestack.functions.text import SPACES, trim_unicode
+
 #: Elements whose content is never text, elements without an end tag, elements that break a line.
 OPAQUE = ("head", "style", "script", "title", "noscript")
 VOID = ("br", "hr", "img", "input", "meta", "link", "source", "col", "area")
-BREAKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "section", "article", "hr")
+BREAKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "section", "hr", "body")
 #: Elements that may not stay, attributes that hold an address, schemes that run code.
 REMOVED = ("script", "iframe", "object", "embed")
 ADDRESSES = ("href", "src", "action", "formaction")
-SCHEMES = ("javascript", "vbscript", "datatexthtml")
+SCHEMES = ("javascript", "vbscript")
 #: Named entities that are decoded; any other stays as it is.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…"}
+#: Attributes of a body that stay, in this order.
 BODY_ATTRIBUTES = ("class", "id", "lang", "dir", "style")
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<!--.*\Z", re.S)
-_ATTRIBUTE = re.compile(r"\s*([^\s=/>\"']+)(\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
-_ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,10}|#[0-9]{1,11}|[A-Za-z]{1,12});")
-_MARKER = re.compile(r"\[\[image: \d{4,6}\.[a-z0-9]{1,5}\]\]")
+#: Patterns without look-around or back-references, so that other engines read them alike.
+TOKEN = r"(?s)<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)|[^<]+"
+#: An element of a name, whatever its prefix, to the next end tag of the name; without one to the end.
+_WHOLE = r"<[/\s]*(?:[^\s/>]*:)?{0}(?:[\s/][^>]*)?>.*?(?:</{0}[^>]*(?:>|\z)|\z)"
+_CLOSED = r"<[/\s]*(?:[^\s/>]*:)?{0}(?:[\s/][^>]*)?/\s*>"
+SCRIPT_TOKEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(_CLOSED.format(n) for n in REMOVED) + "|" + "|".join(_WHOLE.format(n) for n in REMOVED) + r"|<[^>]*(?:>|\z)|[^<]+"
+FLAT_TOKEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(_WHOLE.format(n) for n in ("head", "style", "script")) + r"|<[^>]*(?:>|\z)|[^<]+"
+DROPPED = r"(?is)^<(?:!--|[/\s]*(?:[^\s/>]*:)?(?:{})(?:[\s/>]))"
+QUOTES = r"""^[\s"']+|[\s"']+$"""
+SENTENCE_END = r"""(?U)([.!?…]["')\]»”’]*+)\s++(?![.!?…])"""
+ATTRIBUTE = r"""[^\s=/]+(?:\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'][^\s]*))?"""
+ENTITY_TOKEN = r"(?s)&(?:#[xX][0-9a-fA-F]{1,10}|#[0-9]{1,11}|[A-Za-z]{1,12});|[^&]+|&"
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), 0)
+
+
+def tokens(markup: Column) -> Column:
+    """The tokens of markup, in order."""
+    return _all(markup, TOKEN)
+
+
+def is_tag(token: Column) -> Column:
+    """Start tags, end tags and declarations; no comments."""
+    return token.startswith("<") & ~token.startswith("<!--")
 
 
-def decode_entities(text: str) -> str:
+def tag_body(token: Column) -> Column:
+    return F.regexp_replace(token, r"(?s)^<|>$", "")
+
+
+def tag_name(token: Column) -> Column:
+    """The name of a tag in lower case, without slash and prefix."""
+    return F.lower(F.regexp_extract(token, r"(?s)^<[/\s]*(?:[^ \t\n\r/>]*:)?([^ \t\n\r/>:]*)", 1))
+
+
+def decode_entities(text: Column) -> Column:
     """Each entity once, in one pass; unknown names and impossible numbers stay."""
+    named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in (f"&{pair[0]};", pair[1])))
+
+    def one(t: Column) -> Column:
+        digits = F.regexp_extract(t, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(t.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).when(t.startswith("&#"), digits.cast("long"))
+        possible = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(possible, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(t.startswith("&") & (F.length(t) > 2), F.coalesce(F.when(t.startswith("&#"), number).otherwise(F.try_element_at(named, t)), t)).otherwise(t)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(_all(text, ENTITY_TOKEN), one), "")).otherwise(text)
+
+
+def escape_attribute(value: Column) -> Column:
+    """For double quotes: & " < > as entities."""
+    for mark, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(mark), F.lit(entity))
+    return value
+
+
+def _runs_code(attribute: Column) -> Column:
+    """Whether a value's scheme, by its letters alone, runs code."""
+    value = F.regexp_replace(F.regexp_extract(attribute, r"(?s)=(.*)$", 1), QUOTES, "")
+    scheme = F.lower(F.regexp_replace(F.substring_index(value, ":", 1), "[^A-Za-z]", ""))
+    rest = F.lower(F.ltrim(F.regexp_replace(value, r"(?s)^[^:]*:\s*", "")))
+    return value.contains(":") & (scheme.isin(*SCHEMES) | ((scheme == "data") & rest.startswith("text/html")))
+
+
+def _clean_tag(tag: Column) -> Column:
+    """A tag without event attributes and addresses that run code; one without attributes as it is."""
+    body = tag_body(tag)
+    name, rest = F.regexp_extract(body, r"(?s)^[^ \t\n\r]*", 0), F.regexp_replace(body, r"(?s)^[^ \t\n\r]*", "")
+    key = lambda a: F.lower(F.regexp_extract(a, r"^[^\s=/]+", 0))
+    kept = F.filter(_all(rest, ATTRIBUTE), lambda a: ~(key(a).startswith("on") | (key(a).isin(*ADDRESSES) & _runs_code(a))))
+    made = F.concat(F.lit("<"), name, F.array_join(F.transform(kept, lambda a: F.concat(F.lit(" "), a)), ""), F.when(body.rlike(r"/\s*$"), "/").otherwise(""), F.lit(">"))
+    return F.when((F.regexp_replace(rest, r"\s", "") == "") | ~tag.endswith(">"), tag).otherwise(made)
+
+
+def strip_scripts(markup: Column) -> Column:
+    """Without elements that carry code or documents (whatever their prefix; unclosed ones to the end), comments, event
+    attributes and addresses that run code. Attributes of tags that have any are set apart by single spaces."""
+    dropped = DROPPED.format("|".join(REMOVED))
+    each = F.transform(_all(markup, SCRIPT_TOKEN), lambda t: F.when(~t.startswith("<"), t).when(t.rlike(dropped) & (t.contains(">") | t.startswith("<!--")), "").otherwise(_clean_tag(t)))
+    return F.when(markup.contains("<"), F.array_join(each, "")).otherwise(markup)
+
+
+def body_tag(markup: Column) -> Column:
+    """The body's start tag with the attributes that may stay, in a fixed order, quoted anew."""
+    inside = F.regexp_replace(F.regexp_extract(markup, r"(?is)<body([^>]*)>", 1), "/+$", "")
+    out = F.lit("<body")
+    for name in BODY_ATTRIBUTES:
+        quoted = F.regexp_extract(inside, rf"""(?s)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+        value = escape_attribute(decode_entities(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+        out = F.concat(out, F.when(quoted != "", F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise(""))
+    return F.concat(out, F.lit(">"))
+
+
+def body_of(markup: Column) -> Column:
+    """What the body holds, to the first end tag after it; a fragment without one is all of it."""
+    return F.when(markup.rlike(r"(?is)<body[^>]*>"), F.regexp_extract(markup, r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)).otherwise(markup)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    quoted = F.regexp_extract(tag, rf"""(?s)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.when(quoted != "", decode_entities(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
+
+
+def xhtml_to_text(markup: Column, markers: Column | None = None) -> Column:
+    """Paragraphs with a blank line between them. ``markers`` (a map from an image's address) gives marker lines."""
+    skipped = DROPPED.format("head|style|script")
+
+    def one(t: Column) -> Column:
+        line = F.lit("")
+        if markers is not None:
+            source = F.coalesce(_attribute(t, "src"), _attribute(t, "xlink:href"))
+            line = F.coalesce(F.concat(F.lit("\n"), F.try_element_at(markers, source), F.lit("\n")), F.lit(""))
+        tag = F.when(t.rlike(skipped), "").when(tag_name(t).isin("img", "image"), line).when(tag_name(t).isin(*BREAKS), "\n").otherwise("")
+        return F.when(~t.startswith("<"), decode_entities(t)).when(~t.endswith(">"), "").otherwise(tag)
 
-    def one(m: re.Match) -> str:
-        body = m[1]
-        if body[0] != "#":
-            return ENTITIES.get(body, m[0])
-        code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-        return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
-
-    return _ENTITY.sub(one, text)
-
-
-def _past(text: str, at: int, name: str) -> int:
-    """The place after the next end tag of ``name`` from ``at``, or the end."""
-    m = re.compile(rf"</{re.escape(name)}", re.I).search(text, at)
-    if not m:
-        return len(text)
-    end = text.find(">", m.end())
-    return len(text) if end < 0 else end + 1
-
-
-def visible_text(markup: str) -> str:
-    """What a reader sees, on one line: no tags, no content of opaque elements, entities decoded, white space collapsed."""
-    out, at = [], 0
-    while at < len(markup):
-        lt = markup.find("<", at)
-        if lt < 0:
-            out.append(decode_entities(markup[at:]))
-            break
-        out.append(decode_entities(markup[at:lt]))
-        if markup.startswith("<!--", lt):
-            end = markup.find("-->", lt + 4)
-            at = len(markup) if end < 0 else end + 3
-            continue
-        gt = markup.find(">", lt)
-        if gt < 0:
-            break
-        name = re.match(r"[^\s/>]*", markup[lt + 1 : gt])[0].lower()
-        at = gt + 1
-        if name in OPAQUE and not markup[lt:gt].endswith("/"):
-            at = _past(markup, at, name)
-    return " ".join("".join(out).split())
-
-
-def xhtml_to_text(markup: str, marker: Callable[[str], str | None] = lambda source: None) -> str:
-    """Paragraphs with a blank line between them; an image may leave a marker line of its own."""
-    out, at = [], 0
-    while at < len(markup):
-        lt = markup.find("<", at)
-        if lt < 0:
-            out.append(decode_entities(markup[at:]))
-            break
-        out.append(decode_entities(markup[at:lt]))
-        if markup.startswith("<!--", lt):
-            end = markup.find("-->", lt + 4)
-            at = len(markup) if end < 0 else end + 3
-            continue
-        gt = markup.find(">", lt)
-        if gt < 0:
-            break
-        tag, at = markup[lt + 1 : gt], gt + 1
-        name = re.match(r"/?([^\s/>]*)", tag)[1].lower()
-        if name in ("head", "style", "script") and not tag.startswith("/"):
-            at = _past(markup, at, name)
-        elif name in ("img", "image"):
-            source = re.search(r"(?:src|xlink:href)\s*=\s*[\"']([^\"']*)", tag, re.I)
-            if source and (line := marker(source[1])):
-                out.append(f"\n{line}\n")
-        elif name in BREAKS:
-            out.append("\n")
-    lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
-    return "\n\n".join(line for line in lines if line)
-
-
-def _element_end(markup: str, start: int) -> int:
-    """The place after the element that starts at ``start``; nested elements of its name count, one left open runs to the end."""
-    if markup.startswith("<!--", start):
-        end = markup.find("-->", start + 4)
-        return len(markup) if end < 0 else end + 3
-    gt = markup.find(">", start)
-    if gt < 0:
-        return len(markup)
-    opened = markup[start + 1 : gt]
-    name = re.match(r"[^\s/>]*", opened)[0].lower()
-    if not name or opened[0] in "/!?" or name in VOID or opened.endswith("/"):
-        return gt + 1
-    if name in ("script", "style"):
-        return _past(markup, gt + 1, name)
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(markup, gt + 1):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m.end()
-    return len(markup)
-
-
-def split_blocks(markup: str) -> list[str]:
-    """Top-level elements and loose text, in order; no element is cut."""
-    out, at = [], 0
-    while at < len(markup):
-        if markup[at] in " \t\n\r\f":
-            at += 1
-            continue
-        if markup[at] == "<":
-            end = _element_end(markup, at)
-        else:
-            end = markup.find("<", at)
-            end = len(markup) if end < 0 else end
-        if block := markup[at:end].strip():
-            out.append(block)
-        at = end
-    return out
-
-
-def _runs_code(value: str) -> bool:
-    scheme = decode_entities(value).split(":")[0] if ":" in decode_entities(value) else ""
-    letters = re.sub(r"[^a-z]", "", scheme.lower())
-    return letters in SCHEMES[:2] or re.sub(r"[^a-z]", "", decode_entities(value).lower()).startswith(SCHEMES[2])
-
-
-def strip_scripts(markup: str) -> str:
-    """Without elements that carry code or documents, comments, event attributes and addresses that run code."""
-    out, at = [], 0
-    while at < len(markup):
-        lt = markup.find("<", at)
-        if lt < 0:
-            out.append(markup[at:])
-            break
-        out.append(markup[at:lt])
-        if markup.startswith("<!--", lt):
-            end = markup.find("-->", lt + 4)
-            at = len(markup) if end < 0 else end + 3
-            continue
-        m = _TAG.match(markup, lt)
-        if not m or not m[2]:
-            out.append("<")
-            at = lt + 1
-            continue
-        name, at = m[2].lower(), m.end()
-        if name in REMOVED:
-            if not m[1] and not m[0].endswith("/>") and name != "embed":
-                at = _past(markup, at, name)
-            continue
-        kept = []
-        for a in _ATTRIBUTE.finditer(m[3]):
-            key, value = a[1].lower(), (a[3] or "").strip("\"'")
-            if not (key.startswith("on") and len(key) > 2) and not (key in ADDRESSES and _runs_code(value)):
-                kept.append(a[0])
-        same = len(kept) == len(_ATTRIBUTE.findall(m[3]))
-        out.append(m[0] if same else f"<{m[1]}{m[2]}{''.join(kept)}{'/' if m[3].rstrip().endswith('/') else ''}>")
-    return "".join(out)
-
-
-def body_tag(markup: str) -> str:
-    """The body's start tag with the attributes that may stay, quoted anew."""
-    m = re.search(r"<body\b([^>]*)>", markup, re.I)
-    kept = []
-    for a in _ATTRIBUTE.finditer(m[1] if m else ""):
-        if a[1].lower() in BODY_ATTRIBUTES and a[3]:
-            value = a[3][1:-1] if a[3][0] in "\"'" else a[3]
-            kept.append(f' {a[1].lower()}="{_html.escape(_html.unescape(value), quote=True)}"')
-    return f"<body{''.join(kept)}>"
-
-
-def body_of(markup: str) -> str:
-    """What the body holds; a fragment without one is all of it."""
-    m = re.search(r"<body\b[^>]*>", markup, re.I)
-    if not m:
-        return markup
-    end = markup.lower().rfind("</body")
-    return markup[m.end() : end if end >= m.end() else len(markup)]
-
-
-def _starts(text: str, pattern: re.Pattern) -> list[int]:
-    return [m.end() for m in pattern.finditer(text) if m.end() < len(text)]
-
-
-_PARAGRAPH = re.compile(r"[ \t\r\f]*\n[ \t\r\f]*\n[ \t\r\n\f]*")
-_SENTENCE = re.compile(r"[.!?…][\"')\]»”’]*\s+(?=[^\s.!?…])")
-
-
-def paginate(text: str, budget: int = PAGE_CHARS, image: int = IMAGE_CHARS) -> list[str]:
-    """Pages of at most ``budget`` characters that joined give the text: cut at a paragraph, else a sentence, else anywhere."""
-    if not text.strip():
-        return []
-    paragraphs, sentences = _starts(text, _PARAGRAPH), _starts(text, _SENTENCE)
-    images = [m.start() for m in re.finditer(re.escape(MARKER_PREFIX), text)]
-    pages, start = [], 0
-    while start < len(text):
-        limit, left = start, budget
-        while limit < len(text) and left > 0:  # to the next marker at once
-            i = bisect_right(images, limit - 1)
-            stop = images[i] if i < len(images) else len(text)
-            if stop > limit:
-                step = min(stop - limit, left)
-                limit, left = limit + step, left - step
-            else:
-                limit, left = limit + 1, left - image - 1
-        if limit < len(text):
-            for places in (paragraphs, sentences):
-                i = bisect_right(places, limit)
-                if i and places[i - 1] > start:
-                    limit = places[i - 1]
-                    break
-        pages.append(text[start:limit])
-        start = limit
-    return pages
-
-
-def paginate_blocks(blocks: list[str], budget: int = PAGE_CHARS, cost: Callable[[str], int] = lambda b: len(visible_text(b))) -> list[list[str]]:
-    """Whole blocks packed in order to ``budget`` visible characters; a larger block stands alone."""
-    pages: list[list[str]] = []
-    spent = 0
-    for block in blocks:
-        n = cost(block)
-        if not pages or spent + n > budget and pages[-1]:
-            pages.append([])
-            spent = 0
-        pages[-1].append(block)
-        spent += n
-    return pages
-
-
-def paginate_chapters(chapters: list[str], budget: int = PAGE_CHARS) -> list[str]:
-    """Pages of whole blocks inside each chapter's body tag; a chapter opens a page."""
-    out = []
-    for chapter in chapters:
-        tag = body_tag(chapter)
-        out.extend(f"{tag}{''.join(page)}</body>" for page in paginate_blocks(split_blocks(body_of(chapter)), budget))
-    return out
-
-
-def without_markers(text: str) -> str:
-    return " ".join(_MARKER.sub("", text).split())
-
-
-def utterances(markup: str) -> list[tuple[int, int, str]]:
-    """(block, sentence, text) to read aloud: blocks keep their number, sentences count the speakable ones of a block."""
-    out = []
-    for block, part in enumerate(split_blocks(body_of(markup))):
-        found = 0
-        for sentence in re.split(r"(?<=\x00)", _SENTENCE.sub(lambda m: m[0].rstrip() + "\x00", without_markers(visible_text(part)))):
-            sentence = sentence.rstrip("\x00").strip()
-            if any(c.isalnum() for c in sentence):
-                out.append((block, found, sentence))
-                found += 1
-    return out
-
-
-def hold_tags(block: str) -> dict:
-    """A block for translation: its outer tags, its text with each inline tag as a numbered marker, and the tags."""
-    m = re.match(r"<([A-Za-z][^\s/>]*)[^>]*>", block)
-    end = re.search(r"</[^>]*>\s*\Z", block)
-    if not m or not end:
-        return {"open": "", "close": "", "text": decode_entities(block), "tags": []}
-    inner, tags, stack, out, at = block[m.end() : end.start()], [], [], [], 0
-    for t in re.finditer(r"<(/?)([A-Za-z][^\s/>]*)[^>]*>", inner):
-        out.append(decode_entities(inner[at : t.start()]))
-        at = t.end()
-        if t[1]:
-            out.append(f"⟦/{stack.pop()}⟧" if stack else "")
-            if tags and out[-1]:
-                tags[int(out[-1][2:-1]) - 1][1] = t[0]
-        else:
-            tags.append([t[0], ""])
-            out.append(f"⟦{len(tags)}⟧")
-            if t[2].lower() in VOID or t[0].endswith("/>"):
-                out.append(f"⟦/{len(tags)}⟧")
-            else:
-                stack.append(len(tags))
-    out.append(decode_entities(inner[at:]))
-    return {"open": m[0], "close": end[0].strip(), "text": "".join(out), "tags": tags}
-
-
-def rebuild(held: dict, translated: str) -> str:
-    """The translated block: tags back where every marker came back once and nested, else plain text in the outer tag."""
-    escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    marks, stack, right = re.findall(r"⟦(/?)(\d+)⟧", translated), [], True
-    for close, n in marks:
-        if close:
-            right = right and bool(stack) and stack.pop() == n
-        else:
-            stack.append(n)
-    right = right and not stack and sorted(int(n) for c, n in marks if not c) == list(range(1, len(held["tags"]) + 1))
-    if not right:
-        return held["open"] + escape(re.sub(r"⟦/?\d*⟧?|[⟦⟧]", "", translated)) + held["close"]
-    out = re.sub(r"⟦(/?)(\d+)⟧", lambda m: held["tags"][int(m[2]) - 1][1 if m[1] else 0], escape(translated))
-    return held["open"] + out + held["close"]
-
-
-_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
-
-
-def _each(function: Callable, kind: T.DataType):
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else function(t))
-
-    return run
-
-
-visible_text_udf = _each(visible_text, _TEXT)
-xhtml_to_text_udf = _each(xhtml_to_text, _TEXT)
-strip_scripts_udf = _each(strip_scripts, _TEXT)
-split_blocks_udf = _each(split_blocks, _TEXTS)
-paginate_udf = _each(paginate, _TEXTS)
-decode_entities_udf = _each(decode_entities, _TEXT)
-body_tag_udf = _each(body_tag, _TEXT)
-body_of_udf = _each(body_of, _TEXT)
-
-
-def utterance_rows(pages, page: str = "page_id", markup: str = "html"):
-    """(page, block, sentence, index, text): index counts along the page."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(p, b, s, i, t) for p, m in zip(batch[page], batch[markup], strict=True) if m is not None for i, (b, s, t) in enumerate(utterances(m))]
-            yield pd.DataFrame(rows, columns=[page, "block", "sentence", "index", "text"])
-
-    return pages.select(page, markup).mapInPandas(run, f"{page} long, block int, sentence int, index int, text string")
-
-
-def page_blocks(pages, page: str = "page_id", markup: str = "html", budget: int = PAGE_CHARS):
-    """(page, part, blocks, text): the blocks of a page packed to the budget."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(p, i, len(x), "".join(x)) for p, m in zip(batch[page], batch[markup], strict=True) if m is not None for i, x in enumerate(paginate_blocks(split_blocks(body_of(m)), budget))]
-            yield pd.DataFrame(rows, columns=[page, "part", "blocks", "text"])
-
-    return pages.select(page, markup).mapInPandas(run, f"{page} long, part int, blocks int, text string")
+    flat = F.array_join(F.transform(_all(markup, FLAT_TOKEN), one), "")
+    lines = F.transform(F.split(flat, r"\r?\n"), lambda s: trim_unicode(F.regexp_replace(s, SPACES, " ")))
+    return F.array_join(F.filter(lines, lambda s: s != ""), "\n\n")

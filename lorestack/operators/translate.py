@@ -7,16 +7,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorestack.functions import markup as M
 from lorestack.functions import text as X
-
-_HELD = "open string, close string, text string, tags array<array<string>>"
-
-
-def _units(html: str | None) -> list[dict]:
-    return [M.hold_tags(b) if M.visible_text(b) else {"open": b, "close": "", "text": "", "tags": []} for b in M.split_blocks(M.body_of(html or ""))]
+from lorestack.operators import structure
+from lorestack.session import materialise
 
 
 def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[list[str]], list[str]], source: str = "original") -> tuple[DataFrame, DataFrame]:
@@ -29,11 +24,13 @@ def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[li
     pending = wanted.join(pages.select("book_id", "language", "page"), ["book_id", "language", "page"], "left_anti")
     kind = F.col("format") if "format" in pages.columns else F.lit("html")
     original = pages.filter(F.col("language") == source).select("book_id", "page", "text", F.coalesce(kind, F.lit("html")).alias("format"))
-    unit = T.ArrayType(T.StructType([T.StructField("open", T.StringType()), T.StructField("close", T.StringType()), T.StructField("text", T.StringType()), T.StructField("tags", T.ArrayType(T.ArrayType(T.StringType())))]))
-    split = F.pandas_udf(lambda s: s.map(_units), unit)
     plain = F.transform(X.paragraphs(F.col("text")), lambda p: F.struct(F.when(X.is_image_marker(p), p).otherwise("").alias("open"), F.lit("").alias("close"), F.when(X.is_image_marker(p), "").otherwise(p).alias("text"), F.array().cast("array<array<string>>").alias("tags")))
     both = pending.join(original, ["book_id", "page"])
-    html = both.filter("format <> 'txt'").select("book_id", "language", "page", "format", M.body_tag_udf("text").alias("body"), F.posexplode(split("text")).alias("pos", "unit"))
+    body = M.body_tag(F.col("text")).alias("body")
+    cut = structure.blocks(both.filter("format <> 'txt'").select("book_id", "language", "page", "format", "text", body), M.body_of(F.col("text")))
+    kept = F.struct(F.col("markup").alias("open"), F.lit("").alias("close"), F.lit("").alias("text"), F.array().cast("array<array<string>>").alias("tags"))
+    unit = F.when(structure.visible(F.col("tokens"), F.col("ends")) == "", kept).otherwise(structure.held_tags(F.col("tokens"), F.col("ends"))).alias("unit")
+    html = materialise(cut.select("book_id", "language", "page", "format", "body", F.col("block").alias("pos"), unit))
     units = html.unionByName(both.filter("format = 'txt'").select("book_id", "language", "page", "format", F.lit("").alias("body"), F.posexplode(plain).alias("pos", "unit")))
 
     def run(batches):
@@ -43,16 +40,11 @@ def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[li
     distinct = units.filter("unit.text <> ''").select("language", F.col("unit.text").alias("text")).distinct()
     done = distinct.mapInPandas(run, "language string, text string, translated string")
 
-    @F.pandas_udf(T.StringType())
-    def rebuilt(held: pd.DataFrame, translated: pd.Series) -> pd.Series:
-        rows = held.to_dict("records")
-        return pd.Series([r["open"] if not r["text"] else None if not (t or "").strip() else M.rebuild(r, t) for r, t in zip(rows, translated, strict=True)])
-
     same = F.when(F.col("unit.text") == "", F.col("unit.open")).when(X.trim_unicode("translated") != "", F.col("translated"))
-    back = units.withColumn("text", F.col("unit.text")).join(done, ["language", "text"], "left").withColumn("out", F.when(F.col("format") == "txt", same).otherwise(rebuilt("unit", "translated")))
+    back = units.withColumn("text", F.col("unit.text")).join(done, ["language", "text"], "left").withColumn("out", F.when((F.col("format") == "txt") | (F.col("unit.text") == ""), same).when(X.trim_unicode("translated") != "", structure.rebuilt(F.col("unit"), F.col("translated"))))
     whole = back.groupBy("book_id", "language", "page", "format").agg(F.first("body").alias("body"), F.count(F.when(F.col("out").isNull(), 1)).alias("blank"), F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("parts"))
     parts = F.transform("parts", lambda p: p["out"])
-    text = F.when(F.col("format") == "txt", F.array_join(parts, "\n\n")).otherwise(F.concat("body", F.array_join(parts, ""), F.lit("</body>")))
+    text = F.when(F.col("format") == "txt", F.array_join(parts, "\n\n")).otherwise(F.concat("body", F.lit("\n"), F.array_join(parts, "\n\n"), F.lit("\n</body>")))
     return whole.filter("blank = 0").select("book_id", "language", "page", "format", text.alias("text")), whole.filter("blank > 0").select("book_id", "language", "page", F.lit("blank_answer").alias("error"))
 
 

@@ -150,7 +150,7 @@ def q01_sql_functions(spark, d):
 
 
 def t23_render_page(spark, d):
-    pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.col("page_id").cast("int").alias("page"), F.concat(M.body_tag_udf("html"), F.format_string('<img src="%04d.png"/><img src="9999.jpg"/>', F.col("page_id")), F.lit("</body>")).alias("text"))
+    pages = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.col("page_id").cast("int").alias("page"), F.concat(M.body_tag(F.col("html")), F.format_string('<img src="%04d.png"/><img src="9999.jpg"/>', F.col("page_id")), F.lit("</body>")).alias("text"))
     images = table(spark, d, "pages").select((F.col("page_id") % 20).alias("book_id"), F.format_string("%04d.png", F.col("page_id")).alias("name"), F.encode("html", "utf-8").alias("content"))
     return render_pages(pages, images, "p{margin:0}").select("book_id", "page", F.md5("html").alias("html_md5"))
 

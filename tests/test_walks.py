@@ -10,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorestack.functions import markup as M
+from lorestack.operators import structure as S
 from lorestack.plans import registry
+from lorestack.session import table
+from tests import walker
 
 DATA = os.environ.get("LORESTACK_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -73,24 +76,23 @@ def test_pages_of_text(spark, rows):
     docs = dict(rows[1])
     for r in run(spark, "t06_paginate").collect():
         text = docs.pop(r.doc_id)
-        assert r.n_chars == len(text) and r.longest <= M.PAGE_CHARS and len(text) / M.PAGE_CHARS <= r.pages <= 1 + 2 * len(text) / M.PAGE_CHARS
+        want = walker.pages(text)
+        assert (r.n_chars, r.longest, r.pages) == (len(text), max(map(len, want)), len(want))
     assert not any(t.strip() for t in docs.values())
     _, docs = rows
     written = {}
     for r in run(spark, "s07_write_pages").collect():
         written.setdefault(r.book_id, {})[r.page] = r.text_md5
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in written.values())
-    assert all(p[1] == md5(docs[i].rstrip()) for i, p in written.items() if len(p) == 1)
+    assert written == {i: {k: md5(p.rstrip()) for k, p in enumerate(walker.pages(t), 1)} for i, t in docs.items() if t.strip()}
 
 
 def test_visible_text_by_another_parser(spark, rows):
     pages, _ = rows
-    from lorestack.session import table
-
-    seen = {r.page_id: r.text for r in table(spark, DATA, "pages").select("page_id", M.visible_text_udf("html").alias("text")).collect()}
+    seen = {r.page_id: r.visible for r in S.visible_text(table(spark, DATA, "pages"), F.col("html")).collect()}
     assert {r.page_id: r.text_md5 for r in run(spark, "t09_visible_text").collect()} == {i: md5(t) for i, t in seen.items()}
     assert {i: "".join(t.split()) for i, t in seen.items()} == {i: plain(h) for i, h in pages.items()}
-    lines = {r.page_id: r.text for r in table(spark, DATA, "pages").select("page_id", M.xhtml_to_text_udf("html").alias("text")).collect()}
+    lines = {r.page_id: r.text for r in table(spark, DATA, "pages").select("page_id", M.xhtml_to_text(F.col("html")).alias("text")).collect()}
     assert {r.page_id: r.text_md5 for r in run(spark, "t12_xhtml_to_text").collect()} == {i: md5(t) for i, t in lines.items()}
     for i, html in pages.items():
         read = Reader(html, ("head", "style", "script"))
@@ -100,7 +102,7 @@ def test_visible_text_by_another_parser(spark, rows):
 
 def test_nothing_that_runs_is_left(spark, rows):
     pages, _ = rows
-    clean = {i: M.strip_scripts(h) for i, h in pages.items()}
+    clean = {r.page_id: r.html for r in table(spark, DATA, "pages").select("page_id", M.strip_scripts(F.col("html")).alias("html")).collect()}
     got = run(spark, "t07_strip_scripts").collect()
     assert {r.page_id: r.clean_md5 for r in got} == {i: md5(t) for i, t in clean.items()} and not any(r.has_script or r.has_comment for r in got)
     for i, html in clean.items():
@@ -120,21 +122,23 @@ def test_blocks_hold_the_body(spark, rows):
     for r in run(spark, "t08_split_blocks").collect():
         held.setdefault(r.page_id, {})[r.block] = r.markup_md5
     for i, blocks in held.items():
-        found = M.split_blocks(body[i])
+        found = walker.blocks(body[i])
         assert "".join("".join(found).split()) == "".join(body[i].split()) and [md5(b) for b in found] == [blocks[k] for k in sorted(blocks)]
     parts = {}
     for r in run(spark, "t11_paginate_blocks").collect():
         parts.setdefault(r.page_id, []).append((r.part, r.blocks))
     assert {i: sum(n for _, n in p) for i, p in parts.items()} == {i: len(b) for i, b in held.items()}
     assert {r.page_id: r.n for r in run(spark, "t15_body").collect()} == {i: len(b) for i, b in body.items()}
-    tags = run(spark, "t14_hold_tags").groupBy("page_id").agg(F.count("*").alias("n")).collect()
-    assert {r.page_id: r.n for r in tags} == {i: len(b) for i, b in held.items()}
+    for r in run(spark, "t14_hold_tags").collect():
+        block = walker.blocks(body[r.page_id])[r.block]
+        *_, text, tags = walker.held(block)
+        assert (r.tags, r.text_md5, r.rebuilt_md5) == (len(tags), md5(text), md5(walker.rebuilt(block, text)))
 
 
 def test_sentences_and_spans(spark, rows):
     pages, _ = rows
     found = {}
-    for r in M.utterance_rows(spark.createDataFrame(list(pages.items()), "page_id long, html string")).collect():
+    for r in S.utterance_rows(spark.createDataFrame(list(pages.items()), "page_id long, html string")).collect():
         found.setdefault(r.page_id, []).append((r["index"], r.block, r.sentence, r.text))
     assert sum(map(len, found.values())) == run(spark, "t22_utterances").count()
     spans = {(r.page_id, r.block, r.sentence): (r["from"], r.to) for r in run(spark, "w08_utterance_spans").collect()}
@@ -175,18 +179,16 @@ def test_files_and_books(spark, rows):
 
 def test_translated_and_rendered_pages(spark, rows):
     pages, _ = rows
+    tags = {r.page_id: r.tag for r in run(spark, "t15_body").collect()}
     got = {r.page: r.text_md5 for r in run(spark, "x01_translate_pages").collect()}
     assert set(got) == {i for i in pages if i % 6}
     for i, text in got.items():
-        blocks = M.split_blocks(M.body_of(pages[i]))
-        out = M.body_tag(pages[i])
-        for b in blocks:
-            held = M.hold_tags(b)
-            out += M.rebuild(held, held["text"].upper()) if M.visible_text(b) else b
-        assert text in (md5(out + "</body>"), "blank_answer")
+        inside = re.split(r"(?i)<body[^>]*>", pages[i], maxsplit=1)[-1]
+        out = [walker.rebuilt(b, walker.held(b)[2].upper()) if walker.visible(walker.tokens(b)) else b for b in walker.blocks(re.split(r"(?i)</body", inside)[0])]
+        assert text in (md5(tags[i] + "\n" + "\n\n".join(out) + "\n</body>"), "blank_answer")
     import base64
 
     for r in run(spark, "t23_render_page").collect():
         address = "data:image/png;base64," + base64.b64encode(pages[r.page].encode()).decode()
-        html = f'<!doctype html><html><head><style>p{{margin:0}}</style></head>{M.body_tag(pages[r.page])}<img src="{address}"/><img src="9999.jpg"/></body></html>'
+        html = f'<!doctype html><html><head><style>p{{margin:0}}</style></head>{tags[r.page]}<img src="{address}"/><img src="9999.jpg"/></body></html>'
         assert r.html_md5 == md5(html)
