@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorestack.session import materialise
+from lorestack.operators.running import running_sums
 
 RUNNING = ["queued", "parsing", "chunking", "embedding"]
 
@@ -61,26 +61,26 @@ def latest_status(events: DataFrame, key: str, order: list[str], values: list[st
 def unique_names(files: DataFrame, taken: DataFrame, order: list[str], name: str = "filename") -> DataFrame:
     """Adds stored_name: the name itself for the first, ``stem (n)ext`` from 2 for later ones, never a name in use.
 
-    Names that are taken come first. A name made so may stand in the list literally; the rows that clash are numbered
-    again until none does: each round passes over one more name, so the rounds end. Each is written to the shared folder.
+    Names that are taken come first, and those that stand in the list literally stay free for their own rows: a number whose
+    name is in use is passed over. Later rows are numbered m = 1, 2, ...; the m-th free number is m + 1 and one more for
+    each number in use that has fewer than m free ones before it, which is a running count. No name is one task, however
+    many rows have it.
     """
+    pattern = r"(?s)^(.*) \((\d{1,9})\)(\.[^./]+)?$"
     stem, ext = F.regexp_replace(F.col(name), r"(\.[^./]+)$", ""), F.regexp_extract(F.col(name), r"(\.[^./]+)$", 1)
-    used = taken.select(F.col(name).alias("stored_name"))
-    waiting = files.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(*order))).withColumn("_skip", F.lit(0))
-    literal = files.select(F.col(name).alias("stored_name")).distinct()
-    names = waiting.join(used.withColumnRenamed("stored_name", name).distinct().withColumn("_used", F.lit(1)), name, "left")
-    number = F.col("_n") + F.coalesce("_used", F.lit(0))
-    made = names.withColumn("stored_name", F.when(number == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext))).withColumn("_fresh", number > 1)
-    while True:
-        made = materialise(made)
-        busy = used.unionByName(literal).distinct().withColumn("_busy", F.lit(1))
-        clash = made.join(busy, "stored_name", "left").withColumn("_hit", F.col("_fresh") & F.col("_busy").isNotNull())
-        if clash.filter("_hit").limit(1).count() == 0:
-            break
-        again = F.row_number().over(Window.partitionBy(name).orderBy(*order)) + F.coalesce("_used", F.lit(0)) + F.max(F.when(F.col("_hit"), F.col("_skip") + 1).otherwise(F.col("_skip"))).over(Window.partitionBy(name).orderBy(*order))
-        made = clash.withColumn("_number", again).withColumn("_skip", F.max(F.when(F.col("_hit"), F.col("_skip") + 1).otherwise(F.col("_skip"))).over(Window.partitionBy(name).orderBy(*order)))
-        made = made.withColumn("stored_name", F.when(~F.col("_fresh"), F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_number").cast("string"), F.lit(")"), ext))).drop("_busy", "_hit", "_number")
-    return made.drop("_n", "_skip", "_used", "_fresh")
+    used = taken.select(name).distinct()
+    literal = files.select(name).unionByName(used).distinct()
+    parted = literal.filter(F.col(name).rlike(pattern)).select(F.concat(F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 3)).alias("_of"), F.regexp_extract(name, pattern, 2).alias("_d"))
+    written = parted.filter((F.col("_d").cast("long").cast("string") == F.col("_d")) & (F.col("_d").cast("long") >= 2)).select(F.col("_of").alias(name), F.col("_d").cast("long").alias("_busy"))
+    numbered = running_sums(files, [name], [F.col(c) for c in order], {"_n": F.lit(1)})
+    known = numbered.join(used.withColumn("_used", F.lit(1)), name, "left").withColumn("_m", F.col("_n") - 1 + F.coalesce("_used", F.lit(0)))
+    # A busy number stands where its count of free numbers before it is passed.
+    busy = running_sums(written, [name], [F.col("_busy")], {"_i": F.lit(1)}).select(name, (F.col("_busy") - F.col("_i") - 1).alias("_at"), F.lit(1).alias("_skip"))
+    rows = known.withColumn("_at", F.col("_m")).withColumn("_skip", F.lit(0))
+    placed = running_sums(rows.unionByName(busy, allowMissingColumns=True).withColumn("_row", F.lit(1) - F.col("_skip")), [name], [F.col("_at"), F.col("_skip")], {"_passed": "_skip"}).filter("_row = 1")
+    number = (F.col("_m") + 1 + F.col("_passed")).cast("string")
+    stored = F.when(F.col("_m") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), number, F.lit(")"), ext))
+    return placed.select(*files.columns, stored.alias("stored_name"))
 
 
 def keep_one_active(rows: DataFrame, group: list[str], order: list[str], flag: str = "active") -> DataFrame:

@@ -175,8 +175,10 @@ def l05_cascade_delete(spark, d):
 
 
 def w09_unique_names(spark, d):
-    docs = standin(spark, d, "kb_documents")
-    return S.unique_names(docs.filter("doc_id % 10 > 0").select("doc_id", "filename"), docs.filter("doc_id % 40 = 0").select("filename"), ["doc_id"])
+    """All files; every fortieth is stored already, and some have a numbered name of their own."""
+    number = F.when(F.col("doc_id") % 97 == 5, F.concat(F.lit(" ("), (F.col("doc_id") % 4 + 2).cast("string"), F.lit(")."))).otherwise(".")
+    docs = standin(spark, d, "kb_documents").select("doc_id", F.concat(F.substring_index("filename", ".", 1), number, F.substring_index("filename", ".", -1)).alias("filename"))
+    return S.unique_names(docs.filter("doc_id % 40 > 0"), docs.filter("doc_id % 40 = 0").select("filename"), ["doc_id"])
 
 
 def w10_keep_one_active(spark, d):
@@ -347,7 +349,12 @@ ORACLE_SQL = {
     "j05_fail_interrupted": with_sql("attachments kb_documents", "SELECT a.doc_id, CASE WHEN b.doc_id IS NOT NULL AND a.status NOT IN ('ready', 'error', 'injected_whole') THEN 'error' ELSE a.status END AS status, 'attachment' AS kind FROM attachments a LEFT JOIN (SELECT doc_id FROM kb_documents WHERE namespace <> 'global') b ON a.doc_id = b.doc_id UNION ALL SELECT doc_id, status, 'document' FROM kb_documents WHERE namespace = 'global'"),
     "j06_live_only": with_sql("chunks kb_documents", "SELECT doc_id, chunk_index FROM chunks WHERE doc_id IN (SELECT doc_id FROM kb_documents WHERE status = 'ready')"),
     "l05_cascade_delete": with_sql("chats messages attachments chunks", ", g AS (SELECT chat_id FROM chats WHERE chat_id % 5 = 0) SELECT 'messages' AS kind, count(*) AS n FROM messages WHERE chat_id NOT IN (FROM g) UNION ALL SELECT 'attachments', count(*) FROM attachments WHERE chat_id NOT IN (FROM g) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE namespace NOT IN (SELECT 'chat:' || chat_id FROM g) AND namespace NOT IN (SELECT 'memory:' || chat_id FROM g)"),
-    "w09_unique_names": with_sql("kb_documents", ", n AS (SELECT doc_id, filename, row_number() OVER (PARTITION BY filename ORDER BY doc_id) + CASE WHEN filename IN (SELECT filename FROM kb_documents WHERE doc_id % 40 = 0) THEN 1 ELSE 0 END AS k FROM kb_documents WHERE doc_id % 10 > 0) SELECT doc_id, filename, CASE WHEN k = 1 THEN filename ELSE regexp_replace(filename, '\\.[^.]+$', '') || ' (' || k || ')' || regexp_extract(filename, '\\.[^.]+$') END AS stored_name FROM n"),
+    "w09_unique_names": with_sql("kb_documents", r""", f AS (SELECT doc_id, regexp_replace(filename, '\.[^.]+$', '') || CASE WHEN doc_id % 97 = 5 THEN ' (' || (doc_id % 4 + 2) || ')' ELSE '' END || regexp_extract(filename, '\.[^.]+$') AS filename FROM kb_documents),
+      n AS (SELECT doc_id, filename, row_number() OVER (PARTITION BY filename ORDER BY doc_id) - 1 + CASE WHEN filename IN (SELECT filename FROM f WHERE doc_id % 40 = 0) THEN 1 ELSE 0 END AS m FROM f WHERE doc_id % 40 > 0),
+      c AS (SELECT filename, unnest(range(2, max(m) + 8)) AS k FROM n GROUP BY filename),
+      b AS (SELECT filename, k, regexp_replace(filename, '\.[^.]+$', '') || ' (' || k || ')' || regexp_extract(filename, '\.[^.]+$') AS made FROM c),
+      o AS (SELECT filename, made, row_number() OVER (PARTITION BY filename ORDER BY k) AS m FROM b WHERE made NOT IN (SELECT filename FROM f))
+      SELECT doc_id, n.filename, coalesce(made, n.filename) AS stored_name FROM n LEFT JOIN o ON o.filename = n.filename AND o.m = n.m"""),
     "w10_keep_one_active": "SELECT event_id, event_type = 'click' AND row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts, event_id) = 1 AS active FROM events",
     "l14_reset_interrupted": with_sql("books", "SELECT book_id, CASE WHEN status IN ('extracting', 'paginating') THEN 'imported' ELSE status END AS status FROM books"),
     "l16_upgrade_tables": with_sql("books", "SELECT book_id, filename, last_page, 'imported' AS status, CAST(NULL AS VARCHAR) AS error_message, 0 AS page_count, CAST(NULL AS VARCHAR) AS reading_language FROM books"),

@@ -125,7 +125,7 @@ ORACLE_SQL = {
         o_orderkey * 1000 * CASE o_orderkey % 5 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.625::DOUBLE WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 2.0::DOUBLE END * 1.2::DOUBLE AS b FROM orders)""",
     "t24_escape_text": "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages",
     "p03_should_record_turn": with_sql("messages", "SELECT id, id % 3 <> 0 AND id % 7 <> 0 AND id % 11 <> 0 AND id % 5 <> 0 AND trim(coalesce(content, '')) <> '' AS record FROM messages"),
-    "p04_is_speakable": r"SELECT doc_id, regexp_matches(text, '[\pL\pN]') AS speakable, doc_id % 5 IN (1, 3) AS marks FROM documents",
+    "p04_is_speakable": r"SELECT doc_id, regexp_matches(text, '[\pL\pN]') AS speakable, CASE doc_id % 5 WHEN 1 THEN true WHEN 3 THEN regexp_matches(text, '[^\pL\pN\pZ\s]') ELSE false END AS marks FROM documents",
     "p05_route_attachments": with_sql("attachments", "SELECT doc_id, CASE WHEN status = 'error' OR extracted_text IS NULL THEN 'error' WHEN strlen(extracted_text) <= 8000 THEN 'injected_whole' ELSE 'index' END AS route FROM attachments"),
     "r02_squared_l2": "SELECT e.vec_id, q.vec_id AS question_id, round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id - e.vec_id % 50",
     "r01c_cosine": "SELECT e.vec_id, q.vec_id AS question_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id - e.vec_id % 50",
