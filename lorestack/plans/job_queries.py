@@ -15,12 +15,14 @@ from lorestack.operators import store as S
 from lorestack.operators import turns as U
 from lorestack.operators.embed import embed, index_turns
 from lorestack.operators.prompt import assemble_prompts, prompt_messages
+from lorestack.operators.tables import read_table
 from lorestack.operators.translate import render_pages, translate_pages
 from lorestack.plans.standins import standin, with_sql
 from lorestack.session import materialise, table
 from lorestack.session import shared_dir as _folder
 from lorestack.sources import files as I
 from lorestack.streaming import jobs as J
+from lorestack.streaming import stateful as T
 
 
 def _docx(text: str) -> bytes:
@@ -182,13 +184,13 @@ def st6_stream_files(spark, d):
 
 
 def st2_stream_turns(spark, d):
-    """Messages arrive in order of their positions, in four parts and so over several batches: questions wait in the state."""
+    """Messages arrive in four parts that are out of order, so over several batches: what comes early waits in the state."""
     m, path = standin(spark, d, "messages"), _folder(spark)
     part = F.least(F.floor(F.col("pos") / 2), F.lit(3))
-    for k in range(4):
+    for k in (2, 0, 3, 1):
         m.filter(part == k).write.mode("append").parquet(path)
     stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return J.run_available(J.stream_turns(stream), _folder(spark), "append", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+    return J.run_available(T.stream_turns(stream), _folder(spark), "update", _folder(spark)).select("chat_id", "answer_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
 def _token_lines(m: DataFrame, end: Column) -> DataFrame:
@@ -199,8 +201,10 @@ def _token_lines(m: DataFrame, end: Column) -> DataFrame:
 
 
 def _collected(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    got = J.run_available(J.parse_tokens(_stream(spark, lines)), _folder(spark), "append", _folder(spark))
-    return J.collect_tokens(got).select("message_id", F.md5("text").alias("text_md5"), "done", "errors")
+    """The texts as they stood when their stream got furthest; lines come in any order and over several batches."""
+    got = J.run_available(T.stream_texts(J.parse_tokens(_stream(spark, lines), every=True)), _folder(spark), "update", _folder(spark))
+    last = got.groupBy("message_id").agg(F.max(F.struct("lines", "text", "done", "errors")).alias("x"))
+    return last.select("message_id", F.md5("x.text").alias("text_md5"), "x.done", "x.errors")
 
 
 def st3_stream_tokens(spark, d):
@@ -218,7 +222,9 @@ def st5_stream_whole_texts(spark, d):
 
 def st4_stream_status(spark, d):
     events = _stream(spark, table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    return J.run_available(J.stream_status(events, "user_id", ["ts", "event_id"], ["event_type", "value"]), _folder(spark), "complete", _folder(spark))
+    path, order, values = _folder(spark), ["ts", "event_id"], ["event_type", "value"]
+    J.merge_latest(J.stream_status(events, "user_id", order, values, ordered=True), path, _folder(spark), "user_id", order).awaitTermination()
+    return read_table(spark, path).select("user_id", *values)
 
 
 _NAMES = "s02_extract_text s03_epub_chapters s04_book_gate s08_table_scans r01_embed r14_assemble_prompts r14b_prompt_messages r18_index_turns x01_translate_pages x01b_translate_text q01_sql_functions t23_render_page st1_stream_ingest st2_stream_turns st3_stream_tokens st4_stream_status st5_stream_whole_texts st6_stream_files"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lorestack.operators import library as L
 from lorestack.operators import retrieve as R
 from lorestack.operators import store as S
+from lorestack.operators import tables as B
 from lorestack.operators import turns as U
 from lorestack.plans.standins import standin, with_sql
-from lorestack.session import table
+from lorestack.session import shared_dir, table
 
 _DIST = "list_sum(list_transform(list_zip(c.vector::DOUBLE[], q.vector::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 _SEARCH = f""", layered AS (
@@ -150,12 +151,19 @@ def s01_import_gate(spark, d):
 def s05_upsert_chunks(spark, d):
     chunks = standin(spark, d, "chunks").select("namespace", "doc_id", "chunk_index", "text")
     new = chunks.filter("doc_id % 30 = 0 and chunk_index < 4").withColumn("text", F.concat(F.lit("new "), F.col("text")))
-    return S.upsert_chunks(chunks, new)
+    path = shared_dir(spark)
+    B.upsert_table(spark, chunks, path)
+    B.upsert_table(spark, new, path)
+    return B.read_table(spark, path).drop("bucket")
 
 
 def s06_delete_chunks(spark, d):
     chunks = standin(spark, d, "chunks").select("namespace", "doc_id", "chunk_index")
-    return S.delete_rows(S.delete_rows(chunks, chunks.filter("doc_id % 70 = 0"), ["namespace", "doc_id"]), chunks.filter("namespace = 'chat:5'"), ["namespace"])
+    path = shared_dir(spark)
+    B.upsert_table(spark, chunks, path)
+    B.delete_from_table(spark, chunks.filter("doc_id % 70 = 0"), path)
+    B.delete_from_table(spark, B.read_table(spark, path).filter("namespace = 'chat:5'"), path)
+    return B.read_table(spark, path).drop("bucket")
 
 
 def j05_fail_interrupted(spark, d):

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lorestack.functions.text import chunks
 from lorestack.operators.embed import embed, hashing_model
-from lorestack.operators.store import read_or_empty, upsert_chunks
+from lorestack.operators.store import read_or_empty
+from lorestack.operators.tables import merge_partitions, read_table, upsert_table
 from lorestack.session import materialise
 from lorestack.sources.files import extract_text
 
@@ -24,18 +23,19 @@ def ingest(files: DataFrame, factory: Callable = hashing_model, namespace: str =
     return each.select("namespace", "doc_id", "chunk_index", "text", embed(F.col("text"), factory).alias("vector"))
 
 
-def start_ingest(files: DataFrame, path: str, checkpoint: str, factory: Callable = hashing_model, live: DataFrame | None = None) -> StreamingQuery:
-    """Upsert each batch's chunks into the Parquet table at ``path``: one folder per batch, later batches win.
+def start_ingest(files: DataFrame, path: str, checkpoint: str, factory: Callable = hashing_model, live: DataFrame | None = None, buckets: int = 16) -> StreamingQuery:
+    """Upsert each batch's chunks into the chunk table at ``path``: later batches win.
 
-    A batch that is run again overwrites its own folder, so replays are harmless. Documents that are gone are dropped
-    right before the write.
+    The table is parted by buckets of the document. A batch rewrites the buckets of its own documents and no others, so the
+    table is compact after every batch and reading it groups nothing; a batch that is run again finds its own rows and puts
+    them in their own place. Documents that are gone are dropped right before the write.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         made = ingest(batch, factory)
         if live is not None:
             made = made.join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-        made.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        upsert_table(batch.sparkSession, made, path, buckets)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -52,53 +52,29 @@ def start_file_ingest(spark: SparkSession, folder: str, path: str, status_path:
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = materialise(extract_text(batch, readers).select(ident, "path", "text", "error"))  # read and parsed once
-        ingest(parsed, factory).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        upsert_table(batch.sparkSession, ingest(parsed, factory), path)
         status = parsed.select("doc_id", "path", F.when(F.col("error").isNull(), "ready").otherwise("error").alias("status"), F.col("error").alias("error_message"))
         status.write.mode("overwrite").parquet(f"{status_path}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_chunks(spark, path: str) -> DataFrame:
-    """The chunk table: of each document the rows of its last batch."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy("namespace", "doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["namespace", "doc_id", "batch"], "left_semi").drop("batch")
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk table as its last manifest has it."""
+    return read_table(spark, path).drop("bucket")
 
 
-def compact(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored table with one batch's documents in place of theirs."""
-    return upsert_chunks(existing, batch)
-
-
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    waiting = state.get[0] if state.exists else None
-    rows, out = pd.concat(list(batches)).sort_values(["pos", "id"]), []
-    for r in rows.itertuples():
-        if r.role == "user":
-            waiting = r.content
-        elif r.role == "assistant":
-            if waiting is not None:
-                out.append((key[0], r.id, waiting, r.content))
-            waiting = None
-    state.update((waiting,))
-    yield pd.DataFrame(out, columns=["chat_id", "answer_id", "question", "answer"])
-
-
-def stream_turns(messages: DataFrame) -> DataFrame:
-    """A question is held per chat until its answer arrives; a newer question takes its place. Works batch by batch."""
-    return messages.select("chat_id", "id", "pos", "role", "content").groupBy("chat_id").applyInPandasWithState(_pair, "chat_id long, answer_id long, question string, answer string", "question string", "append", GroupStateTimeout.NoTimeout)
-
-
-def parse_tokens(lines: DataFrame) -> DataFrame:
-    """(message_id, seq, delta, done, error) of server-sent lines; blank and other lines are left out."""
-    data = F.regexp_extract("line", r"^data:\s*(.*)$", 1)
-    json = F.try_parse_json("data") if hasattr(F, "try_parse_json") else None
-    rows = lines.filter(F.col("line").startswith("data:")).withColumn("data", F.trim(data))
-    done = F.col("data") == "[DONE]"
-    bad = ~done & (F.isnull(json) if json is not None else F.get_json_object("data", "$").isNull())
+def parse_tokens(lines: DataFrame, every: bool = False) -> DataFrame:
+    """(message_id, seq, delta, done, cancelled, error) of server-sent lines; ``event: cancel`` ends a message early. Blank
+    and other lines are left out, or kept without a delta with ``every``."""
+    data = F.trim(F.regexp_extract("line", r"^data:\s*(.*)$", 1))
+    line = F.col("line")
+    cancelled = F.coalesce(line.rlike(r"^event:\s*cancel\s*$"), F.lit(False))
+    rows = (lines if every else lines.filter(line.startswith("data:") | cancelled)).withColumn("data", F.when(line.startswith("data:"), data))
+    done = F.coalesce(F.col("data") == "[DONE]", F.lit(False))
+    bad = ~done & F.col("data").isNotNull() & F.isnull(F.try_parse_json("data"))
     delta = F.get_json_object("data", "$.choices[0].delta.content")
-    return rows.select("message_id", "seq", F.when(~done & ~bad, delta).alias("delta"), done.alias("done"), F.when(bad, "malformed").alias("error"))
+    return rows.select("message_id", F.col("seq").cast("long").alias("seq"), F.when(~done & ~bad, delta).alias("delta"), done.alias("done"), cancelled.alias("cancelled"), F.when(bad, "malformed").alias("error"))
 
 
 def collect_tokens(tokens: DataFrame) -> DataFrame:
@@ -110,10 +86,35 @@ def collect_tokens(tokens: DataFrame) -> DataFrame:
     return each.select("message_id", F.array_join(F.transform(kept, lambda p: p["delta"]), "").alias("text"), F.col("ended").isNotNull().alias("done"), "errors")
 
 
-def stream_status(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
-    """The latest values of each key, for update or complete output."""
-    last = events.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("_last"))
-    return last.select(key, *(F.col(f"_last.{v}").alias(v) for v in values))
+def stream_status(events: DataFrame, key: str, order: list[str], values: list[str], time: str | None = None, delay: str = "7 days", ordered: bool = False) -> DataFrame:
+    """The latest values of each key, with the columns of the order if ``ordered``. In update output a batch gives the keys
+    that it changed. With ``time``, a column of event time, what a key has in a span of ``delay`` leaves the state when the
+    span is over; the last values stay where :func:`merge_latest` wrote them."""
+    columns = [key, *dict.fromkeys([*(order if ordered or time else []), *values])]
+    if time is None:
+        return _latest(events, [key], order, values).select(*columns)
+    spans = events.withWatermark(time, delay).withColumn("_span", F.window(time, delay))
+    return _latest(spans, [key, "_span"], order, values).select(*columns)
+
+
+def _latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*dict.fromkeys([*order, *values]))).alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([*order, *values])))
+
+
+def merge_latest(updates: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 16) -> StreamingQuery:
+    """Merge update output into a table of the latest row of each key, and run until what is there is in.
+
+    The table is parted by buckets of the key; a batch reads and rewrites the buckets that its keys fall into and no others.
+    A batch that is run again meets its own rows and changes nothing, since the later row of a key wins.
+    """
+    spark = updates.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = materialise(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        merge_partitions(spark, new, path, ["bucket"], lambda old, new: _latest(old.unionByName(new), [key, "bucket"], order, [c for c in new.columns if c not in (key, "bucket")]).select(*new.columns))
+
+    return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
