@@ -36,6 +36,21 @@ def clamp_after_repaginate(readings: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.withColumn("last_page", F.when(F.col("_count").isNull(), F.col("last_page")).otherwise(clamp_page(F.col("last_page"), F.col("_count")))).drop("_count")
 
 
+def repaginate(books: DataFrame, readings: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books and readings after the books listed (book_id, page_count) were cut into pages anew: the new page count stands on
+    the book, its own position and those of its readings move inside it, and the book is ready. Of a book listed twice the
+    larger count holds."""
+    new = counts.filter("page_count is not null").groupBy("book_id").agg(F.max("page_count").alias("page_count"))
+    joined = books.join(new.select("book_id", F.col("page_count").alias("_count")), "book_id", "left")
+    told = F.col("_count").isNotNull()
+    changed = {"page_count": F.when(told, F.col("_count")).otherwise(F.col("page_count"))}
+    if "status" in books.columns:
+        changed["status"] = F.when(told, "ready").otherwise(F.col("status"))
+    if "last_page" in books.columns:
+        changed["last_page"] = F.when(told, clamp_page(F.col("last_page"), F.col("_count"))).otherwise(F.col("last_page"))
+    return joined.withColumns(changed).select(*books.columns), clamp_after_repaginate(readings, new)
+
+
 def positions_to_readings(books: DataFrame) -> DataFrame:
     """One reading per opened book, its identifier the book's."""
     return books.filter("last_opened_at is not null").select(F.col("book_id").alias("reading_id"), "book_id", F.coalesce("last_page", F.lit(0)).alias("last_page"), "last_opened_at")

@@ -12,7 +12,8 @@ from lorestack.session import materialise
 
 
 def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFrame, documents: DataFrame, attachments: DataFrame, turns: DataFrame, factor: float = 3.0) -> DataFrame:
-    """(question_id, sources, history, memory, question, left): the sections of each question's prompt, within its byte budget.
+    """(question_id, sources, history, memory, memory_nearer, question, answer_tokens, retrieval_error): the sections of each
+    question's prompt, within its byte budget.
 
     questions: question_id, chat_id, question, vector, use_global, use_memory, context. The question is never cut. Attached
     texts that fit whole come first, then documents, then history with a share held for the memory, then recalled turns
@@ -21,7 +22,10 @@ def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFram
     budget = F.greatest(prompt_budget(F.col("context")) - F.octet_length("question"), F.lit(0)).cast("long")
     everyone = questions.withColumn("budget", budget)
     asked = everyone.filter("budget > 0")  # a question that fills the budget alone cites nothing, but stays
-    hits = materialise(knn_search(chunks, layers(asked), carry=["text"]))
+    # A question that can't be searched for keeps everything else, and says so.
+    hits = materialise(knn_search(chunks, layers(asked.filter("vector is not null")), carry=["text"]))
+    unscored = hits.groupBy("question_id").agg(F.bool_and(F.isnan("distance")).alias("_unscored"))
+    hits = hits.join(unscored.filter("_unscored"), "question_id", "left_anti")
     chosen = materialise(resolve_sources(expand_neighbours(layer_slots(rank_pool(hits, factor=factor)), chunks), documents, attachments))
 
     whole = attachments.filter(attachment_route(F.col("extracted_text"), F.col("status") == "error") == "injected_whole")
@@ -45,8 +49,9 @@ def assemble_prompts(questions: DataFrame, chunks: DataFrame, messages: DataFram
     fits = budget_allocate(memory.join(state.select("question_id", "left"), "question_id"), "question_id", [F.col("place")], F.col("left")).groupBy("question_id").agg(F.first("taken").alias("memory"))
     joined = F.array_join("_sources", "\n\n---\n\n")
     nearer = best_per_layer(chosen).select("question_id", "memory_nearer")
-    whole = state.join(fits, "question_id", "left").join(nearer, "question_id", "left")
-    return whole.select("question_id", joined_sections(joined).alias("sources"), "history", "memory", F.coalesce("memory_nearer", F.lit(False)).alias("memory_nearer"), "question", answer_budget(F.col("context")).alias("answer_tokens"))
+    whole = state.join(fits, "question_id", "left").join(nearer, "question_id", "left").join(unscored, "question_id", "left")
+    error = F.when(F.col("budget") <= 0, F.lit(None).cast("string")).when(F.col("vector").isNull(), "no_vector").when(F.col("_unscored"), "no_score")
+    return whole.select("question_id", joined_sections(joined).alias("sources"), "history", "memory", F.coalesce("memory_nearer", F.lit(False)).alias("memory_nearer"), "question", answer_budget(F.col("context")).alias("answer_tokens"), error.alias("retrieval_error"))
 
 
 def prompt_messages(prompts: DataFrame, system: str, sources_intro: str, memory_intro: str) -> DataFrame:

@@ -241,3 +241,25 @@ def retrieval_quality(hits: DataFrame, planted: DataFrame) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy("distance", *POSITION)
     where = hits.withColumn("_rank", F.row_number().over(w)).join(planted, ["question_id", *POSITION], "left_semi").groupBy("question_id").agg(F.min("_rank").alias("planted_rank"))
     return best.join(where, "question_id", "left").withColumn("found", F.coalesce(F.col("planted_rank") <= 8, F.lit(False)))
+
+
+def retrieval_report(hits: DataFrame, relevant: DataFrame, factor: float = 3.0, least: float = 0.1) -> DataFrame:
+    """How well the nearest tell what belongs to a question from what doesn't: (question_id, best_relevant, worst_relevant,
+    best_irrelevant, separation, kept, kept_irrelevant).
+
+    ``relevant`` lists (question_id, namespace, doc_id, chunk_index). separation is best_irrelevant - worst_relevant: above 0
+    where a floor could part them; null where either is missing. kept counts the hits within the pool's cutoff, which is
+    relative to the best hit, so kept_irrelevant shows what a bad best lets through. Hits without a score count as
+    irrelevant by their place only, not by distance.
+    """
+    marked = pool_cutoff(hits, factor, least).join(relevant.select("question_id", *POSITION).distinct().withColumn("_right", F.lit(True)), ["question_id", *POSITION], "left")
+    right, number = F.coalesce("_right", F.lit(False)), F.nanvl("distance", F.lit(None).cast("double"))
+    stays = F.isnan("distance") | (F.col("distance") <= F.col("cutoff"))
+    each = marked.groupBy("question_id").agg(
+        F.min(F.when(right, number)).alias("best_relevant"),
+        F.max(F.when(right, number)).alias("worst_relevant"),
+        F.min(F.when(~right, number)).alias("best_irrelevant"),
+        F.count(F.when(stays, 1)).alias("kept"),
+        F.count(F.when(stays & ~right, 1)).alias("kept_irrelevant"),
+    )
+    return each.withColumn("separation", F.col("best_irrelevant") - F.col("worst_relevant"))

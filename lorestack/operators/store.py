@@ -110,6 +110,28 @@ def upgrade(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+#: The ledger of versions: a row for each step that a table has been through.
+LEDGER = "table_name string, version int, column_name string"
+
+
+def migrate(tables: dict[str, DataFrame], ledger: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables brought to the last version, and the ledger with a row for each step that was made.
+
+    Steps go in the order of versions, each of them adds a column with its default and is made once: what the ledger has is
+    passed over, even if the column was dropped since. A column that is there before its step stays as it is.
+    """
+    made = {(r.table_name, r.version, r.column_name) for r in ledger.filter(F.col("table_name").isin(*VERSIONS)).collect()}  # a row for each step at most
+    out, rows = dict(tables), []
+    steps = [(version, name, column, kind, default) for name, of in VERSIONS.items() for version, column, kind, default in of]
+    for version, name, column, kind, default in sorted(steps, key=lambda s: s[:3]):
+        if name not in tables or (name, version, column) in made:
+            continue
+        if column not in out[name].columns:
+            out[name] = out[name].withColumn(column, F.lit(default).cast(kind))
+        rows.append((name, version, column))
+    return out, ledger.unionByName(ledger.sparkSession.createDataFrame(rows, LEDGER))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table, or no rows where nothing was written yet."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -71,6 +71,14 @@ def a07_retrieval_quality(spark, d):
     return R.retrieval_quality(_hits(spark, d), planted).select("question_id", F.round("best", 6).alias("best"), F.col("planted_rank").cast("long").alias("planted_rank"), "found")
 
 
+def a07b_retrieval_report(spark, d):
+    """Of each question, the chunks of its own document are what it is after."""
+    chunks = standin(spark, d, "chunks")
+    relevant = chunks.select(F.col("doc_id").alias("question_id"), *R.POSITION)
+    report = R.retrieval_report(_hits(spark, d), relevant)
+    return report.select("question_id", *(F.round(c, 6).alias(c) for c in ("best_relevant", "worst_relevant", "best_irrelevant", "separation")), "kept", "kept_irrelevant")
+
+
 def w06_rank_pool(spark, d):
     return _ranked(spark, d).select("question_id", "namespace", "doc_id", "chunk_index", "pool_rank")
 
@@ -203,6 +211,23 @@ def l16_upgrade_tables(spark, d):
     return S.upgrade(S.upgrade(books, "books"), "books")
 
 
+def l16b_version_ledger(spark, d):
+    """Books that went through one step already, brought to the last version; then again, which changes nothing."""
+    books = standin(spark, d, "books").select("book_id", "filename", "status")
+    ledger = spark.createDataFrame([("books", 10, "status")], S.LEDGER)
+    tables, ledger = S.migrate(*S.migrate({"books": books}, ledger))
+    steps = ledger.groupBy("table_name").agg(F.max("version").alias("version"), F.count("*").alias("steps")).filter("table_name = 'books'")
+    return tables["books"].withColumn("table_name", F.lit("books")).join(steps, "table_name").select("book_id", "status", "page_count", "reading_language", "version", "steps")
+
+
+def l07c_repaginate_books(spark, d):
+    """Every second book is cut anew; the books and the readings after it."""
+    books, readings = standin(spark, d, "books"), standin(spark, d, "readings")
+    counts = books.filter("book_id % 2 = 0").select("book_id", (F.col("book_id") % 12).cast("int").alias("page_count"))
+    new, moved = L.repaginate(books, readings, counts)
+    return new.select(F.lit("book").alias("kind"), F.col("book_id").alias("id"), "page_count", "last_page", "status").unionByName(moved.select(F.lit("reading").alias("kind"), F.col("reading_id").alias("id"), F.lit(None).cast("int").alias("page_count"), "last_page", F.lit(None).cast("string").alias("status")))
+
+
 def r05_first_n_sorted(spark, d):
     return S.first_n(table(spark, d, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 20).select("o_orderkey")
 
@@ -335,6 +360,9 @@ ORACLE_SQL = {
     "a04_pool_cutoff": with_sql("chunks questions", _SEARCH + " SELECT question_id, namespace, doc_id, chunk_index, round(b, 6) AS best, round(greatest(b * 3, 0.1), 6) AS cutoff FROM (SELECT *, min(CASE WHEN doc_id % 30 <> 0 THEN distance END) OVER (PARTITION BY question_id) AS b FROM hits)"),
     "a05_best_per_layer": with_sql("chunks questions", _SEARCH + " SELECT question_id, round(m, 6) AS best_memory, round(o, 6) AS best_documents, coalesce(m < o, m IS NOT NULL) AS memory_nearer FROM (SELECT question_id, min(CASE WHEN namespace LIKE 'memory:%' THEN distance END) AS m, min(CASE WHEN namespace NOT LIKE 'memory:%' THEN distance END) AS o FROM hits GROUP BY 1)"),
     "a07_retrieval_quality": with_sql("chunks questions", _SEARCH + ", r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, namespace, doc_id, chunk_index) AS rk FROM hits) SELECT question_id, round(min(distance), 6) AS best, min(CASE WHEN doc_id + chunk_index = question_id THEN rk END) AS planted_rank, coalesce(min(CASE WHEN doc_id + chunk_index = question_id THEN rk END) <= 8, false) AS found FROM r GROUP BY 1"),
+    "a07b_retrieval_report": with_sql("chunks questions", _SEARCH + ", b AS (SELECT *, greatest(min(distance) OVER (PARTITION BY question_id) * 3, 0.1) AS cut, doc_id = question_id AS good FROM hits), g AS (SELECT question_id, min(distance) FILTER (good) AS br, max(distance) FILTER (good) AS wr, min(distance) FILTER (NOT good) AS bi, count(*) FILTER (distance <= cut) AS kept, count(*) FILTER (distance <= cut AND NOT good) AS kept_irrelevant FROM b GROUP BY 1) SELECT question_id, round(br, 6) AS best_relevant, round(wr, 6) AS worst_relevant, round(bi, 6) AS best_irrelevant, round(bi - wr, 6) AS separation, kept, kept_irrelevant FROM g"),
+    "l16b_version_ledger": with_sql("books", "SELECT book_id, status, 0 AS page_count, CAST(NULL AS VARCHAR) AS reading_language, 10 AS version, CAST(4 AS BIGINT) AS steps FROM books"),
+    "l07c_repaginate_books": with_sql("books readings", "SELECT 'book' AS kind, book_id AS id, CASE WHEN book_id % 2 = 0 THEN CAST(book_id % 12 AS INTEGER) ELSE page_count END AS page_count, CASE WHEN book_id % 2 = 0 THEN CASE WHEN last_page IS NULL THEN greatest(CAST(book_id % 12 AS INTEGER) - 1, 0) ELSE least(last_page, greatest(CAST(book_id % 12 AS INTEGER) - 1, 0)) END ELSE last_page END AS last_page, CASE WHEN book_id % 2 = 0 THEN 'ready' ELSE status END AS status FROM books UNION ALL SELECT 'reading', reading_id, NULL, CAST(CASE WHEN b.book_id IS NULL THEN r.last_page ELSE least(r.last_page, greatest(b.book_id % 12 - 1, 0)) END AS INTEGER), NULL FROM readings r LEFT JOIN (SELECT book_id FROM books WHERE book_id % 2 = 0) b ON b.book_id = r.book_id"),
     "w06_rank_pool": with_sql("chunks questions", _SEARCH + " SELECT question_id, namespace, doc_id, chunk_index, pool_rank FROM ranked"),
     "w07_layer_slots": with_sql("chunks questions", _SEARCH + " SELECT question_id, namespace, doc_id, chunk_index, pool_rank FROM slotted"),
     "j02_resolve_sources": with_sql("chunks questions kb_documents attachments", _SEARCH + " SELECT question_id, s.namespace, s.doc_id, chunk_index, coalesce(CASE WHEN s.namespace = 'global' THEN d.filename ELSE a.filename END, 'documento') AS label FROM slotted s LEFT JOIN kb_documents d ON d.doc_id = s.doc_id LEFT JOIN attachments a ON a.doc_id = s.doc_id"),
