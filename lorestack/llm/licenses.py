@@ -5,8 +5,13 @@ then the words that occur once in both are anchors, the longest increasing subse
 between anchors are aligned in the same way. Of the alignment the stretch counts in which matched words most exceed the
 words that either side has alone. Coverage is two-sided: the share of the template's words that found their place, or of
 the stretch's words in the text, whichever is less, so that inserted words count like missing ones. The words that name
-the license and its version must be there without gaps; short notices, in which any word may be one of these, match in
-full.
+the license and its version must be there without gaps.
+
+Notices of a sentence are aligned in the same way, around each place where the text has the word that tells a license from
+others. In them the words that name it and its version are all obligatory, in order and with nothing between but words such
+as "license" and "version", and a word of licensing must be joined to them; the other words of a notice need not be there.
+A notice that is denied ("not licensed under ...") is none. A name without the version that it needs (BSD, EPL) names no
+license.
 """
 
 from __future__ import annotations
@@ -37,36 +42,43 @@ _LATER = ", or (at your option) any later version."
 _GNU_KINDS = [("GPL", "General Public License", "2.0"), ("GPL", "General Public License", "3.0"), ("LGPL", "Library General Public License", "2.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3.0"), ("AGPL", "Affero General Public License", "3.0")]
 
 
-def _names() -> Iterator[tuple[str, str]]:
-    """(SPDX identifier, usual name) of the licenses that one-sentence notices name."""
-    for short, long, v in _GNU_KINDS:
-        for number in {v, v.removesuffix(".0")}:
-            for name in (f"GNU {long}", f"GNU {short}", short):
-                yield from ((f"{short}-{v}", f"{name}{sign}{number}") for sign in (", version ", " v", " "))
-                yield f"{short}-{v}", f"version {number} of the {name}"
-            yield f"{short}-{v}", f"{short}v{number}"
-        yield from ((f"{short}-{v}", f"{short}-{v}{tail}") for tail in ("-only", "-or-later"))
-    kinds = [("", ""), ("-NC", "-NonCommercial"), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")]
-    for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-        for short, long in kinds:
-            for long in {long, long.replace("Derivatives", "Derivs")}:
-                yield from ((f"CC-BY{short}-{v}", f"Creative Commons Attribution{long} {v}{tail}") for tail in ("", " International License", " Unported License"))
-            yield f"CC-BY{short}-{v}", f"CC BY{short} {v}"
-    for name in ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons Zero 1.0", "Creative Commons CC0 1.0"):
-        yield "CC0-1.0", name
-    for spdx, name, v in (("Apache", "Apache License", "2.0"), ("Apache", "Apache", "2.0"), ("MPL", "Mozilla Public License", "2.0"), ("MPL", "MPL", "2.0"), ("MPL", "Mozilla Public License", "1.1"), ("EPL", "Eclipse Public License", "1.0"), ("EPL", "Eclipse Public License", "2.0"), ("EPL", "EPL", "2.0"), ("BSL", "Boost Software License", "1.0"), ("BSL", "BSL", "1.0"), ("BUSL", "Business Source License", "1.1")):
-        yield from ((f"{spdx}-{v}", f"{name}{sign}{v}") for sign in (", version ", " v", " v. ", " "))
-    for n, other in (("2", "Simplified"), ("3", "New"), ("3", "Modified"), ("4", "Original")):
-        yield from ((f"BSD-{n}-Clause", name) for name in (f"BSD {n}-Clause", f"BSD {n}-Clause License", f"{n}-Clause BSD", f"{n}-Clause BSD License", f"{other} BSD License"))
-    yield from (("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense"))
-
-
-def _notices() -> Iterator[tuple[str, str]]:
-    """One-sentence notices: a license that is named after the verb."""
-    for spdx, name in _names():
-        for verb in ("Licensed", "This work is licensed", "Released", "Distributed", "Published", "Available"):
-            yield from ((spdx, f"{verb} under {the}{name}") for the in ("", "the ", "a ", "an ", "the terms of the ", "the conditions of the "))
-        yield spdx, f"SPDX-License-Identifier: {spdx}"
+
+#: Names of licenses as notices give them, by SPDX identifier; of those with versions the identifier has "{}".
+NAMES: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
+    ("MIT", ("mit",), ()),
+    ("ISC", ("isc",), ()),
+    ("Zlib", ("zlib",), ()),
+    ("Unlicense", ("unlicense",), ()),
+    ("Apache-{}", ("apache",), ("2.0",)),
+    ("GPL-{}", ("gnu general public", "gnu gpl", "gpl"), ("2.0", "3.0")),
+    ("LGPL-{}", ("gnu library general public",), ("2.0",)),
+    ("LGPL-{}", ("gnu lesser general public",), ("2.1", "3.0")),
+    ("LGPL-{}", ("gnu lgpl", "lgpl"), ("2.0", "2.1", "3.0")),
+    ("AGPL-{}", ("gnu affero general public", "gnu agpl", "agpl"), ("3.0",)),
+    ("MPL-{}", ("mozilla public", "mpl"), ("1.1", "2.0")),
+    ("EPL-{}", ("eclipse public", "epl"), ("1.0", "2.0")),
+    ("BSL-{}", ("boost software", "bsl"), ("1.0",)),
+    ("BUSL-{}", ("business source",), ("1.1",)),
+    ("BSD-2-Clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd"), ()),
+    ("BSD-3-Clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"), ()),
+    ("BSD-4-Clause", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
+    ("CC0-1.0", ("cc 0 1.0", "cc 0 universal", "cc 0", "creative commons zero"), ()),
+    *((f"CC-BY{short}-{{}}", (f"cc by{short.lower().replace('-', ' ')}", f"creative commons attribution {long}".strip()), ("1.0", "2.0", "2.5", "3.0", "4.0")) for short, long in (("", ""), ("-NC", "noncommercial"), ("-SA", "sharealike"), ("-ND", "noderivatives"), ("-ND", "noderivs"), ("-NC-SA", "noncommercial sharealike"), ("-NC-ND", "noncommercial noderivatives"), ("-NC-ND", "noncommercial noderivs"))),
+]
+#: Words of licensing; those of publishing, which need "under"; words that may stand between others, or before a last "license"; denials.
+LICENSING = {b"license", b"licensed", b"licence", b"licenced", b"licenses", b"licences", b"licensing", b"spdx"}
+PUBLISHING = {b"released", b"distributed", b"published", b"available"}
+BETWEEN = {b"the", b"a", b"an", b"under", b"of", b"terms", b"conditions", b"and", b"or", b"version", b"v", b"this", b"work", b"is", b"identifier", b"international", b"universal", b"unported", b"commons", b"creative", b"only", b"later"}
+AFTER = {b"international", b"universal", b"unported", b"only", b"or", b"later"}
+DENIALS = {b"not", b"never", b"non", b"isn", b"aren", b"without"}
+
+
+def notices() -> Iterator[tuple[str, str]]:
+    """(SPDX identifier, text) of the one-sentence notices, one for each name and version."""
+    for spdx, names, versions in NAMES:
+        for name in names:
+            for version in versions or ("",):
+                yield spdx.format(version), f"This work is licensed under the terms of the {name} license{' version ' + version if version else ''}"
 
 
 #: Public license texts and usual notices, by SPDX identifier. Several templates may name one license.
@@ -86,7 +98,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     # Whole texts of licenses, one file each, named by the identifier.
     *sorted((f.name.removesuffix(".txt"), f.read_text("utf-8", "replace")) for f in (files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")),
-    *_notices(),
+    *notices(),
 ]
 #: Words that the long texts of a license must hold one after another: what tells it from its relatives.
 NAMING: dict[str, list[str]] = {
@@ -99,10 +111,13 @@ NAMING: dict[str, list[str]] = {
     "EPL-2.0": ["Eclipse Public License 2.0"],
     **{f"{short}-{v}": [f"GNU {long}", f"version {v.removesuffix('.0')}"] for short, long, v in _GNU_KINDS},
 }
-#: Templates of at most so many words are notices: they must stand in the text in full, word after word.
-NOTICE = 20
+NOTICE_TEXTS = list(notices())
+#: Words of the longest notice.
+NOTICE = max(len(text.split()) for _, text in NOTICE_TEXTS)
 _WORD = re.compile(rb"[a-z0-9]+")
-_GOES_ON = re.compile(rb"\.[0-9]|-[a-z0-9]")
+_GOES_ON = re.compile(rb"\.[0-9]|-(?!only|or-later)[a-z0-9]")
+_SHORT_WORD = re.compile(rb"[a-z]+?(?=v[0-9])|v(?=[0-9])|[a-z]+|[0-9]+")
+_BREAK = re.compile(rb"\.\s|\n\s*\n")
 _SCHEMA = "doc_id long, license string, start long, end long, matched int, coverage double"
 
 
@@ -172,33 +187,80 @@ class Template:
         return all(x in text for x in self.naming)
 
 
-def notice_tree(notices: list[tuple[str, list[bytes]]]) -> dict:
-    """Notices by their words, one level a word; the license's name is under None."""
-    tree: dict = {}
-    for name, words in notices:
-        at = tree
-        for w in words:
-            at = at.setdefault(w, {})
-        at[None] = name
-    return tree
-
-
-def notice_places(tree: dict, words: list[bytes], spans: list[tuple[int, int]], low: bytes) -> Iterator[tuple[int, int, str]]:
-    """(first word, last word, license) of the longest notice at each place; "2" is not the version of "2.1", nor MIT of MIT-0."""
-    done = 0
-    for start, w in enumerate(words):
-        if w not in tree or start < done:
-            continue
-        at, last = tree, None
-        for i in range(start, len(words)):
-            at = at.get(words[i])
-            if at is None:
+class Notice:
+    """A one-sentence notice: its words, and the places of those that must be there."""
+
+    def __init__(self, spdx: str, name: str, version: str):
+        self.name = spdx
+        named, number = _SHORT_WORD.findall(name.encode()), _SHORT_WORD.findall(version.encode())
+        lead = [b"this", b"work", b"is", b"license", b"under", b"the", b"terms", b"of", b"the"]
+        self.words = [*lead, *named, b"license", *([b"version", *number] if number else [])]
+        self.must = [*range(len(lead), len(lead) + len(named)), *range(len(self.words) - len(number), len(self.words))]
+        self.anchor = max(named, key=lambda w: (w not in BETWEEN, len(w)))
+
+
+class Notices:
+    """Notices by the word that each is looked for at."""
+
+    def __init__(self, names=NAMES):
+        self.at: dict[bytes, list[Notice]] = {}
+        self.naming: set[bytes] = set()
+        for spdx, of, versions in names:
+            for name in of:
+                for version in dict.fromkeys(x for v in versions for x in (v, v.removesuffix(".0"))) or ("",):
+                    full = next((v for v in versions if version in (v, v.removesuffix(".0"))), "")
+                    notice = Notice(spdx.format(full), name, version)
+                    self.at.setdefault(notice.anchor, []).append(notice)
+                    self.naming |= {notice.words[i] for i in notice.must}
+
+    def places(self, low: bytes) -> Iterator[tuple[int, int, str, int]]:
+        """(start, end, license, words matched) of the notices in a text, in bytes; of those at one place the longest name."""
+        spans = [m.span() for m in _SHORT_WORD.finditer(low)]
+        words = [low[a:b] for a, b in spans]
+        plain = [b"license" if w in LICENSING else w for w in words]
+        for i, w in enumerate(words):
+            if w in self.at and any(x == b"license" or x in PUBLISHING for x in plain[max(0, i - 14) : i + 8]):
+                begin, end = i, i + 1  # of the same sentence, to the next place of the word
+                while begin > max(0, i - 14) and words[begin - 1] != w and not _BREAK.search(low, spans[begin - 1][1], spans[begin][0]):
+                    begin -= 1
+                while end < min(len(words), i + 14) and words[end] != w and not _BREAK.search(low, spans[end - 1][1], spans[end][0]):
+                    end += 1
+                found = [f for n in self.at[w] if (f := self._found(n, plain, spans, low, begin, i, end))]
+                if found:
+                    yield max(found, key=lambda f: (f[3], f[0]))
+
+    def _found(self, notice: Notice, plain: list[bytes], spans: list[tuple[int, int]], low: bytes, begin: int, anchor: int, end: int) -> tuple[int, int, str, int] | None:
+        # The word looked for is an anchor as it stands; either side is aligned for itself.
+        k = next(j for j in notice.must if notice.words[j] == notice.anchor)
+        before = align(notice.words[:k][::-1], [b"license" if w in PUBLISHING else w for w in plain[begin:anchor]][::-1])
+        after = align(notice.words[k + 1 :], plain[anchor + 1 : end])
+        at = {k - 1 - x: anchor - 1 - y for x, y in before} | {k: anchor} | {k + 1 + x: anchor + 1 + y for x, y in after}
+        if any(j not in at for j in notice.must):
+            return None
+        own = sorted(at[j] for j in notice.must)
+        free = BETWEEN | {b"license"}
+        if own != [at[j] for j in notice.must] or any(plain[p] not in free for p in range(own[0], own[-1]) if p not in own) or _GOES_ON.match(low, spans[own[-1]][1]):
+            return None
+        first, last = own[0], own[-1]
+        joined = any(plain[p] == b"license" for p in range(first, last + 1))
+        q = last + 1
+        while q < min(len(plain), last + 4) and plain[q] in AFTER and not _BREAK.search(low, spans[q - 1][1], spans[q][0]):
+            q += 1
+        if q < len(plain) and plain[q] == b"license" and not _BREAK.search(low, spans[q - 1][1], spans[q][0]):
+            last, joined = q, True
+        p, under, other = first - 1, False, False
+        while p >= begin and (plain[p] in free or plain[p] in PUBLISHING or plain[p] in self.naming or plain[p].isdigit()) and not _BREAK.search(low, spans[p][1], spans[p + 1][0]):
+            under, other = under or plain[p] == b"under", other or plain[p] in (b"and", b"or") or plain[p].isdigit() or plain[p] in self.naming - BETWEEN
+            if plain[p] == b"license" or (plain[p] in PUBLISHING and under):
+                first, joined = first if other else p, True  # a word that another license stands next to is shared with it
                 break
-            if None in at and not _GOES_ON.match(low, spans[i][1]):
-                last = i, at[None]
-        if last:
-            done = last[0] + 1
-            yield start, *last
+            p -= 1
+        if joined and first >= 3 and plain[first - 3 : first] == [b"this", b"work", b"is"]:
+            first -= 3
+        begun = p if joined and p >= begin and plain[p] in PUBLISHING | {b"license"} else first
+        if not joined or any(plain[q] in DENIALS and not _BREAK.search(low, spans[q][1], spans[begun][0]) for q in range(max(0, begun - 3), begun)):
+            return None
+        return spans[first][0], spans[last][1], notice.name, len(at)
 
 
 def windows(template: Template, words: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -247,7 +309,7 @@ def places(template: Template, words: list[bytes], coverage: float) -> Iterator[
             yield first, last, matched
 
 
-def scan_text(text: bytes, templates: list[Template], notices: dict, guards: list[bytes], coverage: float) -> list[tuple[str, int, int, int, float]]:
+def scan_text(text: bytes, templates: list[Template], notices: Notices | dict, guards: list[bytes], coverage: float) -> list[tuple[str, int, int, int, float]]:
     """(license, start, end, matched, coverage) in characters; of findings that overlap the best covered, then the longest."""
     low = text.lower()
     if not any(g in low for g in guards):
@@ -255,7 +317,7 @@ def scan_text(text: bytes, templates: list[Template], notices: dict, guards: lis
     spans = [m.span() for m in _WORD.finditer(low)]
     words = [low[a:b] for a, b in spans]
     there = set(words)
-    found = [(-1.0, a - b - 1, spans[a][0], spans[b][1], name) for a, b, name in notice_places(notices, words, spans, low)]
+    found = [(-1.0, -k, a, b, name) for a, b, name, k in (notices.places(low) if notices else ())]
     for t in templates:
         if len(there) >= t.least and len(t.distinct & there) >= t.least:
             found += [(-k / max(len(t.words), b - a + 1), -k, spans[a][0], spans[b][1], t.name) for a, b, k in places(t, words, coverage)]
@@ -270,18 +332,18 @@ def scan_text(text: bytes, templates: list[Template], notices: dict, guards: lis
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license found in a whole text: doc_id, license, start, end (characters), matched words, coverage.
 
-    Words are runs of a-z and 0-9 in lower case. ``coverage`` is that of texts of more than ``NOTICE`` words; shorter ones stand in
-    full, and words that ``NAMING`` gives for a license without gaps. Null and empty texts have none; a license that a text holds twice is found
+    Words are runs of a-z and 0-9 in lower case. ``coverage`` is that of license texts, in which the words that ``NAMING``
+    gives stand without gaps; of a notice the words that name the license are all there, so its coverage is 1. A denied
+    notice is none, nor is a name without the version that it needs. Null and empty texts have none; a license that a text holds twice is found
     twice; repeated rows give repeated findings; a null identifier is carried. Other columns are not read. An empty table
     gives an empty result. Everything is on the map side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = [(name, text, _WORD.findall(text.lower().encode())) for name, text in templates]
-        known = [Template(name, text, coverage) for name, text, words in split if len(words) > NOTICE]
-        short = [(name, words) for name, _, words in split if 0 < len(words) <= NOTICE]
-        notices = notice_tree(short)
-        guards = sorted({g for t in known for g in t.guard} | {max(words, key=len) for _, words in short}, key=lambda g: (-len(g), g))
+        short = {text for _, text in NOTICE_TEXTS}
+        known = [Template(name, text, coverage) for name, text in templates if text not in short]
+        notices = Notices() if any(text in short for _, text in templates) else {}
+        guards = sorted({g for t in known for g in t.guard} | ({b"licen", b"under", b"spdx"} if notices else set()), key=lambda g: (-len(g), g))
         guards = [g for g in guards if not any(h in g for h in guards if h != g)]  # a word with another inside adds nothing
         for block in blocks(batches, "text", 8 << 20):
             rows = []

@@ -152,3 +152,31 @@ def test_two_copies_are_two_findings():
     assert [g[0] for g in scan(f"{mit} {mit}")] == ["MIT", "MIT"]
     assert [g[0] for g in scan(f"{mit} {'between words ' * 400} {mit[30:]}")] == ["MIT", "MIT"]
     assert L.best_stretch([(0, 0), (50, 60), (51, 61), (52, 62), (54, 63)]) == (1, 4)
+
+
+def test_short_notices_align():
+    found = L.Notices()
+    scan = lambda text: [(r[0], text[r[1] : r[2]]) for r in L.scan_text(text.encode(), [], found, [b"licen", b"under", b"spdx"], 0.8)]
+    cases = {
+        "MIT licensed": [("MIT", "MIT licensed")],
+        "License: MIT": [("MIT", "License: MIT")],
+        "Licensed under the MIT licence": [("MIT", "Licensed under the MIT licence")],
+        "Dual licensed under MIT and Apache-2.0": [("MIT", "licensed under MIT"), ("Apache-2.0", "Apache-2.0")],
+        "Apache License 2.0": [("Apache-2.0", "Apache License 2.0")],
+        "SPDX-License-Identifier: GPL-3.0-or-later": [("GPL-3.0", "License-Identifier: GPL-3.0")],
+        "Licensed under GPLv3": [("GPL-3.0", "Licensed under GPLv3")],
+        "available under the MPL 2.0 or the LGPL v2.1": [("MPL-2.0", "available under the MPL 2.0"), ("LGPL-2.1", "LGPL v2.1")],
+        "Creative Commons Attribution-ShareAlike 4.0 International License": [("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License")],
+        "It is not free. Licensed under the MIT License": [("MIT", "Licensed under the MIT License")],
+    }
+    assert {t: scan(t) for t in cases} == cases
+    none = ["Not licensed under the MIT License", "never released under the ISC license", "Licensed under the Eclipse Public License", "Released under the BSD License", "We moved to MIT. The license came later", "He got a driver license at MIT", "SPDX-License-Identifier: MIT-0", "das ist mit der Lizenz", "licensed under the Apache license 1.1", "released MIT", ""]
+    assert [t for t in none if scan(t)] == []
+
+
+def test_every_notice_is_found_as_itself_in_other_words():
+    found = L.Notices()
+    for name, text in L.NOTICE_TEXTS:
+        for around in (f"Words before. {text}. Words after", f"x, {text}, y", text.upper()):
+            got = L.scan_text(around.encode(), [], found, [b"licen"], 0.8)
+            assert [g[0] for g in got] == [name], (name, around, got)
