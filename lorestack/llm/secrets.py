@@ -194,18 +194,19 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, placeholder: str = PLACEHOLDER, **options) -> DataFrame:
     """``docs`` with every secret that :func:`scan` confirms in a row's text replaced; other rows and columns as they were.
 
-    Null and empty texts stay; repeated rows are redacted alike; rows of one identifier are rid of each other's secrets too.
-    Columns may have any names. An empty table gives an empty result.
+    Null and empty texts stay; repeated rows are redacted alike. What is gathered is one text's: rows of one identifier, or of
+    none, with other texts have secrets of their own. Columns may have any names. An empty table gives an empty result.
     """
-    of, listed = unused(docs.columns, "of", "secrets")
-    secrets = scan(docs, id_col=id_col, text_col=text_col, path_col=path_col, **options).filter("is_secret")
+    of, listed, own = unused(docs.columns, "of", "secrets", "own")
+    docs = docs.withColumn(own, F.xxhash64(F.col(id_col), F.col(text_col)))
+    secrets = scan(docs, id_col=own, text_col=text_col, path_col=path_col, **options).filter("is_secret")
     longest_first = F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), F.col("candidate").alias("s"))), asc=False)
     found = secrets.groupBy("doc_id").agg(longest_first.alias(listed)).withColumnRenamed("doc_id", of)
     # Only a URL's password has fewer than 6 characters: it is replaced between its marks, not as a part of words.
     short = lambda text, s: F.replace(text, F.concat(F.lit(":"), s, F.lit("@")), F.lit(f":{placeholder}@"))
     clean = F.aggregate(listed, F.col(text_col), lambda text, x: F.when(x["n"] < 6, short(text, x["s"])).otherwise(F.replace(text, x["s"], F.lit(placeholder))))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(of)), "left")
-    return joined.withColumn(text_col, F.when(F.col(listed).isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    joined = docs.join(found, F.col(own) == F.col(of), "left")
+    return joined.withColumn(text_col, F.when(F.col(listed).isNull(), F.col(text_col)).otherwise(clean)).select(*(c for c in docs.columns if c != own))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

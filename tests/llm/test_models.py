@@ -245,3 +245,11 @@ def test_pipeline_of_an_empty_table_and_of_odd_columns(spark, tmp_path):
 def test_registry():
     names = {n.split("_")[0] for n in registry.QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)} and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_rows_without_identifier_keep_to_their_own_secrets(spark):
+    rows = [(None, "password = hunter22xyq end"), (None, "a word like hunter22xyq, and no more"), (None, None), (5, "password = other77abk end"), (5, "other77abk stands alone here")]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, own string, of int").repartition(3)
+    got = sorted((r.text or "" for r in secrets.redact(docs).collect()))
+    assert secrets.redact(docs).columns == docs.columns
+    assert got == sorted(["password = [SECRET] end", "a word like hunter22xyq, and no more", "", "password = [SECRET] end", "other77abk stands alone here"])
