@@ -103,3 +103,31 @@ def test_upgrade_is_idempotent(spark):
     once = S.upgrade(chats, "chats")
     assert once.columns == S.upgrade(once, "chats").columns == ["chat_id", "title", "use_global_rag", "use_memory"]
     assert once.first().use_memory
+
+
+def test_each_step_of_an_upgrade_is_made_once(spark):
+    books = spark.createDataFrame([(1, "ready")], "book_id int, status string")
+    chats = spark.createDataFrame([(5,)], "chat_id int")
+    for start in ([], [("books", 10, "status")], [("chats", 4, "use_global_rag"), ("books", 10, "page_count")]):
+        tables, ledger = S.migrate({"books": books, "chats": chats}, spark.createDataFrame(start, S.LEDGER))
+        again, same = S.migrate(tables, ledger)
+        steps = sorted(tuple(r) for r in ledger.collect())
+        assert steps == sorted({(n, v, c) for n in ("books", "chats") for v, c, _, _ in S.VERSIONS[n]}) == sorted(tuple(r) for r in same.collect())
+        assert again["books"].columns == tables["books"].columns and tables["books"].first().status == "ready"
+        made = {c for _, _, c in start}
+        assert ("page_count" in tables["books"].columns) == ("page_count" not in made)
+        assert again["chats"].first().use_memory is True
+
+
+def test_names_that_many_rows_share(spark):
+    files = [(i, "a.txt") for i in range(40)] + [(100 + k, f"a ({k}).txt") for k in (2, 3, 7, 7, 50, 1)] + [(200, "b"), (201, "b"), (202, "b (2)"), (203, "a (02).txt")]
+    got = {r.doc_id: r.stored_name for r in S.unique_names(spark.createDataFrame(list(dict(files).items()), "doc_id long, filename string").repartition(5), spark.createDataFrame([("b",)], "filename string"), ["doc_id"]).collect()}
+    used, literal, want = {"b"}, {n for _, n in dict(files).items()} | {"b"}, {}
+    for i, name in sorted(dict(files).items()):
+        made, n = name, 2
+        stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
+        while made in used or (made != name and made in literal):
+            made, n = f"{stem} ({n}){dot}{ext}", n + 1
+        used.add(made)
+        want[i] = made
+    assert got == want

@@ -71,3 +71,18 @@ def test_questions_that_fill_their_budget_stay(spark, tmp_path):
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.question_id: r for r in registry.QUERIES["r14_assemble_prompts"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2} and not got[1].source_bytes and not got[1].memory_bytes and got[2].source_bytes
+
+
+def test_a_question_that_cannot_be_searched_keeps_the_rest(spark):
+    from lorestack.operators.prompt import assemble_prompts
+
+    questions = spark.createDataFrame([(1, 1, "what?", [1.0, 0.0], True, False, 2048), (2, 2, "what?", None, True, False, 2048), (3, 3, "what?", [1.0], True, False, 2048)], "question_id long, chat_id long, question string, vector array<float>, use_global boolean, use_memory boolean, context int")
+    chunks = spark.createDataFrame([("global", 7, 0, "a found text", [1.0, 0.1])], "namespace string, doc_id long, chunk_index int, text string, vector array<float>")
+    messages = spark.createDataFrame([(c, c * 10, 0, "user", "said before") for c in (1, 2, 3)], "chat_id long, id long, pos long, role string, content string")
+    documents = spark.createDataFrame([(7, "book.txt")], "doc_id long, filename string")
+    attachments = spark.createDataFrame([(c, c + 50, "note.md", "injected_whole", "a note") for c in (1, 2, 3)], "chat_id long, doc_id long, filename string, status string, extracted_text string")
+    turns = spark.createDataFrame([], "answer_id long, question string, answer string")
+    got = {r.question_id: r for r in assemble_prompts(questions, chunks, messages, documents, attachments, turns).collect()}
+    assert [got[i].retrieval_error for i in (1, 2, 3)] == [None, "no_vector", "no_score"]
+    assert "a found text" in got[1].sources and all("a note" in got[i].sources and len(got[i].history) == 1 for i in got)
+    assert not any("a found text" in got[i].sources for i in (2, 3))
