@@ -119,9 +119,25 @@ def test_groups_keep_to_the_budget():
     assert groups.second[3] >= 0 > groups.second[9] and groups.spread == 50
 
 
-def test_equal_hashes_are_hashed_anew(spark):
+def test_hashes_of_tasks_are_those_of_the_dictionary(spark):
     import xxhash
 
-    seed = xxhash.xxh64_intdigest("en".encode(), 42)
-    row = spark.sql("SELECT xxhash64('en', 'word') AS h").first()
-    assert row.h % (1 << 64) == xxhash.xxh64_intdigest(b"word", seed)
+    for lang, attempt in (("en", 0), ("", 1), ("pt é", 2)):
+        seed = xxhash.xxh64_intdigest((lang + "\0" * attempt).encode(), 42)
+        for word in (b"word", b"", "ßé".encode() * 40):
+            df = spark.createDataFrame([(lang, word)], "lang string, word binary")
+            h = df.selectExpr(f"xxhash64(concat(lang, repeat(decode(X'00', 'UTF-8'), {attempt})), word)").first()[0]
+            assert h % (1 << 64) == xxhash.xxh64_intdigest(word, seed)
+
+
+def test_equal_hashes_are_hashed_anew(spark, monkeypatch):
+    real, calls = C.F.xxhash64, []
+
+    def colliding(lang, word):
+        calls.append(1)
+        return C.F.lit(7).cast("long") if len(calls) == 1 else real(lang, word)
+
+    encoded = spark.createDataFrame([("en", bytearray(b""), 0, [b"a", b"b"], [1, 2])], C._ENCODED)
+    monkeypatch.setattr(C.F, "xxhash64", colliding)
+    words, attempt = C._dictionary(encoded)
+    assert attempt == 1 and words.select("h").distinct().count() == 2
