@@ -1,4 +1,4 @@
-"""Token counts by a two-tier lookup on the map side: nothing is shuffled.
+"""Token counts by a two-tier lookup on the map side; only the counts that choose the frequent runs are shuffled.
 
 A tokenizer that drops white space gives every run between white space the same tokens in any text. The first tier is a
 broadcast table of the lengths of frequent runs, at most ``frequent`` entries of at most ``MOST_BYTES`` bytes each (a few
