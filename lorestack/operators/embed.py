@@ -16,7 +16,8 @@ _MODELS: dict = {}
 
 
 def hashing_model(dimensions: int = 64) -> Model:
-    """Words hashed to signed places, unit length: deterministic, for tests and for want of a trained model."""
+    """Words hashed to signed places, unit length: deterministic, for tests and for want of a trained model. Where the signs
+    cancel each other out, and where there is no word, the text as a whole has one place."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions))
@@ -24,8 +25,9 @@ def hashing_model(dimensions: int = 64) -> Model:
             for word in text.lower().split():
                 h = zlib.crc32(word.encode())
                 out[i, h % dimensions] += 1 if h & 0x10000 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
+        for i in np.flatnonzero(~out.any(axis=1)):
+            out[i, zlib.crc32(texts[i].encode()) % dimensions] = 1
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
 
     return embed
 

@@ -59,3 +59,10 @@ def test_streamed_texts_are_whole(spark, duck):
         kept = [w + " " for n, w in enumerate(text.split(" ")) if n % 11 != 5 and n % 13 != 7]
         want[i] = hashlib.md5("".join(kept).encode()).hexdigest()
     assert {r.message_id: r.text_md5 for r in got.collect()} == want and got.filter("done").count() == len(texts)
+
+
+def test_vectors_have_unit_length_where_signs_cancel(spark, tmp_path):
+    docs = [(1, "cr"), (2, "acq cr word"), (3, "acq"), (4, ""), (5, None)]  # "cr" and "acq" cancel the prefix of a passage
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["r01_embed"](spark, str(tmp_path)).collect()))
+    assert got == [(i, 64, 1.0) for i in range(1, 6)]
