@@ -5,69 +5,81 @@ Both take rows in any order: what comes before its turn waits in the state, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a line of a text is: one with or without a delta, the end mark, a cancellation, a broken one.
+_LINE, _DONE, _CANCELLED, _BROKEN = range(4)
 
 
-def _in_order(rows: pd.DataFrame, place: str, at: int) -> tuple[list, list, int]:
-    """Rows from place ``at`` on without a gap, the later ones, and the place that is missing. Repeated places are one."""
-    now, later = [], []
-    for r in rows.drop_duplicates(place).sort_values(place).itertuples(index=False):
-        if getattr(r, place) == at:
-            now.append(r)
-            at += 1
-        elif getattr(r, place) > at:
-            later.append(r)
-    return now, later, at
+def _in_order(rows: Iterable[tuple], at: int) -> tuple[list, list, int]:
+    """Rows from place ``at`` on without a gap, the later ones, and the place that is missing. The first value of a row is
+    its place; repeated places are one, the first that came."""
+    by_place: dict = {}
+    for r in rows:
+        if r[0] is not None and r[0] >= at:
+            by_place.setdefault(r[0], r)
+    now = []
+    while at in by_place:
+        now.append(by_place.pop(at))
+        at += 1
+    return now, [by_place[p] for p in sorted(by_place)], at
 
 
 class _Ordered(StatefulProcessor):
-    """Rows of a key in order of a place that counts from 0, over batches; ``gap_ms`` after a gap it is passed over."""
+    """Rows of a key in order of a place that counts from 0, over batches; ``gap_ms`` after a gap it is passed over.
 
-    place, kind = "", ""
+    A key has one state, read and written once a batch: the place that it waits for, what came early as JSON, and what
+    ``take`` holds, columns of ``held`` that begin as ``blank``.
+    """
+
+    held, blank = "", ()
+    fields: list[str] = []
+    columns: list[str] = []
 
     def __init__(self, gap_ms: int | None):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.next = handle.getValueState("next", "place long")
-        self.late = handle.getListState("late", self.kind)
+        self.state = handle.getValueState("state", ", ".join(filter(None, ["place long, late string", self.held])))
+        self.made = Row(*self.columns)
 
-    def take(self, key: tuple, rows: list) -> list[tuple]:
+    def take(self, key: tuple, rows: list[tuple], held: tuple) -> tuple[list[tuple], tuple]:
+        """What is given out for rows in order, and what is held from now on."""
         raise NotImplementedError
 
-    def _run(self, key: tuple, rows: pd.DataFrame, skip: bool, now_ms: int) -> pd.DataFrame:
-        had = list(self.late.get()) if self.late.exists() else []
-        columns = [c.split()[0] for c in self.kind.split(", ")]
-        whole = pd.concat([pd.DataFrame([tuple(r) for r in had], columns=columns).astype(object), rows[columns].astype(object)], ignore_index=True)
-        at = self.next.get()[0] if self.next.exists() else 0
-        if skip and len(whole):
-            at = max(at, int(whole[self.place].min()))
-        now, later, at = _in_order(whole, self.place, at)
-        if later:
-            self.late.put([tuple(None if pd.isna(x) else x for x in r) for r in later])
-            if self.gap_ms is not None:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(now_ms + self.gap_ms)
-        elif had:
-            self.late.clear()
-        self.next.update((at,))
-        return pd.DataFrame(self.take(key, now), columns=self.columns)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield self._run(key, pd.concat(list(rows), ignore_index=True), False, 0 if self.gap_ms is None else timerValues.getCurrentProcessingTimeInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in self.kind.split(", ")]
-        yield self._run(key, pd.DataFrame(columns=columns), True, timerValues.getCurrentProcessingTimeInMs())
+    def needed(self, later: list[tuple], held: tuple) -> list[tuple]:
+        """Of the rows that came early those that can still be of use."""
+        return later
+
+    def _run(self, key: tuple, rows: Iterable[tuple], skip: bool, now_ms: int) -> Iterator[Row]:
+        at, late, *held = self.state.get() or (0, None, *self.blank)
+        early = json.loads(late) if late else []
+        if skip and early:
+            at = max(at, early[0][0])
+        now, later, at = _in_order([*early, *rows], at)
+        out, held = self.take(key, now, tuple(held))
+        later = self.needed(later, held)
+        if later and self.gap_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now_ms + self.gap_ms)
+        self.state.update((at, json.dumps(later) if later else None, *held))
+        return iter([self.made(*r) for r in out])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        some = [tuple(getattr(r, f) for f in self.fields) for r in rows]
+        return self._run(key, some, False, 0 if self.gap_ms is None else timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._run(key, [], True, timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
         pass
@@ -76,7 +88,7 @@ class _Ordered(StatefulProcessor):
 class Turns(_Ordered):
     """A question waits until its answer comes; a newer one takes its place, and after ``ttl_ms`` it is forgotten."""
 
-    place, kind = "pos", "pos long, id long, role string, content string"
+    fields = ["pos", "id", "role", "content"]
     columns = ["chat_id", "answer_id", "question", "answer"]
 
     def __init__(self, gap_ms: int | None, ttl_ms: int | None):
@@ -87,49 +99,54 @@ class Turns(_Ordered):
         super().init(handle)
         self.question = handle.getValueState("question", "content string", self.ttl_ms)
 
-    def take(self, key: tuple, rows: list) -> list[tuple]:
-        held = self.question.get()[0] if self.question.exists() else None
-        waiting, out = held, []
-        for r in rows:
-            if r.role == "user":
-                waiting = r.content
-            elif r.role == "assistant":
+    def take(self, key: tuple, rows: list[tuple], held: tuple) -> tuple[list[tuple], tuple]:
+        if not rows:
+            return [], held
+        had = (self.question.get() or (None,))[0]
+        waiting, out = had, []
+        for _, ident, role, content in rows:
+            if role == "user":
+                waiting = content
+            elif role == "assistant":
                 if waiting is not None:
-                    out.append((key[0], int(r.id), waiting, r.content))
+                    out.append((key[0], ident, waiting, content))
                 waiting = None
-        if waiting is None and held is not None:
+        if waiting is None and had is not None:
             self.question.clear()
-        elif waiting is not None and waiting is not held:
+        elif waiting is not None and waiting is not had:
             self.question.update((waiting,))
-        return out
+        return out, held
 
 
 class Texts(_Ordered):
     """An answer's text as its lines come, given out after each batch; the end mark or a cancellation ends it, and what comes
-    after that is left out. A cancelled text keeps what came."""
+    after that is left out and not kept. A cancelled text keeps what came."""
 
-    place, kind = "seq", "seq long, delta string, done boolean, cancelled boolean, error string"
+    fields = ["seq", "delta", "mark"]
+    held, blank = "text string, errors long, lines long, done boolean, cancelled boolean", ("", 0, 0, False, False)
     columns = ["message_id", "text", "done", "cancelled", "errors", "lines"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.text = handle.getValueState("text", "text string, errors long, lines long, done boolean, cancelled boolean")
-
-    def take(self, key: tuple, rows: list) -> list[tuple]:
-        text, errors, lines, done, cancelled = self.text.get() if self.text.exists() else ("", 0, 0, False, False)
+    def take(self, key: tuple, rows: list[tuple], held: tuple) -> tuple[list[tuple], tuple]:
+        text, errors, lines, done, cancelled = held
         if done or not rows:
-            return []
+            return [], held
         parts = [text]
-        for r in rows:
+        for _, delta, mark in rows:
             lines += 1
-            if r.done or r.cancelled:
-                done, cancelled = True, bool(r.cancelled)
+            if mark in (_DONE, _CANCELLED):
+                done, cancelled = True, mark == _CANCELLED
                 break
-            parts.append(r.delta if isinstance(r.delta, str) else "")
-            errors += isinstance(r.error, str)
+            parts.append(delta or "")
+            errors += mark == _BROKEN
         text = "".join(parts)
-        self.text.update((text if not done else "", errors, lines, done, cancelled))  # a text that is given out whole isn't kept
-        return [(key[0], text, done, cancelled, errors, lines)]
+        # A text that is given out whole isn't kept.
+        return [(key[0], text, done, cancelled, errors, lines)], ("" if done else text, errors, lines, done, cancelled)
+
+    def needed(self, later: list[tuple], held: tuple) -> list[tuple]:
+        if held[3]:
+            return []
+        end = next((i for i, r in enumerate(later) if r[2] in (_DONE, _CANCELLED)), len(later))
+        return later[: end + 1]
 
 
 def _by_key(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str | StructType, timed: bool) -> DataFrame:
@@ -137,7 +154,7 @@ def _by_key(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str
     conf = rows.sparkSession.conf
     if conf.get("spark.sql.streaming.stateStore.providerClass", "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
         conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if timed else "None")
+    return rows.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if timed else "None")
 
 
 def stream_turns(messages: DataFrame, gap_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
@@ -150,4 +167,5 @@ def stream_turns(messages: DataFrame, gap_ms: int | None = None, ttl_ms: int | N
 def stream_texts(tokens: DataFrame, gap_ms: int | None = None) -> DataFrame:
     """(message_id, text, done, cancelled, errors, lines) after each batch in which a message got on: its text so far. Of
     tokens see :func:`lorestack.streaming.jobs.parse_tokens` with every line; ``seq`` counts from 0."""
-    return _by_key(tokens.select("message_id", "seq", "delta", "done", "cancelled", "error"), "message_id", Texts(gap_ms), "message_id long, text string, done boolean, cancelled boolean, errors long, lines long", gap_ms is not None)
+    mark = F.when(F.col("done"), _DONE).when(F.col("cancelled"), _CANCELLED).when(F.col("error").isNotNull(), _BROKEN).otherwise(_LINE)
+    return _by_key(tokens.select("message_id", "seq", "delta", mark.alias("mark")), "message_id", Texts(gap_ms), "message_id long, text string, done boolean, cancelled boolean, errors long, lines long", gap_ms is not None)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorestack.operators import tables as B
+from lorestack.plans import job_queries as Q
 from lorestack.streaming import jobs as J
 from lorestack.streaming import stateful as T
 
@@ -147,3 +148,40 @@ def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     with pytest.raises(RuntimeError):
         B._commit(spark, path, {**state, "version": state["version"] + 1})
     assert B.vacuum(spark, path) > 0 and rows() == {k: v for k, v in want.items() if k[0] != 9}
+
+
+def test_a_key_reads_and_writes_its_state_once_a_batch():
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Handle:  # has no other kind of state
+        def getValueState(self, name, schema):
+            return Value()
+
+    texts = T.Texts(None)
+    texts.init(Handle())
+    run = lambda rows: [tuple(r) for r in texts._run((1,), rows, False, 0)]
+    late = [(i, f"{i} ", 0) for i in range(1, 100)]
+    assert run([*reversed(late), (100, None, 1), (101, "never", 0)]) == [] and texts.state.calls == 2
+    assert "never" not in texts.state.held[1]  # what comes after the end mark isn't kept
+    assert run([(0, "0 ", 0), (0, "again", 0)]) == [(1, "".join(f"{i} " for i in range(100)), True, False, 0, 101)]
+    assert texts.state.calls == 4 and texts.state.held == (101, None, "", 0, 101, True, False)
+
+
+def test_streams_of_larger_tables_have_more_files_and_no_more_batches(spark, tmp_path, monkeypatch):
+    rows, path = spark.range(0, 1200, 1, 6).withColumn("half", F.col("id") % 2), str(tmp_path / "in")
+    monkeypatch.setattr(Q, "_folder", lambda spark: path)
+    stream = Q._stream(spark, rows)
+    assert len(spark.read.parquet(path).inputFiles()) == 24  # four for each part of the table
+    out = str(tmp_path / "out")
+    got = J.run_available(stream, out, "append", str(tmp_path / "c"))
+    assert sorted(r.id for r in got.collect()) == list(range(1200))
+    assert len([x for x in os.listdir(out) if x.startswith("batch=")]) == 2
