@@ -14,10 +14,11 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorestack.functions.text import repair_hyphens
+from lorestack.functions.text import repair_hyphens, window_words, words
+from lorestack.session import materialise
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _CONTAINER = "META-INF/container.xml"
@@ -63,6 +64,72 @@ def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] |
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string").withColumn("text", repair_hyphens(F.col("text")))
 
 
+#: Kinds of plain text, which need not be whole in one place to be read.
+LINES = ("txt", "md")
+
+
+def kind_of(path: Column) -> Column:
+    """The extension of a path in lower case."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def line_chunks(spark: SparkSession, paths: list[str], max_tokens: int = 512, overlap_tokens: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Chunks (address, chunk_index, text) of text files, and (address, error) of each that has a line: what :func:`extract_text`
+    and :func:`lorestack.functions.text.chunks` give, without a whole file in a task.
+
+    Files are read in the splits that Spark makes of them. A split numbers the words of its lines; what earlier splits of a
+    file have is a row for each split. A line gives each chunk that it reaches its words, and a chunk is put together from
+    those: it has ``max_tokens`` however long its file is. A word that is broken by a hyphen at the end of a line is one word
+    with the start of the next. A byte order mark is no part of the text. Longest of all that is held is a line.
+    An address is what ``_metadata.file_path`` says, which is not spelt as the path is.
+    """
+    window, step = window_words(max_tokens, overlap_tokens)
+    value, n = F.col("value"), F.col("n")
+    quoted = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # a path is no pattern
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(quoted)
+    lines = read.select(F.col("_metadata.file_path").alias("address"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    lines = materialise(
+        lines.withColumns({
+            "n": F.size(words(repair_hyphens(value))),
+            "ends": value.rlike(r"\p{IsAlphabetic}-\z"),
+            "starts": value.rlike(r"\A[\p{IsAlphabetic}&&\p{IsLowercase}]"),
+            "bad": ~F.is_valid_utf8(value),
+            "full": value.rlike(r"(?U)[^\s\x1c-\x1f]"),
+        })
+    )
+    blocks = Window.partitionBy("address").orderBy("block")
+    edges = lines.groupBy("address", "block").agg(F.max_by("ends", "row").alias("e"), F.min_by("starts", "row").alias("s"))
+    edges = edges.select("address", "block", F.lag("e").over(blocks).alias("came"), F.lead("s").over(blocks).alias("goes"))
+    inside = Window.partitionBy("address", "block").orderBy("row")
+    glued = F.col("starts") & F.coalesce(F.lag("ends").over(inside), F.col("came"), F.lit(False))
+    cut = F.col("ends") & F.coalesce(F.lead("starts").over(inside), F.col("goes"), F.lit(False))
+    marked = lines.join(F.broadcast(edges), ["address", "block"]).withColumns({"glued": glued, "cut": cut})
+    numbered = materialise(marked.withColumn("own", F.sum(n - F.col("glued").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0))))
+    totals = numbered.groupBy("address", "block").agg(F.sum(n - F.col("glued").cast("long")).alias("net"), F.bool_or("bad").alias("bad"), F.bool_or("full").alias("full"))
+    totals = materialise(totals)
+    files = totals.groupBy("address").agg(F.sum("net").alias("all"), F.when(F.bool_or("bad"), "unreadable").when(~F.bool_or("full"), "no_text").alias("error"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("all") - window) / step)).cast("long").alias("last")
+    before = totals.select("address", "block", F.coalesce(F.sum("net").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = before.join(files.filter("error is null").select("address", last), "address")
+
+    text = repair_hyphens(F.when(F.col("cut"), F.expr("left(value, length(value) - 1)")).otherwise(value))
+    begin = F.col("begin")
+    fewest = F.when(begin < window, F.lit(0)).otherwise(F.floor((begin - window) / step) + 1).cast("long")
+    most = F.least(F.floor((begin + n - 1) / step), F.col("last"))
+
+    def part(w: Column, i: Column) -> Column:
+        start, end = F.greatest(begin, i * step), F.least(begin + n, i * step + window)
+        own = F.array_join(F.slice(w, (start - begin + 1).cast("int"), (end - start).cast("int")), " ")
+        return F.struct(i.cast("int").alias("chunk_index"), ((start == begin) & F.col("glued")).alias("glued"), own.alias("part"))
+
+    placed = numbered.filter("n > 0").join(F.broadcast(before), ["address", "block"]).withColumn("begin", F.col("before") + F.col("own") - n)
+    each = F.get(F.transform(F.array(words(text)), lambda w: F.transform(F.sequence(fewest, most), lambda i: part(w, i))), 0)
+    parts = placed.select("address", "block", "row", F.explode(each).alias("x")).select("address", "block", "row", "x.*")
+    whole = parts.groupBy("address", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("block", "row", "glued", "part"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p, j: F.concat(F.when((j == 0) | p["glued"], "").otherwise(" "), p["part"])), "")
+    return whole.select("address", "chunk_index", joined.alias("text")), files.select("address", "error")
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 

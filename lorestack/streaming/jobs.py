@@ -14,12 +14,16 @@ from lorestack.operators.embed import embed, hashing_model
 from lorestack.operators.store import read_or_empty
 from lorestack.operators.tables import merge_partitions, read_table, upsert_table
 from lorestack.session import materialise
-from lorestack.sources.files import extract_text
+from lorestack.sources.files import LINES, extract_text, kind_of, line_chunks
 
 
 def ingest(files: DataFrame, factory: Callable = hashing_model, namespace: str = "global") -> DataFrame:
     """Chunk rows with vectors of (doc_id, text) rows; works on a stream and on a table."""
     each = files.filter("text is not null").select(F.lit(namespace).alias("namespace"), "doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
+    return _embedded(each, factory)
+
+
+def _embedded(each: DataFrame, factory: Callable) -> DataFrame:
     return each.select("namespace", "doc_id", "chunk_index", "text", embed(F.col("text"), factory).alias("vector"))
 
 
@@ -44,15 +48,27 @@ def start_file_ingest(spark: SparkSession, folder: str, path: str, status_path:
     """Files that arrive under ``folder`` into the chunk table at ``path``, and a status row for each at ``status_path``.
 
     A file that can't be read, or holds no text, is an ``error`` row with its reason; the others go on. ``key`` gives a
-    file's doc_id from its path (else a hash of it). Batches may be run again: each overwrites its own folders.
+    file's doc_id from its path (else a hash of it). Batches may be run again: each overwrites its own folders. Text files
+    without a reader of the caller's are read in parts, so no task holds a whole one; files of other kinds are read whole.
     """
     kind = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder).select("*", F.col("_metadata.file_path").alias("address"))
     ident = (F.xxhash64("path") if key is None else key).cast("long").alias("doc_id")
 
+    by_line = kind_of(F.col("path")).isin([k for k in LINES if k not in (readers or {})])
+
     def write(batch: DataFrame, number: int) -> None:
-        parsed = materialise(extract_text(batch, readers).select(ident, "path", "text", "error"))  # read and parsed once
-        upsert_table(batch.sparkSession, ingest(parsed, factory), path)
+        spark = batch.sparkSession
+        parsed = materialise(extract_text(batch.filter(~by_line), readers).select(ident, "path", "text", "error"))  # read and parsed once
+        made, parsed = ingest(parsed, factory), parsed.select("doc_id", "path", "error")
+        if paths := [r.path for r in batch.filter(by_line).select("path").collect()]:  # names alone
+            chunked, known = line_chunks(spark, paths)
+            files = materialise(batch.filter(by_line).select("path", "address"))
+            chunked = chunked.join(F.broadcast(files), "address").select(F.lit("global").alias("namespace"), ident, "chunk_index", "text")
+            made = made.unionByName(_embedded(chunked, factory))
+            files = files.join(known.withColumn("_read", F.lit(True)), "address", "left")  # an empty file has no line
+            parsed = parsed.unionByName(files.select(ident, "path", F.when(F.col("_read").isNull(), "no_text").otherwise(F.col("error")).alias("error")))
+        upsert_table(spark, made, path)
         status = parsed.select("doc_id", "path", F.when(F.col("error").isNull(), "ready").otherwise("error").alias("status"), F.col("error").alias("error_message"))
         status.write.mode("overwrite").parquet(f"{status_path}/batch={number}")
 

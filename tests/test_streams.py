@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lorestack.functions.text import repair_hyphens
 from lorestack.operators import tables as B
 from lorestack.plans import job_queries as Q
 from lorestack.streaming import jobs as J
@@ -185,3 +186,27 @@ def test_streams_of_larger_tables_have_more_files_and_no_more_batches(spark, tmp
     got = J.run_available(stream, out, "append", str(tmp_path / "c"))
     assert sorted(r.id for r in got.collect()) == list(range(1200))
     assert len([x for x in os.listdir(out) if x.startswith("batch=")]) == 2
+
+
+def test_text_files_are_read_in_parts(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "Bee", "see-", "d\u00e9", "-", "e-", "x- y", "\u2003"])
+    folder = tmp_path / "in" / "some [1] {a,b}* %20"
+    folder.mkdir(parents=True)
+    texts = {1: "".join(word() + rng.choice(" \n \n\n\t") for _ in range(6000)), 2: "one-\ntwo-\nthree", 3: " ".join(["w"] * 384), 4: "\n".join(["w"] * 385), 5: "up-\nDown-", 6: " \n\u2003\n"}
+    for k, text in texts.items():
+        (folder / f"{k}.{'txt' if k % 2 else 'MD'}").write_bytes(text.encode())
+    (folder / "8.txt").write_bytes(b"fine\nbad \xff\nfine")
+    (folder / "9.pdf").write_bytes(b"?")
+    real = J.extract_text
+    monkeypatch.setattr(J, "extract_text", lambda files, readers=None: real(files.filter(~F.col("path").rlike("(?i)[.](txt|md)$")), readers))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # many splits of one file
+    try:
+        J.start_file_ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "s"), str(tmp_path / "c"), key=F.regexp_extract("path", r"(\d+)\.\w+$", 1)).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted((r.doc_id, r.chunk_index, r.text) for r in J.read_chunks(spark, str(tmp_path / "t")).collect())
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("text", repair_hyphens(F.col("text")))
+    assert got == sorted((r.doc_id, r.chunk_index, r.text) for r in J.ingest(rows).collect()) and len([g for g in got if g[0] == 1]) > 9
+    said = {r.doc_id: r.error_message for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    assert said == {1: None, 2: None, 3: None, 4: None, 5: None, 6: "no_text", 8: "unreadable", 9: "unsupported"}
