@@ -60,7 +60,8 @@ def read_table(spark: SparkSession, path: str, parts: list[str] | None = None) -
 def merge_partitions(spark: SparkSession, new: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
     """Rewrite the partitions that ``new`` touches as ``merge(old rows, new rows)`` and commit; how many were rewritten.
 
-    ``keys`` are columns of ``new`` with few values each, which name the partition; they are listed on the driver.
+    ``keys`` are columns of ``new`` with few values each, which name the partition; they are listed on the driver. A large
+    partition is written by several tasks, so what a task reads doesn't grow with the table.
     """
     state = manifest(spark, path)
     name = F.concat_ws("/", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys))
@@ -72,7 +73,7 @@ def merge_partitions(spark: SparkSession, new: DataFrame, path: str, keys: list[
     write = f"data-{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
     rows = merge(old.select(*new.columns), new).select(*new.columns)
     copies = [F.col(k).alias(f"_{k}") for k in keys]
-    rows.select("*", *copies).repartition(max(1, len(touched)), *(f"_{k}" for k in keys)).write.partitionBy(*(f"_{k}" for k in keys)).parquet(f"{path}/{write}")
+    rows.select("*", *copies).hint("rebalance", *(F.col(f"_{k}") for k in keys)).write.partitionBy(*(f"_{k}" for k in keys)).parquet(f"{path}/{write}")
     fs, at = _fs(spark, path)
     parts = dict(state["parts"])
     for p in touched:
@@ -112,7 +113,7 @@ def delete_from_table(spark: SparkSession, gone: DataFrame, path: str, buckets:
 
 def _replace(spark: SparkSession, rows: DataFrame, path: str, state: dict, names: list[str]) -> int:
     write = f"data-{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-    rows.withColumn("_bucket", F.col("bucket")).repartition(len(names), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{write}")
+    rows.withColumn("_bucket", F.col("bucket")).hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{path}/{write}")
     fs, at = _fs(spark, path)
     parts = dict(state["parts"])
     for p in names:

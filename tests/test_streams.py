@@ -210,3 +210,15 @@ def test_text_files_are_read_in_parts(spark, tmp_path, monkeypatch):
     assert got == sorted((r.doc_id, r.chunk_index, r.text) for r in J.ingest(rows).collect()) and len([g for g in got if g[0] == 1]) > 9
     said = {r.doc_id: r.error_message for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert said == {1: None, 2: None, 3: None, 4: None, 5: None, 6: "no_text", 8: "unreadable", 9: "unsupported"}
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = spark.range(0, 20_000, 1, 8).select(F.lit("global").alias("namespace"), F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        assert B.upsert_table(spark, rows, path) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    got = B.read_table(spark, path)
+    assert len(got.inputFiles()) > 3 and got.drop("bucket").exceptAll(rows).isEmpty() and got.count() == 20_000
