@@ -14,13 +14,17 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from lorestack.session import materialise
 
 POSITION = ["namespace", "doc_id", "chunk_index"]
+#: Chunks of small namespaces that are dealt to one task together.
+_SHARED = 8192
 
 
-def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = [], tile: int = 8192, block: int = 2048, tables: int = 0, width: float | None = None) -> DataFrame:
+def knn_search(chunks: DataFrame, questions: DataFrame, k: Column | int = 4, carry: list[str] = [], tile: int = 32768, block: int = 65536, tables: int = 0, width: float | None = None) -> DataFrame:
     """The ``k`` nearest chunks of each (question_id, namespace) by squared L2 distance, ties by position.
 
     The vectors of a namespace are dealt to tiles of about ``tile`` chunks and ``block`` questions; in each a matrix product
-    finds what may be among the nearest, and only that is measured exactly. Small namespaces share a tile. A window ranks
+    finds what may be among the nearest, and only that is measured exactly. Small namespaces share a tile. Chunks are copied
+    once a block of questions and questions once a tile, so large ones keep the shuffle low: with the defaults a task holds
+    about 50 MB of vectors of 64 numbers, and all pairs are compared however they are cut. A window ranks
     what the tiles hand on, k rows a question, and ``carry`` joins the chunks' other columns to the nearest alone, by
     position, which is the key of a chunk. ``k`` may be a column of the questions. Vectors that are null or of another size
     have no score: distance NaN, after all others.
@@ -51,7 +55,7 @@ def _tiled(stored: DataFrame, asked: DataFrame, tile: int, block: int) -> DataFr
     part = [F.col("namespace"), *([F.col("_bucket")] if "_bucket" in stored.columns else [])]
     names = ["namespace", *(["_bucket"] if "_bucket" in stored.columns else [])]
     sizes = materialise(stored.groupBy(*names).agg(F.count("*").alias("_n")).join(asked.groupBy(*names).agg(F.count("*").alias("_q")), names))
-    small = max(1, -(-(sizes.filter(F.col("_n") <= tile).agg(F.sum("_n").alias("n")).first().n or 0) // tile))
+    small = max(1, -(-(sizes.filter(F.col("_n") <= tile).agg(F.sum("_n").alias("n")).first().n or 0) // _SHARED))
     large = sizes.filter((F.col("_n") > tile) | (F.col("_q") > block)).select(*names, F.ceil(F.col("_n") / tile).alias("_tiles"), F.ceil(F.col("_q") / block).alias("_blocks"))
     one = F.lit(1).cast("long")
     count = lambda c: F.coalesce(F.col(c), one)
@@ -100,9 +104,12 @@ def _nearest(stored: pa.Table, asked: pa.Table) -> pa.Table:
     spaces = {s: i for i, s in enumerate(pc.unique(asked["_space"]).to_pylist())}
     of = lambda t: np.array([spaces.get(s, -1) for s in t["_space"].to_pylist()], dtype=np.int64)
     of_chunk, of_question, ks = of(stored), of(asked), asked["k"].to_numpy()
-    position = np.lexsort((stored["chunk_index"].to_numpy(), stored["doc_id"].to_numpy()))
+    position = np.lexsort((stored["chunk_index"].to_numpy(), stored["doc_id"].to_numpy(), of_chunk))
+    asking_in = np.argsort(of_question, kind="stable")
+    ids = np.arange(len(spaces))
+    own = [(at, np.searchsorted(of[at], ids, "left"), np.searchsorted(of[at], ids, "right")) for at, of in ((position, of_chunk), (asking_in, of_question))]
     for s in spaces.values():
-        rows, mine = position[of_chunk[position] == s], np.flatnonzero(of_question == s)  # in order of position
+        rows, mine = (at[start[s] : end[s]] for at, start, end in own)  # in order of position
         if not len(rows):
             continue
         by_size = _matrix(stored["vector"].take(pa.array(rows)))
@@ -132,15 +139,30 @@ def _nearest(stored: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table(columns, names=names)
 
 
-def _candidates(asking: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that hold the k nearest of each row of ``asking`` for certain, those of equal distance with them."""
+def _candidates(asking: np.ndarray, stored: np.ndarray, k: int, group: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold the k nearest of each row of ``asking`` for certain, those of equal distance with them.
+
+    Distances are rough, in single precision where the lengths allow it, with twice what rounding can shift them as slack.
+    The k-th of the least of each group of rows is no nearer than the k-th nearest, so what is within it holds them all.
+    """
     if len(stored) <= k or not (np.isfinite(asking).all() and np.isfinite(stored).all()):
         return np.repeat(np.arange(len(asking)), len(stored)), np.tile(np.arange(len(stored)), len(asking))
     a, b = (asking**2).sum(axis=1), (stored**2).sum(axis=1)
-    rough = a[:, None] + b[None, :] - 2 * (asking @ stored.T)
-    slack = (a + b.max()) * 1e-15 * 8 * (stored.shape[1] + 4)  # more than rounding can shift a distance
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
-    return np.nonzero(rough <= limit[:, None])
+    n = stored.shape[1]
+    single = max(a.max(), b.max()) < 1e30 and b.max() > 1e-20
+    kind, unit = (np.float32, 2.0**-24) if single else (np.float64, 2.0**-53)
+    rough = (-2 * asking).astype(kind) @ stored.astype(kind).T
+    rough += b.astype(kind)[None, :]  # the question's own length is the same for all
+    slack = (a + b.max()) * unit * 4 * (n + 8)  # more than rounding can shift a distance
+    whole = len(stored) // group * group
+    if whole // group >= k:
+        least = rough[:, :whole].reshape(len(asking), group, -1).min(axis=1)
+    else:
+        least = rough
+    limit = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack
+    edge = limit.astype(kind)
+    edge = np.where(edge < limit, np.nextafter(edge, kind(np.inf)), edge)
+    return np.divmod(np.flatnonzero(rough <= edge[:, None]), len(stored))
 
 
 def near_buckets(stored: DataFrame, asked: DataFrame, tables: int, width: float | None = None, together: int = 3, seed: int = 11) -> tuple[DataFrame, DataFrame]:

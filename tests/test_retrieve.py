@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from lorestack.operators.retrieve import knn_search
+from lorestack.operators import retrieve
+from lorestack.operators.retrieve import _candidates, knn_search
 
 CHUNKS = "namespace string, doc_id long, chunk_index int, text string, vector array<float>"
 QUESTIONS = "question_id long, namespace string, vector array<float>, k int"
@@ -76,3 +78,27 @@ def test_recall_of_the_approximate_mode(spark):
     assert near.groupBy("question_id").count().filter("count > 10").count() == 0
     recall = len(exact & place(near)) / len(exact)
     assert recall >= 0.9, recall
+
+
+def test_candidates_hold_the_nearest_at_every_scale():
+    rng = np.random.default_rng(3)
+    for scale in (1, 1e-12, 1e-30, 1e25, 1e140):
+        for n, k, size in ((5000, 4, 64), (100, 8, 3), (9, 8, 16), (700, 1, 1)):
+            stored, asking = (np.round(rng.standard_normal((m, size)), 1) * scale for m in (n, 20))
+            asking[0] = 0
+            far = ((asking[:, None] - stored[None]) ** 2).sum(axis=2)
+            got = np.zeros(far.shape, dtype=bool)
+            got[_candidates(asking, stored, k)] = True
+            assert got[far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]].all()
+            assert n < 5000 or got.sum() < 20 * 3 * k
+
+
+def test_vectors_are_copied_a_few_times(spark, monkeypatch):
+    seen = []
+    real = retrieve._tiled
+    monkeypatch.setattr(retrieve, "_tiled", lambda stored, asked, tile, block: seen.append((tile, block)) or real(stored, asked, tile, block))
+    chunks = spark.createDataFrame([("a", i, 0, [float(i)]) for i in range(9)], "namespace string, doc_id long, chunk_index int, vector array<double>")
+    got = knn_search(chunks, spark.createDataFrame([(1, "a", [3.2])], "question_id long, namespace string, vector array<double>"), 2).collect()
+    assert sorted((r.place, r.doc_id) for r in got) == [(1, 3), (2, 4)]
+    (tile, block), chunks, questions = seen[0], 5_800_000, 205_000  # of a table of 6 GB
+    assert 520 * (chunks * -(-questions // block) + questions * -(-chunks // tile)) < 35e9
