@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorestack.functions import markup as M
 from lorestack.functions import text as X
 from lorestack.operators import structure
-from lorestack.session import materialise
+from lorestack.session import map_in_parts, materialise
 
 
 def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[list[str]], list[str]], source: str = "original") -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,7 @@ def translate_pages(pages: DataFrame, wanted: DataFrame, translate: Callable[[li
             yield pd.DataFrame({"language": batch["language"], "text": batch["text"], "translated": translate(list(batch["text"]))})
 
     distinct = units.filter("unit.text <> ''").select("language", F.col("unit.text").alias("text")).distinct()
-    done = distinct.mapInPandas(run, "language string, text string, translated string")
+    done = map_in_parts(distinct, run, "language string, text string, translated string", "text")
 
     same = F.when(F.col("unit.text") == "", F.col("unit.open")).when(X.trim_unicode("translated") != "", F.col("translated"))
     back = units.withColumn("text", F.col("unit.text")).join(done, ["language", "text"], "left").withColumn("out", F.when((F.col("format") == "txt") | (F.col("unit.text") == ""), same).when(X.trim_unicode("translated") != "", structure.rebuilt(F.col("unit"), F.col("translated"))))

@@ -5,8 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -46,3 +51,28 @@ def materialise(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts of about ``most_bytes`` of one column, a row each at least."""
+    start = size = 0
+    for i, value in enumerate(batch.column(column)):
+        n = value.as_buffer().size if value.is_valid else 0
+        if i > start and size + n > most_bytes:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def map_in_parts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str) -> DataFrame:
+    """``mapInPandas`` with frames of about 4 MB of ``column``: a worker turns no whole batch into Python objects, and hands on
+    what it made of a part before it goes on to the next."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(part.to_pandas() for batch in batches for part in slices(batch, column)):
+            yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(over, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorestack.functions.text import repair_hyphens, window_words, words
-from lorestack.session import materialise
+from lorestack.session import map_in_parts, materialise
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _CONTAINER = "META-INF/container.xml"
@@ -61,7 +61,7 @@ def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], str]] |
                 rows.append((path, text, error))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string").withColumn("text", repair_hyphens(F.col("text")))
+    return map_in_parts(files.select("path", "content"), run, "path string, text string, error string", "content").withColumn("text", repair_hyphens(F.col("text")))
 
 
 #: Kinds of plain text, which need not be whole in one place to be read.
@@ -182,7 +182,7 @@ def epub_chapters(files: DataFrame) -> DataFrame:
                     rows.append((path, None, None, None, None, "unreadable"))
             yield pd.DataFrame(rows, columns=["path", "chapter_no", "href", "xhtml", "css", "error"]).astype({"chapter_no": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, chapter_no int, href string, xhtml string, css string, error string")
+    return map_in_parts(files.select("path", "content"), run, "path string, chapter_no int, href string, xhtml string, css string, error string", "content")
 
 
 def epub_images(files: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def epub_images(files: DataFrame) -> DataFrame:
                     continue
                 yield pd.DataFrame(rows, columns=["path", "n", "name", "extension", "content"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, n int, name string, extension string, content binary")
+    return map_in_parts(files.select("path", "content"), run, "path string, n int, name string, extension string, content binary", "content")
 
 
 def book_gate(files: DataFrame) -> DataFrame:
@@ -227,4 +227,4 @@ def book_gate(files: DataFrame) -> DataFrame:
                 rows.append((path, "rejected" if reason else "imported", reason))
             yield pd.DataFrame(rows, columns=["path", "status", "reason"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, status string, reason string")
+    return map_in_parts(files.select("path", "content"), run, "path string, status string, reason string", "content")

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from lorestack import session
 from lorestack.functions import text as X
 from lorestack.operators import library as L
 from lorestack.operators import retrieve as R
 from lorestack.operators import store as S
+from lorestack.operators import translate
 from lorestack.operators import turns as U
+from lorestack.sources import files
 
 
 def one(spark, column):
@@ -131,3 +134,28 @@ def test_names_that_many_rows_share(spark):
         used.add(made)
         want[i] = made
     assert got == want
+
+
+def test_workers_take_large_batches_in_parts(spark):
+    df = spark.range(0, 60, 1, 1).select("id", F.when(F.col("id") != 7, F.expr("repeat('x', 500000)")).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(rows=len(batch), n=batch["text"].str.len().astype("Int64"))[["id", "n", "rows"]]
+
+    got = session.map_in_parts(df, run, "id long, n long, rows int", "text").collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, None if i == 7 else 500_000) for i in range(60)]
+    assert max(r.rows for r in got) <= 9  # 4 MB, not the 30 MB of a batch
+
+
+def test_translation_and_archives_take_their_rows_in_parts(spark, monkeypatch):
+    seen = []
+    real = session.map_in_parts
+    for module in (files, translate):
+        monkeypatch.setattr(module, "map_in_parts", lambda df, run, schema, column: seen.append(column) or real(df, run, schema, column))
+    some = spark.createDataFrame([("a.epub", b"broken")], "path string, content binary")
+    assert [r.error for r in files.epub_chapters(some).collect()] == ["unreadable"] and [r.status for r in files.book_gate(some).collect()] == ["rejected"]
+    pages = spark.createDataFrame([(1, "original", 1, "txt", "one\n\ntwo")], "book_id int, language string, page int, format string, text string")
+    wanted = pages.selectExpr("book_id", "'xx' AS language", "page")
+    done, _ = translate.translate_pages(pages, wanted, lambda texts: [t.upper() for t in texts])
+    assert [r.text for r in done.collect()] == ["ONE\n\nTWO"] and seen == ["content", "content", "text"]
