@@ -18,11 +18,12 @@ _MARKER = r"(?s).*?(?:\[\[image: |\z)"
 
 def _starts(texts: DataFrame, pattern: str, kind: str) -> DataFrame:
     """(_row, pos, kind): where the pieces that a pattern ends begin, but for the first; of markers where they begin."""
-    pieces = texts.select("_row", F.posexplode(F.regexp_extract_all("_text", F.lit(pattern), 0)).alias("i", "piece")).select("_row", "i", F.length("piece").cast("long").alias("n"))
+    about = [F.length("_text").cast("long").alias("size"), F.endswith(F.col("_text"), F.lit(MARKER_PREFIX)).alias("whole")]
+    cut = texts.select("_row", *about, F.posexplode(F.regexp_extract_all("_text", F.lit(pattern), 0)).alias("i", "piece"))
+    pieces = cut.select("_row", "size", "whole", "i", F.length("piece").cast("long").alias("n"))
     ended = pieces.withColumn("pos", F.sum("n").over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
     back = len(MARKER_PREFIX) if kind == "marker" else 0
-    marked = texts.select("_row", F.length("_text").cast("long").alias("size"), F.endswith(F.col("_text"), F.lit(MARKER_PREFIX)).alias("whole"))
-    inside = ended.join(marked, "_row").filter((F.col("pos") < F.col("size")) | (F.col("whole") & (F.lit(kind) == "marker")))
+    inside = ended.filter((F.col("pos") < F.col("size")) | (F.col("whole") & (F.lit(kind) == "marker")))
     return inside.filter("n > 0").select("_row", (F.col("pos") - back).alias("pos"), F.lit(kind).alias("kind"))
 
 
@@ -53,8 +54,8 @@ def paged(texts: DataFrame, text: str = "text", budget: int = PAGE_CHARS, image:
     """``texts`` with pages, an array: joined they give the text. A page ends at the last paragraph that begins within the
     budget of characters, else at the last sentence, else at the budget; an image marker counts ``image`` more. Null and
     blank texts have no pages."""
-    known = materialise(texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
-    full = known.filter(F.col("_text").rlike(r"(?U)\S")).select("_row", "_text")
+    known, value = materialise(texts.withColumn("_row", F.monotonically_increasing_id())), F.coalesce(F.col(text), F.lit(""))
+    full = known.filter(value.rlike(r"(?U)\S")).select("_row", value.alias("_text"))
     first = full.select("_row", F.lit(0).cast("long").alias("pos"), F.lit("first").alias("kind"))
     last = full.select("_row", F.length("_text").cast("long").alias("pos"), F.lit("last").alias("kind"))
     events = first.unionByName(last)
@@ -87,7 +88,6 @@ def paged(texts: DataFrame, text: str = "text", budget: int = PAGE_CHARS, image:
     ordered = jumps.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "to"))).alias("j")).select("_row", F.transform("j", lambda x: x["to"]).alias("j"))
     reached = materialise(ordered).select("_row", F.explode(followed(F.col("j"))).alias("i"))
     begun = reached.join(numbered.select("_row", "i", "pos"), ["_row", "i"]).groupBy("_row").agg(F.array_sort(F.collect_list("pos")).alias("_starts"))
-    both = materialise(known.join(begun, "_row", "left"))
-    size = F.length("_text").cast("long")
-    piece = lambda a, k: F.substring(F.col("_text"), (a + 1).cast("int"), (F.coalesce(F.get(F.col("_starts"), k + 1), size) - a).cast("int"))
-    return both.withColumn("pages", F.coalesce(F.transform("_starts", piece), F.array().cast("array<string>"))).drop("_row", "_text", "_starts")
+    size = F.length(value).cast("long")
+    piece = lambda a, k: F.substring(value, (a + 1).cast("int"), (F.coalesce(F.get(F.col("_starts"), k + 1), size) - a).cast("int"))
+    return known.join(begun, "_row", "left").withColumn("pages", F.coalesce(F.transform("_starts", piece), F.array().cast("array<string>"))).drop("_row", "_starts")

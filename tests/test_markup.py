@@ -178,3 +178,15 @@ def test_paragraphs_of_markup(spark, each):
     assert each(M.xhtml_to_text, [html]) == ["p q\n\nr\n\nst" + "uv\n\nw"]
     df = spark.createDataFrame([(html, {"abc": "[[image: 0003.gif]]"})], "v string, m map<string,string>")
     assert df.select(M.xhtml_to_text(F.col("v"), F.col("m"))).first()[0] == "p q\n\nr\n\ns\n\n[[image: 0003.gif]]\n\ntuv\n\nw"
+
+
+def test_paging_writes_a_text_once(spark, monkeypatch):
+    from lorestack.operators import paging
+
+    seen = []
+    real = paging.materialise
+    monkeypatch.setattr(paging, "materialise", lambda df: seen.extend(f.name for f in df.schema if f.dataType.simpleString() == "string") or real(df))
+    rows = [(1, "One. " * 900 + "[[image: 0001.png]]"), (2, None), (3, " \n"), (4, "x" * 5000)]
+    got = paging.paged(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert seen == ["text"] and got[0].__fields__ == ["id", "text", "pages"]
+    assert {r.id: "".join(r.pages) for r in got} == {i: (t or "") if i not in (2, 3) else "" for i, t in rows}
