@@ -2,10 +2,12 @@
 
 Spark partitions the documents. In a task, the distinct matches of the split pattern that the worker has not met become
 rows (word, position, token) of bytes. A recursive query joins neighbours with the merge table, contracts the leftmost
-minimum-rank pair of each word, and goes on with the words that changed until none does. As long as a merge brings forth no
-earlier one, the next places of that pair in the word, whose turn would be next, are contracted in the same round, so a
-word takes about as many rounds as it has different merges, however long it is. Decoding joins tokens with the
-vocabulary and concatenates their bytes in the order of position.
+minimum-rank pair of each word, and goes on with the words that changed until none does. In the same round it contracts
+what would be contracted later all the same. In matches of up to ``SHORT`` bytes these are the pairs whose tokens no earlier
+merge can take, whatever their neighbours grow to; a word takes about as many rounds as its merges are deep. In longer
+ones, which may hold long runs of one pair, these are the next places of the minimum-rank pair, as long as a merge brings
+forth no earlier one; a match takes about as many rounds as it has different merges, however long it is. Decoding joins
+tokens with the vocabulary and concatenates their bytes in the order of position.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import sys
 from collections.abc import Collection, Iterator
 from itertools import islice
 
@@ -26,8 +29,41 @@ from pyspark.sql import functions as F
 from lorestack.llm.pieces import Cache, blocks, cut, cut_odd, is_odd, only
 
 _WORKER: dict = {}
+#: Bytes of a match up to which the rounds of ``_STATE_SHORT`` serve.
+SHORT = 64
 
-_ENCODE = """
+_STATE_SHORT = """
+WITH RECURSIVE state(word, pos, token, next_token, done) AS (  -- a position is one of all the words together
+  SELECT word, pos, token, CASE WHEN lead(word) OVER v = word THEN lead(token) OVER v END, false FROM words WINDOW v AS (ORDER BY pos)
+  UNION ALL
+  SELECT * FROM (
+    WITH ranked AS MATERIALIZED (
+      SELECT s.word, s.pos, s.token, s.next_token, CASE WHEN s.next_token IS NOT NULL THEN s.token END AS own, p.merged, p.from_left, p.from_right
+      FROM state s LEFT JOIN pairs p ON p.pair = (s.token::BIGINT << 32) | s.next_token WHERE NOT s.done
+    ), chosen AS (
+      -- the lowest rank, then the leftmost position
+      SELECT word, min((merged::BIGINT << 32) | pos) AS pick FROM ranked GROUP BY word
+    ), near AS (
+      SELECT word, pos, token, next_token, merged, lag(own) OVER v AS before, lead(next_token) OVER v AS beyond,
+        merged IS NOT NULL AND coalesce(lag(from_left) OVER v > merged, true) AND coalesce(lead(from_right) OVER v >= merged, true) AS apart
+      FROM ranked WINDOW v AS (ORDER BY pos)
+    ), judged AS (
+      -- a pair that none can take a token of, unless the new token may make an earlier pair with a neighbour
+      SELECT n.word, pos, token, next_token, beyond, merged, pick IS NULL AS done, coalesce(pick & 4294967295 = pos, false)
+        OR (apart AND coalesce((before::BIGINT << 32) | merged, -1) NOT IN (SELECT pair FROM early_left) AND coalesce((merged::BIGINT << 32) | beyond, -1) NOT IN (SELECT pair FROM early_right)) AS start
+      FROM near n JOIN chosen USING (word)
+    ), made AS (
+      SELECT word, pos, start, CASE WHEN start THEN merged ELSE token END AS token, CASE WHEN start THEN beyond ELSE next_token END AS next_token, done FROM judged
+    ), joined AS (
+      SELECT word, pos, token, CASE WHEN next_token IS NULL THEN NULL WHEN start THEN lead(token, 2) OVER v ELSE lead(token) OVER v END AS next_token, coalesce(lag(start) OVER v, false) AS gone, done
+      FROM made WINDOW v AS (ORDER BY pos)
+    )
+    SELECT word, pos, token, next_token, done FROM joined WHERE NOT gone
+  )
+)
+"""
+
+_STATE_LONG = """
 WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (  -- a position is one of all the words together
   SELECT word, pos, token, lead(pos) OVER v, lead(token) OVER v, false FROM words WINDOW v AS (PARTITION BY word ORDER BY pos)
   UNION ALL
@@ -71,6 +107,9 @@ WITH RECURSIVE state(word, pos, token, after, next_token, done) AS (  -- a posit
     FROM joined j LEFT JOIN starts n ON n.pos = j.after
   )
 )
+"""
+
+_ENCODED = """
 SELECT string_agg(token::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY pos)) AS data FROM state JOIN vocabulary v ON v.id = token WHERE done GROUP BY word ORDER BY word
 """
 
@@ -93,17 +132,19 @@ class Codec:
     def __init__(self, path: str, pattern: str, cache_bytes: int):
         Codec.built += 1
         self.ranks = read_ranks(path)
-        pair, merged = [], []
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
-                if a is not None and b is not None:
-                    pair.append(a << 32 | b)
-                    merged.append(rank)
+        pair, merged, from_left, from_right = self._pairs()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         self._table("merges", pair=pair, merged=merged)
         # Tokens that some earlier merge takes in: to make one of these may bring forth an earlier merge than its own.
         self._table("unsafe", id=sorted({t for p, m in zip(pair, merged, strict=True) for t in (p >> 32, p & 0xFFFFFFFF) if m < t}))
+        self._table("lefts", pair=list(from_left), first=list(from_left.values()))
+        self._table("rights", pair=list(from_right), first=list(from_right.values()))
+        self.db.execute("CREATE TABLE pairs AS SELECT pair, m.merged, l.first AS from_left, r.first AS from_right FROM lefts l FULL JOIN rights r USING (pair) LEFT JOIN merges m USING (pair)")
+        # Pairs in which a token has an earlier merge than the one that makes it, on its left or right.
+        self.db.execute("CREATE TABLE early_left AS SELECT pair FROM lefts WHERE first < pair & 4294967295")
+        self.db.execute("CREATE TABLE early_right AS SELECT pair FROM rights WHERE first < pair >> 32")
+        self.db.execute("DROP TABLE lefts")
+        self.db.execute("DROP TABLE rights")
         self._table("vocabulary", id=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         by_id = sorted((i, t) for t, i in self.ranks.items())
@@ -113,12 +154,34 @@ class Codec:
         self.first[known] = np.cumsum(self.n_bytes[known]) - self.n_bytes[known]
         self.vocabulary = np.frombuffer(b"".join(t for _, t in by_id), dtype=np.uint8)
         self.matches = regex.compile(pattern).findall
+        # Letters after a space are one match, if what Python calls letters are such to the pattern.
+        letters = " " + "".join(filter(str.isalpha, map(chr, range(sys.maxunicode + 1))))
+        self.is_match = str.isalpha if self.matches(letters) == [letters] else lambda p: p.isascii() and p.isalpha()
         # Pieces as they stand, pieces after a space, and matches that are no such piece. A piece that gives way to others
         # while its block is read is learnt again.
         self.alone = [lambda p: self.learn([p], [])[0][p], lambda p: self.learn([], [p])[1][p], lambda w: self.encode_words([w.encode()])[0]]
         self.caches = tuple(Cache(make, cache_bytes // part) for make, part in zip(self.alone, (8, 1, 4), strict=True))
         self.pieces, self.words = self.caches[:2], self.caches[2]
 
+    def _pairs(self) -> tuple[list, list, dict, dict]:
+        """Merges: pairs and the tokens they make. Of two neighbours the earliest merge in which the left one, or what it may
+        grow into, takes the right one as it is; and the earliest in which the right one, grown or not, takes the left one."""
+        get = self.ranks.get
+        pair, merged, from_left, from_right = [], [], {}, {}
+        for rank, token in sorted((r, t) for t, r in self.ranks.items()):
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    pair.append(a << 32 | b)
+                    merged.append(rank)
+                    for j in range(k):
+                        if (x := get(token[j:k])) is not None:
+                            from_left.setdefault(x << 32 | b, rank)
+                    for j in range(k + 1, len(token) + 1):
+                        if (x := get(token[k:j])) is not None:
+                            from_right.setdefault(a << 32 | x, rank)
+        return pair, merged, from_left, from_right
+
     def _table(self, name: str, **columns) -> None:
         made = pa.table({k: pa.array(v, pa.string() if v and isinstance(v[0], str) else pa.int64() if k == "pair" else pa.int32()) for k, v in columns.items()})
         self.db.register("given", made)
@@ -129,12 +192,16 @@ class Codec:
         """The ids of each word in decimal, joined by one space, and the bytes that they decode to."""
         out = [(str(rank), w) if (rank := self.ranks.get(w)) is not None else ("", b"") for w in words]
         rest = [i for i, w in enumerate(words) if w and not out[i][0]]
-        if rest:
+        short = [i for i in rest if len(words[i]) <= SHORT]
+        long = [i for i in rest if len(words[i]) > SHORT] if len(short) < len(rest) else []
+        for state, rest in ((_STATE_SHORT, short), (_STATE_LONG, long)):
+            if not rest:
+                continue
             data = [words[i] for i in rest]
             token = self.of_byte[np.frombuffer(b"".join(data), dtype=np.uint8)]
             word = np.repeat(np.arange(len(rest), dtype=np.int32), np.fromiter(map(len, data), dtype=np.int64, count=len(data)))
             self.db.register("words", pa.table({"word": word, "pos": np.arange(len(token), dtype=np.int32), "token": token}))
-            found = self.db.sql(_ENCODE).to_arrow_table()
+            found = self.db.sql(state + _ENCODED).to_arrow_table()
             self.db.unregister("words")
             for i, *both in zip(rest, found.column("ids").to_pylist(), found.column("data").to_pylist(), strict=True):
                 out[i] = tuple(both)
@@ -168,26 +235,24 @@ class Codec:
     def learn(self, whole: Collection[str], spaced: Collection[str]) -> tuple[dict, dict]:
         """The ids and bytes of pieces not met so far: as they stand, and without the space that goes before them."""
         parts: tuple[dict, dict] = ({}, {})
-        needed = set()
+        alone = dict.fromkeys(filter(self.is_match, spaced))  # one match of the pattern with the space, and not met so far
         for space, pieces in enumerate((whole, spaced)):
-            for p in pieces:
-                if space and p.isascii() and p.isalpha():  # one match of the pattern
-                    needed.add(f" {p}")
-                else:
-                    parts[space][p] = found = self.matches(f" {p}" if space else p)
-                    needed.update(found)
+            parts[space].update((p, self.matches(f" {p}" if space else p)) for p in pieces if not space or p not in alone)
         known, new, near = {}, [], self.pieces[1]
-        for w in needed:
+        for w in set().union(*parts[0].values(), *parts[1].values()):
             x = near.get(w[1:]) or near.old.get(w[1:]) if w[0] == " " else None
             x = x or self.words.get(w) or self.words.old.get(w)
             if x:
                 known[w] = x
-            else:
+            elif w[0] != " " or w[1:] not in alone:
                 new.append(w)
-        fresh = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
-        known.update(fresh)
+        made = self.encode_words([*(f" {p}".encode() for p in alone), *map(str.encode, new)])
+        learned: tuple[dict, dict] = ({}, dict(zip(alone, made, strict=False)))
+        if any(parts):
+            known.update((f" {p}", x) for p, x in learned[1].items())
+        known.update(fresh := dict(zip(new, made[len(alone) :], strict=True)))
         self.words.put({w: x for w, x in fresh.items() if w[0] != " "})
-        learned: tuple[dict, dict] = ({}, {w[1:]: x for w, x in fresh.items() if w[0] == " "})
+        learned[1].update((w[1:], x) for w, x in fresh.items() if w[0] == " ")
         for space, cut_up in enumerate(parts):
             for p, words in cut_up.items():
                 if len(words) == 1:
@@ -195,9 +260,6 @@ class Codec:
                 else:
                     texts, data = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
                     learned[space][p] = " ".join(texts), b"".join(data)
-        for p in spaced:
-            if p not in learned[1]:
-                learned[1][p] = known[f" {p}"]
         return learned
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
